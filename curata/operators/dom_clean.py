@@ -1,0 +1,77 @@
+"""Per-page DOM-style cleaner for ``clean_pages(mode="dom")`` (runs inside Spark tasks).
+
+A small helper over the standard library's ``html.parser``: it tracks open excluded elements
+(nested same-name blocks included) and collects the remaining text.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+
+from curata.operators.clean import EXCLUDED_CLASSES, EXCLUDED_TAGS, INLINE_TAGS
+
+_VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
+_WS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+class _TextCollector(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.skip_stack: list[str] = []
+
+    def _excluded(self, tag, attrs):
+        if tag in EXCLUDED_TAGS:
+            return True
+        classes = " ".join(v or "" for k, v in attrs if k == "class").split()
+        return any(c in EXCLUDED_CLASSES for c in classes)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _VOID:
+            if not self.skip_stack:
+                self.parts.append(" ")
+            return
+        if self.skip_stack:
+            self.skip_stack.append(tag)
+        elif self._excluded(tag, attrs):
+            self.skip_stack.append(tag)
+        elif tag not in INLINE_TAGS:
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.skip_stack:
+            if tag in self.skip_stack:
+                while self.skip_stack and self.skip_stack.pop() != tag:
+                    pass
+            return
+        if tag not in INLINE_TAGS:
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.skip_stack:
+            self.parts.append(data)
+
+
+def clean_one(html: str | None, max_words: int) -> str:
+    if html is None or not html.strip():
+        return ""
+    p = _TextCollector()
+    try:
+        p.feed(html)
+        p.close()
+        txt = "".join(p.parts)
+    except Exception:  # noqa: BLE001 - malformed markup: fall back to tag stripping
+        txt = re.sub(r"<[^>]+>", " ", html)
+    words = _WS.sub(" ", txt).strip(" \t\n\x0b\f\r").split(" ")
+    return " ".join(words[:max_words])
+
+
+def batch_cleaner(html_col: str, out_col: str, keep: list[str], max_words: int):
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keep].copy()
+            out[out_col] = [clean_one(h, max_words) for h in pdf[html_col]]
+            yield out
+
+    return run

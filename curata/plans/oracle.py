@@ -243,3 +243,105 @@ g_walk(pos, kept) AS (
 greedy_kept AS (
   SELECT unnest(kept) AS seq FROM g_walk WHERE pos = (SELECT count(*) FROM g_nb)
 )"""
+
+
+# ---------------------------------------------------------------- cleaning and summaries
+
+
+def decode_entities(x: str) -> str:
+    from curata.functions.text import ENTITIES
+
+    out = x
+    for ent, ch in ENTITIES:
+        out = f"replace({out}, {q(ent)}, {q(ch)})"
+    return f"replace({out}, '&amp;', '&')"
+
+
+def escape_text(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), {q(chr(160))}, '&nbsp;')"
+
+
+def first_words(x: str, n: int) -> str:
+    return f"array_to_string((string_split_regex({x}, '[{WS}]+'))[1:{n}], ' ')"
+
+
+def word_count(x: str) -> str:
+    t = jtrim(f"coalesce({x}, '')")
+    return f"(CASE WHEN {t} = '' THEN 0 ELSE len(string_split_regex({t}, '[{WS}]+')) END)"
+
+
+def html_text(x: str, max_words: int = 800) -> str:
+    from curata.operators.clean import BLOCKS, INLINE, UNCLOSED
+
+    s = f"regexp_replace({x}, {q(BLOCKS)}, ' ', 'g')"
+    s = f"regexp_replace({s}, {q(UNCLOSED)}, ' ', 'g')"
+    s = f"regexp_replace({s}, {q(INLINE)}, '', 'g')"
+    s = f"regexp_replace({s}, '<[^>]*>', ' ', 'g')"
+    s = jtrim(f"regexp_replace({decode_entities(s)}, '[{WS}]+', ' ', 'g')")
+    return f"(CASE WHEN {is_blank(x)} THEN '' ELSE {first_words(s, max_words)} END)"
+
+
+def strip_tags(x: str) -> str:
+    t = escape_text(decode_entities(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
+    c = jtrim(f"regexp_replace({t}, '[{WS}]+', ' ', 'g')")
+    return f"(CASE WHEN {is_blank(x)} THEN '' ELSE {c} END)"
+
+
+def strip_truncate(x: str, n: int = 500) -> str:
+    t = jtrim(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
+    return f"(CASE WHEN {utf16_length(t)} > {n} THEN substr({t}, 1, {n}) || '...' ELSE {t} END)"
+
+
+def response_text(p: str) -> str:
+    return (
+        f"(CASE WHEN json_valid({p}) THEN coalesce(json_extract_string({p}, '$.candidates[0].content.parts[0].text'), '') "
+        f"ELSE '' END)"
+    )
+
+
+def clean_summary(x: str) -> str:
+    s = jtrim(f"coalesce({x}, '')")
+    s = f"regexp_replace({s}, '^[\"'']|[\"'']$', '', 'g')"
+    s = f"regexp_replace({s}, '^Summary:\\s*', '')"
+    return jtrim(s)
+
+
+def is_valid_summary(x: str) -> str:
+    n = word_count(x)
+    return f"(NOT {is_blank(x)} AND {n} >= 5 AND {n} <= 100)"
+
+
+def fallback_summary(title: str, descr: str, n: int = 80) -> str:
+    d = strip_tags(descr)
+    words = f"string_split_regex({d}, '[{WS}]+')"
+    return (
+        f"(CASE WHEN {is_blank(d)} THEN {title} WHEN len({words}) > {n} THEN array_to_string(({words})[1:{n}], ' ') || '...' "
+        f"ELSE {d} END)"
+    )
+
+
+def content(title: str, descr: str, n: int = 800) -> str:
+    return html_text(f"(CASE WHEN NOT {is_blank(descr)} THEN {descr} ELSE {title} END)", n)
+
+
+def fill(template: str, max_words: int, **cols: str) -> str:
+    rest = template.replace("{max_words}", str(max_words))
+    parts = []
+    while "{" in rest:
+        i = rest.index("{")
+        j = rest.index("}", i)
+        parts.append(q(rest[:i]))
+        parts.append(f"coalesce({cols[rest[i + 1:j]]}, 'null')")
+        rest = rest[j + 1:]
+    parts.append(q(rest))
+    return "(" + " || ".join(parts) + ")"
+
+
+RESP_CTE = f""",
+resp AS (
+  SELECT {article_id(normalize_url('a.url'))} AS id, a.seq AS seq,
+         CASE WHEN c.turn = 1 THEN 1 ELSE 2 END AS attempt,
+         CASE WHEN c.turn = 1 AND a.seq % 10 = 0 THEN '' WHEN c.turn = 1 AND a.seq % 10 = 5 THEN NULL ELSE c.text END AS text_raw
+  FROM articles_pages a JOIN conversations c ON c.conv_id = a.seq
+  WHERE c.turn = 1 OR (c.turn = 3 AND a.seq % 3 = 0)
+)"""

@@ -100,3 +100,73 @@ def runs_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.when(k == 0, F.col("n")).otherwise(F.lit(0)).alias("last_article_count"),
     )
+
+
+# Snapshot boundaries for the upsert fixture: the stored table holds pages published before
+# CURRENT_BEFORE (or never), the incoming batch those published from INCOMING_FROM on; the
+# overlap is overwritten.
+CURRENT_BEFORE = "2024-01-30 18:00:00"
+INCOMING_FROM = "2024-01-30 12:00:00"
+
+
+def news_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published-record projection of every page (``seq`` kept for arrival order)."""
+    from curata.functions import scoring
+
+    a = articles_pages(spark, sf_dir)
+    return a.select(
+        "seq",
+        urls.article_id(urls.normalize_url(F.col("url"))).alias("id"),
+        "title",
+        F.col("title").alias("summary"),
+        "source",
+        "source_domain",
+        "url",
+        F.lit(None).cast("string").alias("image_url"),
+        "published_at",
+        as_of().alias("created_at"),
+        F.col("upvotes").cast("double").alias("score"),
+        scoring.derive_tags(F.col("title"), F.col("description"), F.col("source")).alias("tags"),
+    )
+
+
+def news_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = news_rows(spark, sf_dir)
+    n = n.where(F.col("published_at").isNull() | (F.col("published_at") < F.lit(CURRENT_BEFORE).cast("timestamp_ntz")))
+    n = n.withColumn("created_at", F.timestamp_add("DAY", F.lit(-1), as_of()))
+    # the stored table has one row per id already
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy(F.col("seq").desc())
+    return n.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "seq")
+
+
+def news_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = news_rows(spark, sf_dir).where(F.col("published_at") >= F.lit(INCOMING_FROM).cast("timestamp_ntz"))
+    return n.withColumn("summary", F.concat(F.lit("v2: "), F.col("title")))
+
+
+def responses_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, attempt, payload)``: assistant turns of ``conversations`` as service answers.
+
+    Page ``seq`` takes conversation ``seq``: turn 1 answers attempt 1, turn 3 answers attempt 2
+    for every third page; every fifth page's first answer is blank or malformed.
+    """
+    from curata.operators.summarize import response_payload
+
+    a = articles_pages(spark, sf_dir).select("seq", "url")
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    j = a.join(conv, a.seq == conv.conv_id)
+    j = j.where((F.col("turn") == 1) | ((F.col("turn") == 3) & (F.col("seq") % 3 == 0)))
+    attempt = F.when(F.col("turn") == 1, 1).otherwise(2)
+    payload = (
+        F.when((F.col("turn") == 1) & (F.col("seq") % 10 == 0), response_payload(F.lit("")))
+        .when((F.col("turn") == 1) & (F.col("seq") % 10 == 5), F.lit('{"candidates":['))
+        .otherwise(response_payload(F.col("text")))
+    )
+    return j.select(
+        urls.article_id(urls.normalize_url(F.col("url"))).alias("id"),
+        "seq",
+        attempt.alias("attempt"),
+        payload.alias("payload"),
+    )
