@@ -326,3 +326,4 @@ def q_dedup_all(spark, sf):
     out = dedup.deduplicate(_pages(spark, sf), FX.memory_fixture(spark, sf), FX.as_of())
     return out.select("seq", "normalized_url", "title")
 from curata.plans import q_text  # noqa: E402,F401
+from curata.plans import q_store  # noqa: E402,F401
