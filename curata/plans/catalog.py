@@ -327,3 +327,4 @@ def q_dedup_all(spark, sf):
     return out.select("seq", "normalized_url", "title")
 from curata.plans import q_text  # noqa: E402,F401
 from curata.plans import q_store  # noqa: E402,F401
+from curata.plans import q_sources  # noqa: E402,F401
