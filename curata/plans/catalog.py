@@ -253,7 +253,7 @@ def q_title_similar_pairs(spark, sf):
 def q_title_vector_groups(spark, sf):
     """Each titled row mapped to the earliest row with an identical term vector."""
     d = _docs(spark, sf)
-    return dedup.vector_groups(dedup.term_vectors(dedup.term_frequency(d)))
+    return dedup.vector_groups(dedup.term_vectors(d))
 
 
 @register(
