@@ -178,3 +178,42 @@ FROM pv"""
 )
 def q_run_outcome(spark, sf):
     return store.run_outcome(stage_counts(spark, sf), FX.as_of())
+
+
+@register(
+    "pipeline_news",
+    O.with_fixtures(
+        _COUNTS_SQL
+        + O.RESP_CTE
+        + f""",
+ans AS (
+  SELECT id, max(CASE WHEN attempt = 1 THEN t END) AS text1, max(CASE WHEN attempt = 2 THEN t END) AS text2
+  FROM (SELECT id, attempt, min(t) AS t FROM (SELECT id, attempt, coalesce(text_raw, '') AS t FROM resp) x
+        WHERE NOT {O.is_blank('t')} GROUP BY id, attempt) y
+  GROUP BY id
+),
+sel AS (SELECT *, {O.article_id('normalized_url')} AS id FROM top30),
+res AS (
+  SELECT s.*, n.text1, n.text2, {O.clean_summary('n.text1')} AS c1, {O.clean_summary('n.text2')} AS c2
+  FROM sel s LEFT JOIN ans n ON n.id = s.id
+),
+src AS (
+  SELECT *, CASE WHEN {O.is_blank('text1')} THEN 'fallback' WHEN {O.is_valid_summary('c1')} THEN 'attempt1'
+                 WHEN {O.is_blank('text2')} THEN 'fallback' WHEN {O.is_valid_summary('c2')} THEN 'attempt2'
+                 ELSE 'fallback' END AS summary_source
+  FROM res
+)
+SELECT id, title,
+       CASE summary_source WHEN 'attempt1' THEN c1 WHEN 'attempt2' THEN c2 ELSE {O.fallback_summary('title', 'description')} END AS summary,
+       source, source_domain, url, NULL::VARCHAR AS image_url, published_at, {O.AS_OF} AS created_at, final_score AS score, tags
+FROM src"""
+    ),
+)
+def q_pipeline_news(spark, sf):
+    """One full run: sources -> dedup (URL, memory, greedy titles) -> rank -> summaries -> news rows."""
+    from curata.plans import pipeline
+
+    run = pipeline.run_batch(
+        FX.articles_pages(spark, sf), FX.memory_fixture(spark, sf), FX.responses_fixture(spark, sf).drop("seq"), FX.as_of()
+    )
+    return run["news"].select(*NEWS)
