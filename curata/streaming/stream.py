@@ -39,14 +39,14 @@ def process_batch(batch: DataFrame, batch_id: int, tables: str, as_of: Column, s
         mem = mem.unionByName(seed_memory)
     run = pipeline.run_batch(batch, mem, None, as_of)
     news = run["news"].withColumn("batch_id", F.lit(batch_id).cast("long"))
-    news.write.mode("overwrite").partitionBy("batch_id").parquet(f"{tables}/news_log")
+    news.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{tables}/news_log")
     # memory rows are derived from the news just written (read back, not recomputed)
     written = spark.read.parquet(f"{tables}/news_log").where(F.col("batch_id") == batch_id)
     from curata.operators import store
 
-    store.remember(written, as_of).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy(
-        "batch_id"
-    ).parquet(f"{tables}/memory")
+    store.remember(written, as_of).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch_id").parquet(f"{tables}/memory")
 
 
 def current_store(spark: SparkSession, tables: str) -> DataFrame:
@@ -59,7 +59,6 @@ def current_store(spark: SparkSession, tables: str) -> DataFrame:
 def stream_pipeline(spark: SparkSession, landing: str, tables: str, checkpoint: str, schema, as_of: Column,
                     seed_memory: DataFrame | None = None) -> None:
     """Run every landed file as one micro-batch, then stop (``availableNow``)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
     q = (
         src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, tables, as_of, seed_memory))

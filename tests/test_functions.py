@@ -154,3 +154,26 @@ def test_response_text(spark):
     assert one(spark, summary.response_text, ok) == "hi there"
     assert one(spark, summary.response_text, '{"candidates":[') == ""
     assert one(spark, summary.response_text, '{"candidates":[]}') == ""
+
+
+def test_generate_with_provider_then_resolve(spark):
+    from curata.operators import summarize
+
+    arts = spark.createDataFrame(
+        [("https://a.com/1", "Title one here", "<p>alpha beta gamma delta epsilon zeta</p>")], "url string, title string, description string"
+    )
+
+    def provider(prompts):  # echo six words of the prompt's title line, wrapped as a response
+        import json
+
+        out = []
+        for p in prompts:
+            line = [x for x in p.split("\n") if x.startswith(("Title:", "Headline:"))][0]
+            words = (line.split(":", 1)[1].strip() + " one two three").split()
+            out.append(json.dumps({"candidates": [{"content": {"parts": [{"text": " ".join(words)}]}}]}))
+        return out
+
+    resp = summarize.generate(summarize.prompts(arts), provider)
+    assert resp.count() == 2
+    r = summarize.resolve_summaries(arts, resp).first()
+    assert r["summary_source"] == "attempt1" and r["summary"] == "Title one here one two three"

@@ -45,3 +45,12 @@ def test_memory_window_pushes_filter(spark, tmp_path):
 def test_pages_scan_prunes_columns(spark):
     p = plan(FX.articles_pages(spark, SF).select("seq", "url"))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in p
+
+
+def test_sql_views(spark):
+    from curata.plans.views import register_views
+
+    names = register_views(spark, SF)
+    assert "ranked" in names
+    n = spark.sql("SELECT count(*) AS n FROM ranked").first()["n"]
+    assert 0 < n <= 30
