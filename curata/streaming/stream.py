@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curata.functions import urls
+from curata.functions import urls, vocab
 from curata.operators import dedup
 from curata.plans import pipeline
 
@@ -33,8 +33,10 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def process_batch(batch: DataFrame, batch_id: int, tables: str, as_of: Column, seed_memory: DataFrame | None = None) -> None:
     """One run: dedup against memory, rank, write news + memory partitions for ``batch_id``."""
     spark = batch.sparkSession
-    mem = _read_or_empty(spark, f"{tables}/memory", MEMORY_SCHEMA + ", batch_id long")
-    mem = mem.where(F.col("batch_id") != batch_id).drop("batch_id")
+    mem = _read_or_empty(spark, f"{tables}/memory", MEMORY_SCHEMA + ", day date, batch_id long")
+    # partition pruning: only the days that can hold rows of the 24 h window are read
+    first_day = F.to_date(F.timestamp_add("HOUR", F.lit(-vocab.MEMORY_HOURS), as_of))
+    mem = mem.where((F.col("day") >= first_day) & (F.col("batch_id") != batch_id)).drop("day", "batch_id")
     if seed_memory is not None:
         mem = mem.unionByName(seed_memory)
     run = pipeline.run_batch(batch, mem, None, as_of)
@@ -44,16 +46,18 @@ def process_batch(batch: DataFrame, batch_id: int, tables: str, as_of: Column, s
     written = spark.read.parquet(f"{tables}/news_log").where(F.col("batch_id") == batch_id)
     from curata.operators import store
 
-    store.remember(written, as_of).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(f"{tables}/memory")
+    rows = store.remember(written, as_of).withColumn("day", F.to_date("ts")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(f"{tables}/memory")
 
 
-def current_store(spark: SparkSession, tables: str) -> DataFrame:
-    """Set-by-id over the news log: the row from the latest batch wins."""
+def current_store(spark: SparkSession, tables: str, cap: int = vocab.STORE_CAP, batch: int = vocab.STORE_TRIM_BATCH) -> DataFrame:
+    """Set-by-id over the news log (the row from the latest batch wins), then the size trim."""
+    from curata.operators import store
+
     log = spark.read.parquet(f"{tables}/news_log")
     w = Window.partitionBy("id").orderBy(F.col("batch_id").desc())
-    return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    latest = log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return store.trim(latest, cap, batch)
 
 
 def stream_pipeline(spark: SparkSession, landing: str, tables: str, checkpoint: str, schema, as_of: Column,
