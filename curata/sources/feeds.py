@@ -44,13 +44,22 @@ RSS_ITEM_SCHEMA = (
 )
 
 
-def read_landed(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
-    """Landed raw payloads as ``(payload, file)``: one JSON document per line (``fmt='text'``)
-    or one XML item per row (``fmt='xml'``, rowTag ``item``, returned re-serialised as text is not
-    needed: use ``spark.read.format('xml')`` with ``RSS_ITEM_SCHEMA`` directly)."""
-    if fmt == "text":
-        return spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
-    return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM_SCHEMA).load(path)
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON payloads, one document per line: ``(payload, file)``. Any number of files; the
+    file path is kept so a label (e.g. the listing endpoint) can be derived from the layout."""
+    return spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
+
+
+def read_feed_files(spark: SparkSession, path: str, feed_url: str) -> DataFrame:
+    """Landed feed documents (RSS ``<rss><channel><item>`` or any document with ``<item>`` rows)
+    read with the XML source, one row per item, with the declared schema (no inference)."""
+    items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM_SCHEMA).load(path)
+    return items.withColumn("feed_url", F.lit(feed_url))
+
+
+def label_from_path(file_col: Column, key: str = "endpoint") -> Column:
+    """``.../<key>=<value>/...`` -> value (URL-decoded), e.g. a listing label from the landing path."""
+    return F.try_url_decode(F.regexp_extract(file_col, f"/{key}=([^/]+)/", 1))
 
 
 def epoch_seconds_to_ts(secs: Column) -> Column:
@@ -223,6 +232,11 @@ def parse_rss(raw: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_
     tag-stripped and cut to 500 units + '...'; the image is the first media content / thumbnail
     url that is nonblank (content first)."""
     it = raw.select("feed_url", F.from_xml(F.col("item_xml"), RSS_ITEM_SCHEMA).alias("x")).select("feed_url", "x.*")
+    return parse_rss_rows(it, as_of, max_age_hours)
+
+
+def parse_rss_rows(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS) -> DataFrame:
+    """Same as ``parse_rss`` for items already read into columns (``read_feed_files``)."""
     pub = F.coalesce(parse_rfc822(F.col("pubDate")), parse_iso_instant(F.col("updated")), as_of)
     it = it.select(
         "feed_url",
