@@ -157,3 +157,26 @@ SELECT seq, reason FROM rj WHERE reason IS NOT NULL"""
 )
 def q_src_rejects(spark, sf):
     return feeds.hn_rejects(landing.hn_item_payloads(spark, sf))
+
+
+@register(
+    "src_rejects_all",
+    O.with_fixtures(
+        f""", rj AS (
+  SELECT 'hackernews' AS source, seq::VARCHAR AS ref,
+         CASE WHEN seq % 23 = 0 THEN 'malformed' WHEN seq % 10 = 9 THEN 'not_story' WHEN upvotes * 2 < 50 THEN 'low_score'
+              WHEN seq % 17 = 0 OR {O.is_blank('url')} THEN 'blank_url' WHEN {O.is_blank(O.jtrim('title'))} THEN 'blank_title' END AS reason
+  FROM articles_pages
+  UNION ALL
+  SELECT DISTINCT 'gnews', (seq // 50)::VARCHAR, 'no_articles' FROM articles_pages WHERE (seq // 50) % 7 = 3
+)
+SELECT source, ref, reason FROM rj WHERE reason IS NOT NULL"""
+    ),
+)
+def q_src_rejects_all(spark, sf):
+    """Rejected payloads of every source: items, envelopes, listings and feed items."""
+    hn = feeds.hn_rejects(landing.hn_item_payloads(spark, sf)).select(F.lit("hackernews").alias("source"), F.col("seq").cast("string").alias("ref"), "reason")
+    gn = feeds.payload_rejects(landing.gnews_envelopes(spark, sf), "gnews").select(F.lit("gnews").alias("source"), F.col("chunk").cast("string").alias("ref"), "reason")
+    rd = feeds.payload_rejects(landing.reddit_listings(spark, sf), "reddit").select(F.lit("reddit").alias("source"), F.col("endpoint").alias("ref"), "reason")
+    rs = feeds.payload_rejects(landing.rss_items(spark, sf), "rss").select(F.lit("rss").alias("source"), F.col("seq").cast("string").alias("ref"), "reason")
+    return hn.unionByName(gn).unionByName(rd).unionByName(rs)

@@ -262,6 +262,27 @@ def parse_rss_rows(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_
 # ---------------------------------------------------------------- union and rejects
 
 
+def payload_rejects(raw: DataFrame, kind: str) -> DataFrame:
+    """Whole payloads that yield nothing, with a reason; other raw columns are kept.
+
+    ``kind``: 'gnews' (malformed | no_articles), 'reddit' (malformed | no_children) or
+    'rss' (malformed item XML, column ``item_xml``)."""
+    keep = [c for c in raw.columns if c not in ("payload", "item_xml")]
+    if kind == "rss":
+        x = F.from_xml(F.col("item_xml"), RSS_ITEM_SCHEMA)
+        bad = F.col("item_xml").isNull() | x.isNull() | (x["title"].isNull() & x["link"].isNull())
+        reason = F.when(bad, F.lit("malformed"))
+    else:
+        v = F.try_parse_json(F.col("payload"))
+        if kind == "gnews":
+            env = F.from_json(F.col("payload"), GNEWS_SCHEMA)
+            reason = F.when(v.isNull(), F.lit("malformed")).when(env["articles"].isNull(), F.lit("no_articles"))
+        else:
+            lst = F.from_json(F.col("payload"), REDDIT_SCHEMA)
+            reason = F.when(v.isNull(), F.lit("malformed")).when(lst["data"]["children"].isNull(), F.lit("no_children"))
+    return raw.select(*keep, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def union_sources(*dfs: DataFrame) -> DataFrame:
     """Bag union of parsed sources; an absent source contributes nothing."""
     present = [d.select(*ARTICLE_COLUMNS) for d in dfs if d is not None]

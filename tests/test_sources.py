@@ -79,3 +79,12 @@ def test_rss_age_and_media(spark):
     assert rows["edge"]["published_at"] == dt.datetime(2024, 1, 30, 12)
     assert rows["m"]["image_url"] == "C" and rows["m"]["published_at"] == dt.datetime(2024, 1, 31)
     assert rows["upd"]["description"] == "x y" and rows["upd"]["source_domain"] == "feeds.x.com"
+
+
+def test_payload_rejects(spark):
+    g = spark.createDataFrame([(1, '{"articles":[]}'), (2, "{oops"), (3, '{"articles":{"e":1}}')], "k int, payload string")
+    assert sorted((r["k"], r["reason"]) for r in feeds.payload_rejects(g, "gnews").collect()) == [(2, "malformed"), (3, "no_articles")]
+    r = spark.createDataFrame([(1, '{"data":{"children":[]}}'), (2, '{"data":{}}')], "k int, payload string")
+    assert [(x["k"], x["reason"]) for x in feeds.payload_rejects(r, "reddit").collect()] == [(2, "no_children")]
+    x = spark.createDataFrame([(1, "<item><title>a</title><link>b</link></item>"), (2, "<item><title>a</ti")], "k int, item_xml string")
+    assert [(y["k"], y["reason"]) for y in feeds.payload_rejects(x, "rss").collect()] == [(2, "malformed")]
