@@ -103,6 +103,11 @@ def run_outcome(counts: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def append_run(runs: DataFrame, row: DataFrame) -> DataFrame:
+    """Run-state history with one more row (the latest row is the state)."""
+    return runs.unionByName(row.select(*runs.columns))
+
+
 def write_snapshot(df: DataFrame, base: str) -> str:
     """Write ``df`` to a fresh snapshot folder under ``base`` and return its path."""
     path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"

@@ -48,6 +48,20 @@ def process_batch(batch: DataFrame, batch_id: int, tables: str, as_of: Column, s
 
     rows = store.remember(written, as_of).withColumn("day", F.to_date("ts")).withColumn("batch_id", F.lit(batch_id).cast("long"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(f"{tables}/memory")
+    # run state: one row per run, from the stage counts (saved = rows written for this batch)
+    counts = run["counts"].where(F.col("stage") != "saved").unionByName(
+        written.agg(F.countDistinct("id").alias("n")).select(F.lit("saved").alias("stage"), "n")
+    )
+    state = store.run_outcome(counts, as_of).drop("result").withColumn("batch_id", F.lit(batch_id).cast("long"))
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{tables}/runs")
+
+
+def current_state(spark: SparkSession, tables: str) -> DataFrame:
+    """Latest run state over the runs table (defaults when there is none)."""
+    from curata.operators import store
+
+    runs = _read_or_empty(spark, f"{tables}/runs", "last_fetched_at timestamp_ntz, last_run_status string, last_article_count int, batch_id long")
+    return store.latest_run(runs.drop("batch_id"))
 
 
 def current_store(spark: SparkSession, tables: str, cap: int = vocab.STORE_CAP, batch: int = vocab.STORE_TRIM_BATCH) -> DataFrame:

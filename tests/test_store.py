@@ -56,3 +56,13 @@ def test_run_outcome(spark):
     assert o["last_run_status"] == "failed: 0 articles saved" and o["result"] == -1
     counts = spark.createDataFrame([("fetched", 0)], "stage string, n long")
     assert store.run_outcome(counts, AS()).first()["last_run_status"] == "failed: No articles fetched from any source"
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    cur = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, summary string")
+    inc = spark.createDataFrame([("a", "z", 1)], "id string, summary string, seq long")
+    path = store.write_snapshot(store.upsert(cur, inc), str(tmp_path))
+    back = {r["id"]: r["summary"] for r in spark.read.parquet(path).collect()}
+    assert back == {"a": "z", "b": "y"}
+    path2 = store.write_snapshot(store.upsert(spark.read.parquet(path), inc), str(tmp_path))  # read one, write another
+    assert path2 != path and spark.read.parquet(path2).count() == 2

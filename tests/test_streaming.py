@@ -49,3 +49,14 @@ def test_url_dedup_stream_keeps_one_per_url(spark):
     stream.land_by_day(arts, f"{base}/landing")
     out = stream.stream_url_dedup(spark, f"{base}/landing/*", f"{base}/sink", f"{base}/ckpt", arts.schema)
     assert out.count() == out.select("normalized_url").distinct().count()
+
+
+def test_runs_table_written_per_batch(spark):
+    base = _base(spark)
+    arts = FX.articles_pages(spark, SF)
+    stream.process_batch(arts, 0, f"{base}/t", FX.as_of())
+    stream.process_batch(arts, 0, f"{base}/t", FX.as_of())  # replay: still one row
+    runs = spark.read.parquet(f"{base}/t/runs")
+    assert runs.count() == 1
+    st = stream.current_state(spark, f"{base}/t").first()
+    assert st["last_run_status"] == "success" and st["last_article_count"] > 0
