@@ -40,3 +40,12 @@ def test_nested_ad_block_dom_mode(spark):
     assert _texts(clean.clean_pages(df, mode="dom"))[1] == "body"
     # the regex mode stops at the first closing tag of the same name (documented deviation)
     assert _texts(clean.clean_pages(df, mode="sql"))[1] == "tail body"
+
+
+def test_class_marked_void_and_cell(spark):
+    df = spark.createDataFrame(
+        [(1, '<p>a</p><img class="ad" src="x.png"><p>b</p>'), (2, '<table><tr><td class="ad">x</td><td>y</td></tr></table><p>z</p>')],
+        "page_id long, html string",
+    )
+    t = _texts(clean.clean_pages(df))
+    assert t[1] == "a b" and t[2] == "y z"
