@@ -58,8 +58,11 @@ def read_feed_files(spark: SparkSession, path: str, feed_url: str) -> DataFrame:
 
 
 def label_from_path(file_col: Column, key: str = "endpoint") -> Column:
-    """``.../<key>=<value>/...`` -> value (URL-decoded), e.g. a listing label from the landing path."""
-    return F.try_url_decode(F.regexp_extract(file_col, f"/{key}=([^/]+)/", 1))
+    """``.../<key>=<value>/...`` -> value, e.g. a listing label from the landing path.
+
+    ``_metadata.file_path`` is a URI, so a directory name that is itself escaped (as
+    ``partitionBy`` writes it) arrives encoded twice: both layers are decoded."""
+    return F.try_url_decode(F.try_url_decode(F.regexp_extract(file_col, f"/{key}=([^/]+)/", 1)))
 
 
 def epoch_seconds_to_ts(secs: Column) -> Column:
