@@ -34,3 +34,14 @@ def q_stream_url_dedup(spark, sf):
     stream.land_by_day(arts, f"{base}/landing")
     out = stream.stream_url_dedup(spark, f"{base}/landing/*", f"{base}/sink", f"{base}/ckpt", arts.schema)
     return out.select("seq", "url", "normalized_url", "published_at")
+
+
+@register("job_landed_run")
+def q_job_landed_run(spark, sf):
+    """Source payloads landed as files, then one batch-job run; returns the current store."""
+    from curata.plans.job import run_job
+    from curata.sources.landed import land_fixture
+
+    base = _scratch(spark, "job")
+    land_fixture(spark, sf, f"{base}/landing")
+    return run_job(spark, f"{base}/landing", f"{base}/tables", FX.as_of(), 1).drop("batch_id")

@@ -26,6 +26,8 @@ def one(spark, expr, value, schema="v string"):
         (None, ""),
         ("", ""),
         ("  https://h.com/a/  ", "https://h.com/a"),
+        ("HTTP://h.com/é/?a", "http://h.com/é"),
+        ("https://u:p@h.com:8443/a%2Fb/", "https://h.com/a/b"),
     ],
 )
 def test_normalize_url(spark, url, expected):
