@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from curata.functions import summary, vocab
 from curata.operators import dedup, rank, store, summarize
+from curata.session import cut_lineage
 
 
 def run_batch(articles: DataFrame, memory: DataFrame, responses: DataFrame | None, as_of: Column,
               current_news: DataFrame | None = None, top: int = vocab.TOP_N, per_domain: int = vocab.MAX_PER_DOMAIN,
               threshold: float = vocab.SIMILARITY_THRESHOLD) -> dict:
     unique = dedup.deduplicate(articles, memory, as_of, threshold)
-    selected = rank.rank(unique, as_of, top, per_domain)
+    # at most ``top`` rows, feeding news, counts and memory: materialised once (checkpoint folder)
+    selected = cut_lineage(rank.rank(unique, as_of, top, per_domain))
     if responses is not None:
         summarized = summarize.resolve_summaries(selected, responses)
     else:
