@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from curata.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,12 +46,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle_or_is_streaming():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = catalog.QUERIES, catalog.ORACLES
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"stream_pipeline", "stream_url_dedup", "dedup_text_greedy", "job_landed_run"}
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(catalog.ORACLES))
 def test_query_matches_oracle(spark, con, key):
     sdf = E.queries()[key](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
