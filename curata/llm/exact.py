@@ -43,7 +43,7 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     paths = paths.withColumn("prefix", F.expr(f"shiftright(slot, {max_depth} - depth)"))
     nodes = paths.groupBy("depth", "prefix").agg(F.sum("keys").alias("keys"), F.sum("n").alias("n"))
     fits = (F.col("keys") <= capacity) | (F.col("depth") == max_depth)
-    leaf = paths.select("slot", "depth", "prefix").join(nodes.filter(fits), ["depth", "prefix"])
+    leaf = paths.select("slot", "depth", "prefix").join(F.broadcast(nodes.filter(fits)), ["depth", "prefix"])  # under 2 ** (max_depth + 1) rows
     best = leaf.groupBy("slot").agg(F.min(F.struct("depth", "prefix", "n")).alias("b"))
     bucket = F.expr(f"shiftleft(b.prefix, {max_depth} - b.depth)")  # first slot of its key range
     return best.select("slot", bucket.alias("bucket"), F.col("b.depth").alias("depth"),

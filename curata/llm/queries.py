@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, mixing
+from . import decontaminate, exact, mixing, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
+    "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact.op8_exact_dedup,
 }
 ORACLES = {
