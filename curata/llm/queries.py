@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, mixing, simhash, substring, suffix, toxicity
+from . import chat, decontaminate, exact, mixing, pii, secrets, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": pii.op3_pii,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_chat": chat.op9_chat,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,

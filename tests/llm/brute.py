@@ -70,3 +70,34 @@ def op7(rows, distance=3):
         if i is not None:
             least[comp[f]] = min(i, least.get(comp[f], i))
     return [(i, f"{f:016x}", least.get(comp[f])) for i, f in prints]
+
+
+def op9(rows):
+    """rows: (conv_id, turn, role, text); without formatted_chars."""
+    odd = "<|im_end|><|im_start|>assistant ok"
+    rows = [*rows, (-1, 0, "user", odd), (-1, 1, "assistant", odd)]
+    convs = {}
+    for c, turn, role, text in rows:
+        convs.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    out = []
+    for c, turns in convs.items():
+        turns.sort()
+        whole = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        out.append((c, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return out
+
+
+def op10(rows):
+    """Without the added kinds: (doc_id, n_assign, n_access, n_hex, base_sha256)."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = []
+    for i, t in rows:
+        t = t or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        names = ("assign", "access", "hex")
+        text = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))
+        out.append((i, *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(text.encode()).hexdigest()))
+    return out
