@@ -8,7 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from curata.llm import common, decontaminate, exact, mixing
+from curata.llm import common, decontaminate, exact, mixing, simhash, toxicity
+
+
+def toxicity_filter(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more go; it learns from the labels of the documents given."""
+    return toxicity.reject(docs, toxicity.train_on(docs, common.read(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +21,11 @@ def exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicate(docs)
 
 
+def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of SimHash links stays: the one with the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
@@ -26,7 +36,7 @@ def source_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("decontamination", decontamination), ("source_mix", source_mix)]
+STAGES = [("toxicity", toxicity_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mix", source_mix)]
 #: A trained classifier and connected components are not SQL; tests compare with a brute-force run.
 ORACLE_SQL = None
 
