@@ -30,14 +30,12 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "id", order_col:
 
 def trim(df: DataFrame, cap: int = vocab.STORE_CAP, batch: int = vocab.STORE_TRIM_BATCH, key: str = "id") -> DataFrame:
     """If the table holds more than ``cap`` rows, delete exactly ``batch`` oldest by published_at
-    (NULL counts as epoch 0; ties by key). The count is a single scalar; the oldest-K is a
-    TakeOrderedAndProject of ``batch`` rows, then an anti join."""
-    n = df.count()
-    if n <= cap:
-        return df
+    (NULL counts as epoch 0; ties by key). The count is a scalar subquery, the oldest rows a
+    TakeOrderedAndProject, then an anti join: nothing runs while the plan is built."""
     epoch = F.lit(EPOCH_NTZ).cast("timestamp_ntz")
+    full = df.agg(F.count(F.lit(1)) > cap).scalar()
     oldest = df.orderBy(F.coalesce(F.col("published_at"), epoch).asc(), F.col(key).asc()).limit(batch).select(F.col(key).alias("_k"))
-    return df.join(oldest, df[key] == oldest["_k"], "left_anti")
+    return df.join(oldest.where(full), df[key] == F.col("_k"), "left_anti")
 
 
 def remember(news: DataFrame, as_of: Column) -> DataFrame:

@@ -1,21 +1,26 @@
 """The hourly run as a batch job over a landing folder.
 
-    run_job(spark, "/landing/2024-01-31T00", "/tables", as_of=F.lit(...), run_id=...)
+    run_job(spark, "/landing/2024-01-31T00", "/tables", as_of=F.lit(...), run_id=2024013023)
 
-Reads every source, deduplicates against the memory table, ranks, writes the news log, memory
-and run-state rows for ``run_id`` (idempotent: a rerun rewrites its own partitions), and returns
-the current store (set-by-id over the log, trimmed).
+The check comes first: the store is trimmed, and a run that is not yet due does nothing else
+(``force`` runs anyway). A run reads every source, deduplicates against memory, ranks, and replaces
+its own partitions of the tables (see ``streaming.stream``). Returns the current store.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from curata.sources.landed import read_sources
+from curata.sources.landed import read_rejects, read_sources
 from curata.streaming import stream
 
 
-def run_job(spark: SparkSession, landing: str, tables: str, as_of: Column, run_id: int) -> DataFrame:
-    articles = read_sources(spark, landing, as_of)
-    stream.process_batch(articles, run_id, tables, as_of)
+def run_job(spark: SparkSession, landing: str, tables: str, as_of: Column, run_id: int, force: bool = False) -> DataFrame:
+    def run() -> None:
+        stream.process_run(read_sources(spark, landing, as_of), run_id, tables, as_of, rejects=read_rejects(spark, landing, as_of))
+
+    if force:
+        run()
+    else:
+        stream.check_and_run(spark, tables, run_id, as_of, run)
     return stream.current_store(spark, tables)

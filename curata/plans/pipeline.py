@@ -17,7 +17,8 @@ from curata.session import cut_lineage
 def run_batch(articles: DataFrame, memory: DataFrame, responses: DataFrame | None, as_of: Column,
               current_news: DataFrame | None = None, top: int = vocab.TOP_N, per_domain: int = vocab.MAX_PER_DOMAIN,
               threshold: float = vocab.SIMILARITY_THRESHOLD) -> dict:
-    unique = dedup.deduplicate(articles, memory, as_of, threshold)
+    # read by the ranking and by the counts: materialised once, not deduplicated again
+    unique = cut_lineage(dedup.deduplicate(articles, memory, as_of, threshold))
     # at most ``top`` rows, feeding news, counts and memory: materialised once (checkpoint folder)
     selected = cut_lineage(rank.rank(unique, as_of, top, per_domain))
     if responses is not None:
@@ -27,7 +28,6 @@ def run_batch(articles: DataFrame, memory: DataFrame, responses: DataFrame | Non
             "summary", summary.fallback_summary(F.col("title"), F.col("description"))
         )
     news = summarize.to_news(summarized, as_of)
-    saved = news.dropDuplicates(["id"]) if current_news is None else news
     counts = (
         articles.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fetched").alias("stage"), "n")
         .unionByName(unique.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unique").alias("stage"), "n"))

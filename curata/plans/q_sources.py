@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from curata.plans import oracle as O
@@ -38,7 +40,8 @@ gn AS (
          {O.url_domain(f"CASE WHEN {O.is_blank('src_url')} THEN {O.jtrim('url')} ELSE src_url END")} AS source_domain,
          coalesce(description, '') AS description,
          CASE WHEN seq % 2 = 0 THEN 'https://img.example.com/' || seq || '.jpg' ELSE '' END AS image_url,
-         CASE WHEN seq % 13 = 0 OR published_at IS NULL THEN {O.AS_OF} ELSE date_trunc('second', published_at) END AS published_at,
+         CASE WHEN seq % 13 = 0 OR published_at IS NULL THEN {O.AS_OF} ELSE date_trunc('second', published_at)
+              + CASE WHEN seq % 5 = 2 THEN INTERVAL 250 MILLISECOND ELSE INTERVAL 0 SECOND END END AS published_at,
          0 AS upvotes, 0 AS comments
   FROM gn_src WHERE NOT {O.is_blank(O.jtrim('t0'))} AND NOT {O.is_blank(O.jtrim('url'))}
 )"""
@@ -83,6 +86,20 @@ rs AS (
 )"""
 
 
+_ATOM_SQL = f""",
+atom_src AS (
+  SELECT seq, CASE WHEN seq % 11 = 0 THEN '' ELSE {O.jtrim('title')} END AS t, {O.jtrim('url')} AS u, description,
+         CASE WHEN seq % 3 = 2 OR published_at IS NULL THEN {O.AS_OF} ELSE date_trunc('second', published_at) END AS p
+  FROM articles_pages
+),
+atom AS (
+  SELECT t AS title, u AS url, 'rss' AS source, 'theverge.com' AS source_domain,
+         CASE WHEN description IS NULL THEN '' ELSE {O.strip_truncate('description')} END AS description,
+         '' AS image_url, p AS published_at, 0 AS upvotes, 0 AS comments
+  FROM atom_src WHERE NOT {O.is_blank('t')} AND NOT {O.is_blank('u')} AND p >= {O.AS_OF} - INTERVAL 12 HOUR
+)"""
+
+
 def _hn(spark, sf):
     return feeds.parse_hn_items(landing.hn_item_payloads(spark, sf))
 
@@ -133,6 +150,11 @@ def q_src_rss(spark, sf):
     return _rss(spark, sf)
 
 
+@register("src_atom", O.with_fixtures(_ATOM_SQL + f"\nSELECT {_COLS} FROM atom"))
+def q_src_atom(spark, sf):
+    return feeds.parse_rss(landing.atom_entries(spark, sf), FX.as_of(), atom=True)
+
+
 @register(
     "src_union",
     O.with_fixtures(
@@ -162,21 +184,34 @@ def q_src_rejects(spark, sf):
 @register(
     "src_rejects_all",
     O.with_fixtures(
-        f""", rj AS (
+        _GNEWS_SQL + _REDDIT_SQL + _RSS_SQL + f""", rj AS (
   SELECT 'hackernews' AS source, seq::VARCHAR AS ref,
          CASE WHEN seq % 23 = 0 THEN 'malformed' WHEN seq % 10 = 9 THEN 'not_story' WHEN upvotes * 2 < 50 THEN 'low_score'
               WHEN seq % 17 = 0 OR {O.is_blank('url')} THEN 'blank_url' WHEN {O.is_blank(O.jtrim('title'))} THEN 'blank_title' END AS reason
   FROM articles_pages
   UNION ALL
   SELECT DISTINCT 'gnews', (seq // 50)::VARCHAR, 'no_articles' FROM articles_pages WHERE (seq // 50) % 7 = 3
+  UNION ALL
+  SELECT 'gnews', (seq // 50)::VARCHAR, CASE WHEN {O.is_blank(O.jtrim('t0'))} THEN 'blank_title' WHEN {O.is_blank(O.jtrim('url'))} THEN 'blank_url' END FROM gn_src
+  UNION ALL
+  SELECT 'reddit', ({_ENDPOINTS})[CAST((seq // 50) % 4 AS INTEGER) + 1],
+         CASE WHEN coalesce(is_self, true) THEN 'self_post' WHEN contains(u, 'reddit.com') THEN 'internal_link' WHEN score < 100 THEN 'low_score'
+              WHEN nc < 20 THEN 'few_comments' WHEN {O.is_blank('t')} THEN 'blank_title' WHEN {O.is_blank('u')} THEN 'blank_url' END FROM rd_src
+  UNION ALL
+  SELECT 'rss', seq::VARCHAR, CASE WHEN {O.is_blank('t')} THEN 'blank_title' WHEN {O.is_blank('u')} THEN 'blank_url'
+         WHEN p < {O.AS_OF} - INTERVAL 12 HOUR THEN 'too_old' END FROM rs_src
 )
 SELECT source, ref, reason FROM rj WHERE reason IS NOT NULL"""
     ),
 )
 def q_src_rejects_all(spark, sf):
-    """Rejected payloads of every source: items, envelopes, listings and feed items."""
-    hn = feeds.hn_rejects(landing.hn_item_payloads(spark, sf)).select(F.lit("hackernews").alias("source"), F.col("seq").cast("string").alias("ref"), "reason")
-    gn = feeds.payload_rejects(landing.gnews_envelopes(spark, sf), "gnews").select(F.lit("gnews").alias("source"), F.col("chunk").cast("string").alias("ref"), "reason")
-    rd = feeds.payload_rejects(landing.reddit_listings(spark, sf), "reddit").select(F.lit("reddit").alias("source"), F.col("endpoint").alias("ref"), "reason")
-    rs = feeds.payload_rejects(landing.rss_items(spark, sf), "rss").select(F.lit("rss").alias("source"), F.col("seq").cast("string").alias("ref"), "reason")
-    return hn.unionByName(gn).unionByName(rd).unionByName(rs)
+    """Everything landed that yields no article: payloads of every source, and single articles, posts and items."""
+    gnews, reddit, rss = landing.gnews_envelopes(spark, sf), landing.reddit_listings(spark, sf), landing.rss_items(spark, sf)
+    ref = lambda rows, source, col: rows.select(F.lit(source).alias("source"), F.col(col).cast("string").alias("ref"), "reason")
+    parts = [
+        ref(feeds.hn_rejects(landing.hn_item_payloads(spark, sf)), "hackernews", "seq"),
+        ref(feeds.payload_rejects(gnews, "gnews"), "gnews", "chunk"), ref(feeds.gnews_rejects(gnews, FX.as_of()), "gnews", "chunk"),
+        ref(feeds.payload_rejects(reddit, "reddit"), "reddit", "endpoint"), ref(feeds.reddit_rejects(reddit), "reddit", "endpoint"),
+        ref(feeds.payload_rejects(rss, "rss"), "rss", "seq"), ref(feeds.rss_rejects(feeds.read_items(rss), FX.as_of()), "rss", "seq"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

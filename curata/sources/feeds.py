@@ -30,18 +30,12 @@ RSS_FEEDS = [
 ]
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-GNEWS_SCHEMA = (
-    "articles array<struct<title:string, url:string, description:string, image:string, publishedAt:string,"
-    " source:struct<name:string, url:string>>>"
-)
-REDDIT_SCHEMA = (
-    "data struct<children: array<struct<data: struct<title:string, url:string, score:int, num_comments:int,"
-    " is_self:boolean, created_utc:bigint, thumbnail:string, subreddit_name_prefixed:string>>>>"
-)
-RSS_ITEM_SCHEMA = (
-    "title string, link string, pubDate string, updated string, description string,"
-    " `media:content` struct<_url:string>, `media:thumbnail` struct<_url:string>"
-)
+# FIXED VALUES: hours east of UTC of the zone names that feed dates may carry.
+ZONES = {"UT": 0, "GMT": 0, "UTC": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+
+_MEDIA = "`media:content` array<struct<_url:string>>, `media:thumbnail` array<struct<_url:string>>"
+RSS_ITEM_SCHEMA = f"title string, link string, pubDate string, updated string, description string, {_MEDIA}"
+ATOM_ENTRY_SCHEMA = f"title string, link array<struct<_href:string,_rel:string>>, published string, updated string, summary string, {_MEDIA}"
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
@@ -50,11 +44,23 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
 
 
-def read_feed_files(spark: SparkSession, path: str, feed_url: str) -> DataFrame:
-    """Landed feed documents (RSS ``<rss><channel><item>`` or any document with ``<item>`` rows)
-    read with the XML source, one row per item, with the declared schema (no inference)."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM_SCHEMA).load(path)
-    return items.withColumn("feed_url", F.lit(feed_url))
+def read_feed_files(spark: SparkSession, path: str, feed_url: Column | str) -> DataFrame:
+    """Landed feed documents read with the XML source: RSS ``<item>`` rows and Atom ``<entry>`` rows
+    (as items), with the declared schemas (no inference). ``feed_url`` is a value or a column over
+    ``_metadata``."""
+    url = F.lit(feed_url) if isinstance(feed_url, str) else feed_url
+    rows = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("feed_url", url)
+    return rows("item", RSS_ITEM_SCHEMA).unionByName(atom_to_items(rows("entry", ATOM_ENTRY_SCHEMA)))
+
+
+def atom_to_items(entries: DataFrame) -> DataFrame:
+    """Atom entries in the columns of RSS items: the first link that is the page itself, ``published``
+    (else ``updated``) as dates, the summary as description."""
+    page = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    url = F.coalesce(F.get(page, F.lit(0))["_href"], F.get(F.col("link"), F.lit(0))["_href"])
+    keep = [c for c in entries.columns if c not in ("title", "link", "published", "updated", "summary", "media:content", "media:thumbnail")]
+    return entries.select(*keep, "title", url.alias("link"), F.col("published").alias("pubDate"), "updated", F.col("summary").alias("description"),
+                          "`media:content`", "`media:thumbnail`")
 
 
 def label_from_path(file_col: Column, key: str = "endpoint") -> Column:
@@ -69,24 +75,62 @@ def epoch_seconds_to_ts(secs: Column) -> Column:
     return F.timestamp_add("SECOND", secs, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
+def _offset_minutes(sign: Column, hours: Column, minutes: Column) -> Column:
+    return (hours.try_cast("int") * 60 + minutes.try_cast("int")) * F.when(sign == "-", -1).otherwise(1)
+
+
+def _matched(s: Column, pattern: str, groups: int, made) -> Column:
+    """``made(g)`` over the groups of a whole match, ``g(i)`` being '' for an unused group; NULL without a match.
+
+    The match is done once: the groups are a value bound by a lambda, not repeated in every use."""
+    cut = F.split(F.regexp_replace(s, pattern, "\x01".join(f"${i}" for i in range(1, groups + 1))), "\x01")
+    one = F.transform(F.array(cut), lambda x: F.when(F.size(x) == groups, made(lambda i: F.get(x, F.lit(i - 1)))))
+    return F.get(one, F.lit(0))
+
+
 def parse_iso_instant(s: Column) -> Column:
-    """``yyyy-MM-ddTHH:mm:ss[.fff]Z`` -> timestamp_ntz (UTC wall clock); anything else -> NULL."""
-    pat = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:\.\d+)?Z$"
-    g = lambda i: F.regexp_extract(s, pat, i).try_cast("int")
-    return F.try_make_timestamp_ntz(g(1), g(2), g(3), g(4), g(5), g(6))
+    """ISO date and time with ``Z`` or an offset and an optional fraction -> timestamp_ntz in UTC; anything else -> NULL."""
+    pat = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?(?:Z|([+-])(\d{2}):?(\d{2}))$"
+
+    def made(g):
+        sec = F.when(g(6) == "", F.lit("0")).otherwise(g(6)).try_cast("decimal(8,6)")
+        local = F.try_make_timestamp_ntz(*[g(i).try_cast("int") for i in range(1, 6)], sec)
+        offset = F.when(g(7) == "", F.lit(0)).otherwise(_offset_minutes(g(7), g(8), g(9)))
+        return F.timestamp_add("MINUTE", -offset, local)
+
+    return _matched(s, pat, 9, made)
 
 
 def parse_rfc822(s: Column) -> Column:
-    """``EEE, dd MMM yyyy HH:mm:ss +hhmm`` -> timestamp_ntz in UTC; anything else -> NULL."""
-    pat = r"^[A-Za-z]{3}, (\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}):(\d{2}):(\d{2}) ([+-])(\d{2})(\d{2})$"
-    g = lambda i: F.regexp_extract(s, pat, i)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), g(2)).cast("int")
-    local = F.try_make_timestamp_ntz(
-        g(3).try_cast("int"), F.when(month > 0, month), g(1).try_cast("int"),
-        g(4).try_cast("int"), g(5).try_cast("int"), g(6).try_cast("int"),
-    )
-    offset = (g(8).try_cast("int") * 60 + g(9).try_cast("int")) * F.when(g(7) == "-", -1).otherwise(1)
-    return F.timestamp_add("MINUTE", -offset, local)
+    """``[EEE,] dd MMM yy[yy] HH:mm[:ss] zone`` with a numeric or named zone -> timestamp_ntz in UTC; anything else -> NULL."""
+    pat = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s+(?:([+-])(\d{2})(\d{2})|([A-Z]{1,3}))$"
+
+    def made(g):
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(g(2))).cast("int")
+        year = g(3).try_cast("int")
+        year = F.when(F.length(g(3)) == 2, year + F.when(year < 50, 2000).otherwise(1900)).otherwise(year)
+        sec = F.when(g(6) == "", F.lit("0")).otherwise(g(6)).try_cast("int")
+        local = F.try_make_timestamp_ntz(year, F.when(month > 0, month), g(1).try_cast("int"), g(4).try_cast("int"), g(5).try_cast("int"), sec)
+        named = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), g(10)) * 60
+        offset = F.when(g(10) != "", named).otherwise(_offset_minutes(g(7), g(8), g(9)))
+        return F.timestamp_add("MINUTE", -offset, local)
+
+    return _matched(text.jtrim(s), pat, 10, made)
+
+
+def parse_date(s: Column) -> Column:
+    """Either form of date that feeds use."""
+    return F.coalesce(parse_rfc822(s), parse_iso_instant(s))
+
+
+def _number(v: Column, path: str, kind: str) -> Column:
+    """A JSON number or numeric string, cut to an integer; 0 when there is none."""
+    return F.coalesce(F.try_variant_get(v, path, kind), F.try_variant_get(v, path, "double").try_cast(kind), F.lit(0).cast(kind))
+
+
+def _text(v: Column, path: str) -> Column:
+    """A JSON scalar as text; '' when there is none."""
+    return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
 def _rows(df: DataFrame, **cols: Column) -> DataFrame:
@@ -167,22 +211,24 @@ def hn_top_stories(lists: DataFrame, items: DataFrame, limit: int = vocab.HN_TOP
 # ---------------------------------------------------------------- headline envelopes
 
 
+def _gnews_rows(raw: DataFrame, as_of: Column) -> DataFrame:
+    """All articles of all envelopes with the first failing check as ``reason``."""
+    a = raw.select("*", F.explode(F.try_variant_get(F.try_parse_json("payload"), "$.articles", "array<variant>")).alias("a")).drop("payload")
+    v = F.col("a")
+    a = a.select(
+        *[c for c in a.columns if c != "a"], text.jtrim(_text(v, "$.title")).alias("title"), text.jtrim(_text(v, "$.url")).alias("url"),
+        _text(v, "$.description").alias("description"), _text(v, "$.image").alias("image_url"),
+        F.coalesce(parse_iso_instant(_text(v, "$.publishedAt")), as_of).alias("published_at"), _text(v, "$.source.url").alias("source_url"),
+    )
+    return a.withColumn("reason", F.when(text.is_blank(F.col("title")), "blank_title").when(text.is_blank(F.col("url")), "blank_url"))
+
+
 def parse_gnews(raw: DataFrame, as_of: Column) -> DataFrame:
     """Envelope payloads -> one row per article with nonblank (trimmed) title and url.
 
     A missing or non-array ``articles`` yields no rows; an unparsable ``publishedAt`` becomes
     ``as_of``; the domain comes from ``source.url`` when nonblank, else from the article url."""
-    env = F.from_json(F.col("payload"), GNEWS_SCHEMA)
-    a = raw.select(F.explode(env["articles"]).alias("a"))
-    a = a.select(
-        text.jtrim(F.coalesce(F.col("a.title"), F.lit(""))).alias("title"),
-        text.jtrim(F.coalesce(F.col("a.url"), F.lit(""))).alias("url"),
-        F.coalesce(F.col("a.description"), F.lit("")).alias("description"),
-        F.coalesce(F.col("a.image"), F.lit("")).alias("image_url"),
-        F.coalesce(parse_iso_instant(F.col("a.publishedAt")), as_of).alias("published_at"),
-        F.coalesce(F.col("a.source.url"), F.lit("")).alias("source_url"),
-    )
-    a = a.where(text.not_blank(F.col("title")) & text.not_blank(F.col("url")))
+    a = _gnews_rows(raw, as_of).where("reason is null")
     dom_src = F.when(text.is_blank(F.col("source_url")), F.col("url")).otherwise(F.col("source_url"))
     return _rows(
         a, title=F.col("title"), url=F.col("url"), source=F.lit("gnews"), source_domain=urls.url_domain(dom_src),
@@ -194,27 +240,32 @@ def parse_gnews(raw: DataFrame, as_of: Column) -> DataFrame:
 # ---------------------------------------------------------------- listings
 
 
-def parse_reddit(raw: DataFrame, min_upvotes: int = vocab.REDDIT_MIN_UPVOTES, min_comments: int = vocab.REDDIT_MIN_COMMENTS) -> DataFrame:
-    """Listing payloads ``(endpoint, payload)`` -> link posts passing the thresholds.
-
-    Self posts are dropped (a missing ``is_self`` counts as true), as are urls containing
-    'reddit.com'. The description names the subreddit (else the endpoint label) and the counts."""
-    lst = F.from_json(F.col("payload"), REDDIT_SCHEMA)
-    p = raw.select("endpoint", F.explode(lst["data"]["children"]).alias("c")).select("endpoint", "c.data.*")
+def _reddit_rows(raw: DataFrame, min_upvotes: int, min_comments: int) -> DataFrame:
+    """All posts of all listings with the first failing check as ``reason``."""
+    p = raw.select("*", F.explode(F.try_variant_get(F.try_parse_json("payload"), "$.data.children", "array<variant>")).alias("c")).drop("payload")
+    v = F.col("c")
     p = p.select(
-        text.jtrim(F.coalesce("title", F.lit(""))).alias("title"),
-        text.jtrim(F.coalesce("url", F.lit(""))).alias("url"),
-        F.coalesce("score", F.lit(0)).alias("score"),
-        F.coalesce("num_comments", F.lit(0)).alias("num_comments"),
-        F.coalesce("is_self", F.lit(True)).alias("is_self"),
-        F.coalesce("created_utc", F.lit(0).cast("bigint")).alias("created_utc"),
-        F.coalesce("thumbnail", F.lit("")).alias("thumbnail"),
-        F.coalesce("subreddit_name_prefixed", F.col("endpoint")).alias("subreddit"),
+        *[c for c in p.columns if c != "c"],
+        text.jtrim(_text(v, "$.data.title")).alias("title"), text.jtrim(_text(v, "$.data.url")).alias("url"),
+        _number(v, "$.data.score", "int").alias("score"), _number(v, "$.data.num_comments", "int").alias("num_comments"),
+        F.coalesce(F.try_variant_get(v, "$.data.is_self", "boolean"), F.lit(True)).alias("is_self"),
+        _number(v, "$.data.created_utc", "bigint").alias("created_utc"), _text(v, "$.data.thumbnail").alias("thumbnail"),
+        F.coalesce(F.try_variant_get(v, "$.data.subreddit_name_prefixed", "string"), F.col("endpoint")).alias("subreddit"),
     )
-    p = p.where(
-        ~F.col("is_self") & ~F.col("url").contains("reddit.com") & (F.col("score") >= min_upvotes)
-        & (F.col("num_comments") >= min_comments) & text.not_blank(F.col("title")) & text.not_blank(F.col("url"))
+    reason = (
+        F.when(F.col("is_self"), "self_post").when(F.col("url").contains("reddit.com"), "internal_link").when(F.col("score") < min_upvotes, "low_score")
+        .when(F.col("num_comments") < min_comments, "few_comments").when(text.is_blank(F.col("title")), "blank_title").when(text.is_blank(F.col("url")), "blank_url")
     )
+    return p.withColumn("reason", reason)
+
+
+def parse_reddit(raw: DataFrame, min_upvotes: int = vocab.REDDIT_MIN_UPVOTES, min_comments: int = vocab.REDDIT_MIN_COMMENTS) -> DataFrame:
+    """Listing payloads ``(endpoint, payload)`` -> link posts passing the thresholds.
+
+    Numbers may be integers, fractions or strings. Self posts are dropped (a missing ``is_self``
+    counts as true), as are urls containing 'reddit.com'. The description names the subreddit (else
+    the endpoint label) and the counts."""
+    p = _reddit_rows(raw, min_upvotes, min_comments).where("reason is null")
     descr = F.concat(F.col("subreddit"), F.lit(" — "), F.col("score").cast("string"), F.lit(" upvotes, "),
                      F.col("num_comments").cast("string"), F.lit(" comments"))
     return _rows(
@@ -227,34 +278,41 @@ def parse_reddit(raw: DataFrame, min_upvotes: int = vocab.REDDIT_MIN_UPVOTES, mi
 # ---------------------------------------------------------------- feeds
 
 
-def parse_rss(raw: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS) -> DataFrame:
+def read_items(raw: DataFrame, atom: bool = False) -> DataFrame:
+    """XML documents in column ``item_xml``, one item (or Atom entry) each, as item columns; other columns are kept."""
+    x = raw.withColumn("x", F.from_xml(F.col("item_xml"), ATOM_ENTRY_SCHEMA if atom else RSS_ITEM_SCHEMA))
+    x = x.select(*[c for c in raw.columns if c != "item_xml"], "x.*")
+    return atom_to_items(x) if atom else x
+
+
+def parse_rss(raw: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS, atom: bool = False) -> DataFrame:
     """XML items ``(feed_url, item_xml)`` -> entries with nonblank title and link, published
     (else updated, else ``as_of``) no earlier than ``as_of - max_age_hours``.
 
     The domain is the feed's host (the feed url itself when it has none); the description is
     tag-stripped and cut to 500 units + '...'; the image is the first media content / thumbnail
     url that is nonblank (content first)."""
-    it = raw.select("feed_url", F.from_xml(F.col("item_xml"), RSS_ITEM_SCHEMA).alias("x")).select("feed_url", "x.*")
-    return parse_rss_rows(it, as_of, max_age_hours)
+    return parse_rss_rows(read_items(raw.select("feed_url", "item_xml"), atom), as_of, max_age_hours)
 
 
-def parse_rss_rows(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS) -> DataFrame:
-    """Same as ``parse_rss`` for items already read into columns (``read_feed_files``)."""
-    pub = F.coalesce(parse_rfc822(F.col("pubDate")), parse_iso_instant(F.col("updated")), as_of)
+def _rss_rows(it: DataFrame, as_of: Column, max_age_hours: int) -> DataFrame:
+    """All items with the first failing check as ``reason``."""
+    first = lambda c: F.get(F.filter(F.col(c), lambda m: text.not_blank(m["_url"])), F.lit(0))["_url"]
+    pub = F.coalesce(parse_date(F.col("pubDate")), parse_date(F.col("updated")), as_of)
     it = it.select(
-        "feed_url",
-        text.jtrim(F.coalesce("title", F.lit(""))).alias("title"),
-        text.jtrim(F.coalesce("link", F.lit(""))).alias("url"),
-        pub.alias("published_at"),
+        *[c for c in it.columns if c not in ("title", "link", "pubDate", "updated", "description", "media:content", "media:thumbnail")],
+        text.jtrim(F.coalesce("title", F.lit(""))).alias("title"), text.jtrim(F.coalesce("link", F.lit(""))).alias("url"), pub.alias("published_at"),
         F.when(F.col("description").isNull(), F.lit("")).otherwise(text.strip_truncate(F.col("description"), vocab.RSS_DESCRIPTION_MAX)).alias("description"),
-        F.coalesce(
-            F.when(text.not_blank(F.col("`media:content`._url")), F.col("`media:content`._url")),
-            F.when(text.not_blank(F.col("`media:thumbnail`._url")), F.col("`media:thumbnail`._url")),
-            F.lit(""),
-        ).alias("image_url"),
+        F.coalesce(first("`media:content`"), first("`media:thumbnail`"), F.lit("")).alias("image_url"),
     )
     cutoff = F.timestamp_add("HOUR", F.lit(-max_age_hours), as_of)
-    it = it.where(text.not_blank(F.col("title")) & text.not_blank(F.col("url")) & (F.col("published_at") >= cutoff))
+    return it.withColumn("reason", F.when(text.is_blank(F.col("title")), "blank_title").when(text.is_blank(F.col("url")), "blank_url")
+                         .when(F.col("published_at") < cutoff, "too_old"))
+
+
+def parse_rss_rows(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS) -> DataFrame:
+    """Same as ``parse_rss`` for items already read into columns (``read_feed_files``)."""
+    it = _rss_rows(it, as_of, max_age_hours).where("reason is null")
     return _rows(
         it, title=F.col("title"), url=F.col("url"), source=F.lit("rss"),
         source_domain=urls.url_domain(F.col("feed_url"), fallback_to_url=True), description=F.col("description"),
@@ -265,6 +323,22 @@ def parse_rss_rows(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_
 # ---------------------------------------------------------------- union and rejects
 
 
+def gnews_rejects(raw: DataFrame, as_of: Column) -> DataFrame:
+    """Articles that an envelope holds but that yield no row, with a reason; other raw columns are kept."""
+    return _gnews_rows(raw, as_of).where("reason is not null").select(*[c for c in raw.columns if c != "payload"], "reason")
+
+
+def reddit_rejects(raw: DataFrame, min_upvotes: int = vocab.REDDIT_MIN_UPVOTES, min_comments: int = vocab.REDDIT_MIN_COMMENTS) -> DataFrame:
+    """Posts that a listing holds but that yield no row, with a reason; other raw columns are kept."""
+    return _reddit_rows(raw, min_upvotes, min_comments).where("reason is not null").select(*[c for c in raw.columns if c != "payload"], "reason")
+
+
+def rss_rejects(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS) -> DataFrame:
+    """Items that yield no row, with a reason; other columns are kept."""
+    rows = _rss_rows(it, as_of, max_age_hours).where("reason is not null")
+    return rows.drop("title", "url", "published_at", "description", "image_url")
+
+
 def payload_rejects(raw: DataFrame, kind: str) -> DataFrame:
     """Whole payloads that yield nothing, with a reason; other raw columns are kept.
 
@@ -277,12 +351,8 @@ def payload_rejects(raw: DataFrame, kind: str) -> DataFrame:
         reason = F.when(bad, F.lit("malformed"))
     else:
         v = F.try_parse_json(F.col("payload"))
-        if kind == "gnews":
-            env = F.from_json(F.col("payload"), GNEWS_SCHEMA)
-            reason = F.when(v.isNull(), F.lit("malformed")).when(env["articles"].isNull(), F.lit("no_articles"))
-        else:
-            lst = F.from_json(F.col("payload"), REDDIT_SCHEMA)
-            reason = F.when(v.isNull(), F.lit("malformed")).when(lst["data"]["children"].isNull(), F.lit("no_children"))
+        path, name = ("$.articles", "no_articles") if kind == "gnews" else ("$.data.children", "no_children")
+        reason = F.when(v.isNull(), F.lit("malformed")).when(F.try_variant_get(v, path, "array<variant>").isNull(), F.lit(name))
     return raw.select(*keep, reason.alias("reason")).where(F.col("reason").isNotNull())
 
 

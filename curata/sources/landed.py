@@ -3,7 +3,7 @@
 Layout (any number of files per folder):
 
     <landing>/hn/items/        JSON lines, one item document per line
-    <landing>/hn/lists/        JSON lines, one id array per line (one list per file)
+    <landing>/hn/lists/        JSON lines, one id array per line, in a folder for each list
     <landing>/gnews/           JSON lines, one headline envelope per line
     <landing>/reddit/endpoint=<label>/   JSON lines, one listing per line (label URL-encoded)
     <landing>/rss/feed=<feed url>/       feed documents (XML, <item> rows; feed url URL-encoded)
@@ -13,54 +13,98 @@ Layout (any number of files per folder):
 
 from __future__ import annotations
 
-import urllib.parse
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.sources import feeds, landing
 
 SOURCE_RANK = {"hackernews": 0, "gnews": 1, "reddit": 2, "rss": 3}
+REJECT_COLUMNS = ["source", "file", "reason"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def present(read):
+    """What ``read()`` returns, or None where its path does not exist (any other error is raised)."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _raw(spark: SparkSession, root: str) -> dict:
+    """Landed payloads by source; None for an absent one."""
+    def reddit():
+        return feeds.read_landed(spark, f"{root}/reddit/*").withColumn("endpoint", feeds.label_from_path(F.col("file")))
+
+    def rss():
+        url = feeds.label_from_path(F.col("_metadata.file_path"), "feed")
+        return feeds.read_feed_files(spark, f"{root}/rss/*", url)
+
+    return {"lists": present(lambda: feeds.read_landed(spark, f"{root}/hn/lists/*")), "items": present(lambda: feeds.read_landed(spark, f"{root}/hn/items")),
+            "gnews": present(lambda: feeds.read_landed(spark, f"{root}/gnews")), "reddit": present(reddit), "rss": present(rss)}
+
+
+def order_key(arts: DataFrame) -> DataFrame:
+    """Add ``seq``: the source's rank, then a 128-bit digest of the whole row.
+
+    Fetch order in the original service is not defined, so any total order is valid; this one does not
+    depend on files or partitions. Rows that agree in every column are one row."""
+    cols = feeds.ARTICLE_COLUMNS
+    rank = F.element_at(F.create_map(*[x for k, v in SOURCE_RANK.items() for x in (F.lit(k), F.lit(str(v)))]), F.col("source"))
+    whole = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return arts.withColumn("seq", F.concat(rank, F.lit("-"), F.md5(whole))).dropDuplicates(["seq"])
 
 
 def read_sources(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
-    """Parsed articles of every present source (an absent source contributes nothing).
-
-    ``seq`` is a deterministic order key: source rank in the high bits, a 56-bit hash of
-    (url, title, published_at) below. Fetch order in the original service is not defined, so any
-    total order is valid; this one does not depend on partitioning (no global sort)."""
-    parts = []
-    if _exists(spark, f"{root}/hn/items") and _exists(spark, f"{root}/hn/lists"):
-        lists = feeds.read_landed(spark, f"{root}/hn/lists").withColumnRenamed("file", "list_id")
-        parts.append(feeds.hn_top_stories(lists, feeds.read_landed(spark, f"{root}/hn/items")).drop("list_id", "pos", "id"))
-    if _exists(spark, f"{root}/gnews"):
-        parts.append(feeds.parse_gnews(feeds.read_landed(spark, f"{root}/gnews"), as_of))
-    if _exists(spark, f"{root}/reddit"):
-        raw = feeds.read_landed(spark, f"{root}/reddit/*").withColumn("endpoint", feeds.label_from_path(F.col("file")))
-        parts.append(feeds.parse_reddit(raw))
-    if _exists(spark, f"{root}/rss"):
-        items = spark.read.format("xml").option("rowTag", "item").schema(feeds.RSS_ITEM_SCHEMA).load(f"{root}/rss/*")
-        items = items.withColumn("feed_url", feeds.label_from_path(F.col("_metadata.file_path"), "feed"))
-        parts.append(feeds.parse_rss_rows(items, as_of))
+    """Parsed articles of every present source with an order key ``seq``; without any source an empty table."""
+    raw, parts = _raw(spark, root), []
+    if raw["items"] is not None and raw["lists"] is not None:
+        lists = raw["lists"].withColumnRenamed("file", "list_id")
+        parts.append(feeds.hn_top_stories(lists, raw["items"]).drop("list_id", "pos", "id"))
+    if raw["gnews"] is not None:
+        parts.append(feeds.parse_gnews(raw["gnews"], as_of))
+    if raw["reddit"] is not None:
+        parts.append(feeds.parse_reddit(raw["reddit"]))
+    if raw["rss"] is not None:
+        parts.append(feeds.parse_rss_rows(raw["rss"], as_of))
+    if not parts:
+        kinds = {"published_at": "timestamp_ntz", "upvotes": "int", "comments": "int"}
+        schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in feeds.ARTICLE_COLUMNS)
+        parts.append(spark.createDataFrame([], schema))
+    return order_key(feeds.union_sources(*parts))
+
+
+def read_rejects(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
+    """Columns source, file, reason: what the present sources landed but no article came of, payloads and single records."""
+    raw, parts = _raw(spark, root), []
+
+    def add(source: str, rows: DataFrame, file: str = "file"):
+        parts.append(rows.select(F.lit(source).alias("source"), F.col(file).alias("file"), "reason"))
+
+    if raw["items"] is not None:
+        add("hackernews", feeds.hn_rejects(raw["items"]))
+    if raw["gnews"] is not None:
+        add("gnews", feeds.payload_rejects(raw["gnews"], "gnews"))
+        add("gnews", feeds.gnews_rejects(raw["gnews"], as_of))
+    if raw["reddit"] is not None:
+        add("reddit", feeds.payload_rejects(raw["reddit"], "reddit"))
+        add("reddit", feeds.reddit_rejects(raw["reddit"]))
+    if raw["rss"] is not None:
+        add("rss", feeds.rss_rejects(raw["rss"], as_of), "feed_url")
     if not parts:
-        raise FileNotFoundError(f"no source folders under {root}")
-    arts = feeds.union_sources(*parts)
-    rank = F.element_at(F.create_map(*[x for k, v in SOURCE_RANK.items() for x in (F.lit(k), F.lit(v))]), F.col("source"))
-    h = F.xxhash64(F.col("url"), F.col("title"), F.col("published_at")).bitwiseAND(F.lit((1 << 56) - 1))
-    return arts.withColumn("seq", F.shiftleft(rank.cast("long"), 56).bitwiseOR(h))
+        return spark.createDataFrame([], "source string, file string, reason string")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def land_fixture(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Write the fixture payloads (``sources/landing.py``) into the landing layout (tests)."""
     landing.hn_item_payloads(spark, sf_dir).select("payload").write.text(f"{root}/hn/items")
     lists = landing.hn_id_lists(spark, sf_dir)
-    lists.repartition("list_id").select("payload").write.text(f"{root}/hn/lists")  # one list per file
+    lists.select("list_id", "payload").write.partitionBy("list_id").text(f"{root}/hn/lists")  # one folder per list
     landing.gnews_envelopes(spark, sf_dir).select("payload").write.text(f"{root}/gnews")
     rd = landing.reddit_listings(spark, sf_dir)
     rd.select("endpoint", "payload").write.partitionBy("endpoint").text(f"{root}/reddit")
@@ -69,7 +113,3 @@ def land_fixture(spark: SparkSession, sf_dir: str, root: str) -> None:
         F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(F.col("item_xml")), ""), F.lit("</channel></rss>")).alias("value")
     )
     docs.select(F.col("feed_url").alias("feed"), "value").write.partitionBy("feed").text(f"{root}/rss")
-
-
-def quote(label: str) -> str:
-    return urllib.parse.quote(label, safe="")

@@ -65,6 +65,8 @@ def gnews_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("description"),
         F.when(seq % 2 == 0, F.concat(F.lit("https://img.example.com/"), seq.cast("string"), F.lit(".jpg"))).alias("image"),
         F.when(seq % 13 == 0, F.lit("yesterday"))
+        .when(seq % 5 == 1, F.date_format(F.timestamp_add("HOUR", F.lit(-5), F.col("published_at")), "yyyy-MM-dd'T'HH:mm:ss'-05:00'"))
+        .when(seq % 5 == 2, F.date_format(F.col("published_at"), "yyyy-MM-dd'T'HH:mm:ss'.250Z'"))
         .otherwise(F.date_format(F.col("published_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .alias("publishedAt"),
         F.struct(
@@ -80,19 +82,24 @@ def gnews_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return env.select("chunk", payload.alias("payload"))
 
 
+def _quoted(when: Column, number: Column) -> Column:
+    """A JSON number, as a string where ``when`` holds."""
+    return F.when(when, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+
+
 def reddit_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(endpoint, payload)``: listings of ``CHUNK`` pages; scores 4 x upvotes, comments
-    2 x purchases; self posts, missing ``is_self``, reddit-internal links and missing subreddit
+    2 x purchases, some of them JSON strings, times with a fraction; self posts, missing ``is_self``, reddit-internal links and missing subreddit
     names included."""
     a = FX.articles_pages(spark, sf_dir)
     seq = F.col("seq")
     data = F.struct(
         F.col("title"),
         F.when(seq % 8 == 0, F.concat(F.lit("https://www.reddit.com/r/technology/comments/"), seq.cast("string"))).otherwise(F.col("url")).alias("url"),
-        (F.col("upvotes") * 4).alias("score"),
-        (F.col("comments") * 2).alias("num_comments"),
+        F.parse_json(_quoted(seq % 7 == 3, (F.col("upvotes") * 4).cast("string"))).alias("score"),
+        F.parse_json(_quoted(seq % 7 == 5, (F.col("comments") * 2).cast("string"))).alias("num_comments"),
         F.when(seq % 6 == 0, F.lit(True)).when(seq % 6 == 1, F.lit(None).cast("boolean")).otherwise(F.lit(False)).alias("is_self"),
-        _secs(F.col("published_at")).alias("created_utc"),
+        F.parse_json(F.concat(_secs(F.col("published_at")).cast("string"), F.lit(".0"))).alias("created_utc"),
         F.when(seq % 2 == 0, F.concat(F.lit("https://thumbs.example.com/"), seq.cast("string"), F.lit(".jpg"))).otherwise(F.lit("self")).alias("thumbnail"),
         F.when(seq % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("r/technology")).alias("subreddit_name_prefixed"),
     )
@@ -118,7 +125,8 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rfc = F.when(
         seq % 2 == 0,
         F.concat(F.date_format(F.timestamp_add("HOUR", F.lit(1), p), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0100")),
-    ).otherwise(F.concat(F.date_format(p, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+    ).when(seq % 9 == 3, F.concat(F.date_format(F.timestamp_add("HOUR", F.lit(-5), p), "d MMM yy HH:mm:ss"), F.lit(" EST"))
+    ).otherwise(F.concat(F.date_format(p, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
     date_el = (
         F.when((seq % 3 == 0) & p.isNotNull(), F.concat(F.lit("<pubDate>"), rfc, F.lit("</pubDate>")))
         .when((seq % 3 == 1) & p.isNotNull(), F.concat(F.lit("<updated>"), F.date_format(p, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated>")))
@@ -127,7 +135,7 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit('<media:content url="https://media.example.com/c'), seq.cast("string"), F.lit('.jpg"/>'))
     thumb = F.concat(F.lit('<media:thumbnail url="https://media.example.com/t'), seq.cast("string"), F.lit('.jpg"/>'))
     media = (
-        F.when(seq % 4 == 0, content).when(seq % 4 == 1, thumb).when(seq % 4 == 2, F.concat(thumb, content)).otherwise(F.lit(""))
+        F.when(seq % 4 == 0, F.concat(F.lit('<media:content url=" "/>'), content, F.replace(content, F.lit("/c"), F.lit("/later")))).when(seq % 4 == 1, thumb).when(seq % 4 == 2, F.concat(thumb, content)).otherwise(F.lit(""))
     )
     xml = F.concat(
         F.lit('<item xmlns:media="http://search.yahoo.com/mrss/"><title>'), _xml_escape(F.col("title")), F.lit("</title><link>"),
@@ -137,3 +145,21 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds = F.array(*[F.lit(f) for f in RSS_FEEDS])
     feed = F.element_at(feeds, (F.floor(seq / CHUNK) % len(RSS_FEEDS) + 1).cast("int"))
     return a.select("seq", feed.alias("feed_url"), xml.alias("item_xml"))
+
+
+def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, feed_url, item_xml)``: one Atom entry per page. Links with and without ``rel``, dates as
+    ``published`` with an offset, ``updated`` or absent, some titles blank."""
+    a = FX.articles_pages(spark, sf_dir)
+    seq, p, url = F.col("seq"), F.col("published_at"), _xml_escape(F.col("url"))
+    shifted = F.concat(F.date_format(F.timestamp_add("HOUR", F.lit(2), p), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    date_el = (
+        F.when((seq % 3 == 0) & p.isNotNull(), F.concat(F.lit("<published>"), shifted, F.lit("</published>")))
+        .when((seq % 3 == 1) & p.isNotNull(), F.concat(F.lit("<updated>"), F.date_format(p, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated>")))
+        .otherwise(F.lit(""))
+    )
+    own = F.when(seq % 2 == 0, F.concat(F.lit('<link rel="self" href="https://feed.example.com/"/><link rel="alternate" href="'), url, F.lit('"/>'))).otherwise(
+        F.concat(F.lit('<link href="'), url, F.lit('"/>')))
+    title = F.when(seq % 11 == 0, F.lit("  ")).otherwise(_xml_escape(F.col("title")))
+    xml = F.concat(F.lit("<entry><title>"), title, F.lit("</title>"), own, date_el, F.lit("<summary>"), _xml_escape(F.col("description")), F.lit("</summary></entry>"))
+    return a.select("seq", F.lit(RSS_FEEDS[1]).alias("feed_url"), xml.alias("item_xml"))

@@ -1,119 +1,180 @@
-"""Structured Streaming: the hourly run as micro-batches over a landing folder.
+"""The hourly run over a landing folder, in batch or driven by Structured Streaming.
 
-``stream_pipeline`` reads landed article files with a file source (``availableNow``, one file
-per trigger = one run) and, in ``foreachBatch``, runs the same batch functions: the dedup memory
-window is read from the memory table, the selected rows are written to the news log and
-remembered. Writes are keyed by ``batch_id`` partitions with dynamic partition overwrite, so a
-replayed batch rewrites its own partition and the tables stay idempotent (set-by-id on read).
+A run is a logical unit: the rows landed under ``run=<yyyyMMddHH>``, however many files hold them. Its
+clock is the end of that hour, so the memory window and the expiry move with the runs. The stream only
+says which runs have rows; each is then read whole from its folder and processed in run order, so
+the tables do not depend on files, triggers or batch boundaries.
 
-``stream_url_dedup`` is the separate, stateful variant: URL dedup inside a 24 h event-time
-watermark (``dropDuplicatesWithinWatermark``). It is not the same as the memory check: memory
-holds only published rows.
+Tables, all under one folder and partitioned by ``run_id``:
+
+    news_log   the rows that a run published
+    memory     the dedup memory after the run (rows up to 48 h old, so a snapshot stays small)
+    store      the bounded output table after the run
+    runs       one state row per run: ``running`` while it works, then its outcome
+    rejects    what the run's sources landed without an article coming of it
+
+A run reads only snapshots of earlier runs and replaces its own partitions, so a rerun changes
+nothing else, and a rerun without rows leaves none of the old ones.
+
+``stream_url_dedup`` is a separate, stateful variant: URL dedup by event time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.functions import urls, vocab
-from curata.operators import dedup
+from curata.operators import store
 from curata.plans import pipeline
+from curata.session import cut_lineage
+from curata.sources.landed import present
 
 MEMORY_SCHEMA = "normalized_url string, normalized_title string, ts timestamp_ntz"
+NEWS_SCHEMA = ("id string, title string, summary string, source string, source_domain string, url string, image_url string, "
+               "published_at timestamp_ntz, created_at timestamp_ntz, score double, tags array<string>")
+RUNS_SCHEMA = "last_fetched_at timestamp_ntz, last_run_status string, last_article_count int"
+REJECTS_SCHEMA = "source string, file string, reason string"
+SCHEMAS = {"news_log": NEWS_SCHEMA, "memory": MEMORY_SCHEMA, "store": NEWS_SCHEMA, "runs": RUNS_SCHEMA, "rejects": REJECTS_SCHEMA}
+
+
+def run_clock(run_id: int) -> Column:
+    """End of the hour that a run id (yyyyMMddHH) names."""
+    d = str(run_id)
+    start = F.lit(f"{d[:4]}-{d[4:6]}-{d[6:8]} {d[8:10]}:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("HOUR", F.lit(1), start)
+
+
+def read_table(spark: SparkSession, tables: str, name: str) -> DataFrame:
+    """A table with its ``run_id``; empty, with the declared schema, before the first run."""
+    schema = f"{SCHEMAS[name]}, run_id bigint"
+    found = present(lambda: spark.read.schema(schema).parquet(f"{tables}/{name}"))
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def snapshot_before(spark: SparkSession, tables: str, name: str, run_id: int) -> DataFrame:
+    """The snapshot that the latest run before ``run_id`` left (reads one partition)."""
+    earlier = read_table(spark, tables, name).where(F.col("run_id") < run_id)
+    last = earlier.agg(F.max("run_id")).first()[0]
+    return earlier.where(F.col("run_id") == F.lit(last)).drop("run_id") if last is not None else earlier.drop("run_id")
+
 
+def _replace(df: DataFrame, tables: str, name: str, run_id: int) -> DataFrame:
+    """Replace one run's partition, also by nothing, and return what it now holds.
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    A run without rows still leaves a file with the schema, so its snapshot counts as the latest."""
+    schema = SCHEMAS[name]
+    cols = [c.split()[0] for c in schema.replace("array<string>", "array").split(", ")]
+    df.select(*cols).coalesce(1).write.mode("overwrite").parquet(f"{tables}/{name}/run_id={run_id}")  # tables of one run are a few rows
+    return df.sparkSession.read.schema(schema).parquet(f"{tables}/{name}/run_id={run_id}")
+
+
+def process_run(articles: DataFrame, run_id: int, tables: str, as_of: Column, seed_memory: DataFrame | None = None,
+                rejects: DataFrame | None = None) -> None:
+    """One run: mark it running, trim the store, dedup against memory, rank, publish, remember, record the outcome.
+
+    An error records ``failed: <reason>``, or success when rows were already saved, and is raised again."""
+    spark = articles.sparkSession
+    state = lambda status, n: spark.range(1).select(as_of.alias("last_fetched_at"), F.lit(status).alias("last_run_status"), F.lit(n).alias("last_article_count"))
+    _replace(state("running", 0), tables, "runs", run_id)
+    saved = 0
     try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent table: empty (first run)
-        return spark.createDataFrame([], schema)
-
-
-def process_batch(batch: DataFrame, batch_id: int, tables: str, as_of: Column, seed_memory: DataFrame | None = None) -> None:
-    """One run: dedup against memory, rank, write news + memory partitions for ``batch_id``."""
-    spark = batch.sparkSession
-    mem = _read_or_empty(spark, f"{tables}/memory", MEMORY_SCHEMA + ", day date, batch_id long")
-    # partition pruning: only the days that can hold rows of the 24 h window are read
-    first_day = F.to_date(F.timestamp_add("HOUR", F.lit(-vocab.MEMORY_HOURS), as_of))
-    mem = mem.where((F.col("day") >= first_day) & (F.col("batch_id") != batch_id)).drop("day", "batch_id")
-    if seed_memory is not None:
-        mem = mem.unionByName(seed_memory)
-    run = pipeline.run_batch(batch, mem, None, as_of)
-    news = run["news"].withColumn("batch_id", F.lit(batch_id).cast("long"))
-    news.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{tables}/news_log")
-    # memory rows are derived from the news just written (read back, not recomputed)
-    written = spark.read.parquet(f"{tables}/news_log").where(F.col("batch_id") == batch_id)
-    from curata.operators import store
-
-    rows = store.remember(written, as_of).withColumn("day", F.to_date("ts")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(f"{tables}/memory")
-    # run state: one row per run, from the stage counts (saved = rows written for this batch)
-    counts = run["counts"].where(F.col("stage") != "saved").unionByName(
-        written.agg(F.countDistinct("id").alias("n")).select(F.lit("saved").alias("stage"), "n")
-    )
-    state = store.run_outcome(counts, as_of).drop("result").withColumn("batch_id", F.lit(batch_id).cast("long"))
-    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{tables}/runs")
+        kept = store.trim(snapshot_before(spark, tables, "store", run_id))
+        memory = snapshot_before(spark, tables, "memory", run_id)
+        known = memory if seed_memory is None else memory.unionByName(seed_memory)
+        # the rows of the run, parsed once
+        articles = cut_lineage(articles)
+        run = pipeline.run_batch(articles, known, None, as_of)
+        news = _replace(run["news"].dropDuplicates(["id"]), tables, "news_log", run_id)
+        saved = news.count()
+        _replace(store.upsert(kept, news, order_col=None), tables, "store", run_id)
+        remembered = store.expire(memory.unionByName(store.remember(news, as_of)), as_of) if saved else memory
+        _replace(remembered, tables, "memory", run_id)
+        if rejects is not None:
+            rejects.select("source", "file", "reason").write.mode("overwrite").parquet(f"{tables}/rejects/run_id={run_id}")
+        counts = run["counts"].where(F.col("stage") != "saved").unionByName(news.agg(F.count(F.lit(1)).alias("n")).select(F.lit("saved").alias("stage"), "n"))
+        _replace(store.run_outcome(counts, as_of), tables, "runs", run_id)
+    except Exception as e:
+        reason = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
+        _replace(state("success", saved) if saved else state(f"failed: {reason}", 0), tables, "runs", run_id)
+        raise
 
 
 def current_state(spark: SparkSession, tables: str) -> DataFrame:
     """Latest run state over the runs table (defaults when there is none)."""
-    from curata.operators import store
+    return store.latest_run(read_table(spark, tables, "runs").drop("run_id"))
+
+
+def current_store(spark: SparkSession, tables: str) -> DataFrame:
+    """The store that the latest run left."""
+    return snapshot_before(spark, tables, "store", 1 << 62)
+
+
+def check_and_run(spark: SparkSession, tables: str, run_id: int, as_of: Column, run: Callable[[], None]) -> bool:
+    """The periodic check: a run that is not due only trims the store, under its own run id; returns whether it ran."""
+    due = store.run_due(current_state(spark, tables), as_of).first()["due"]
+    if due:
+        run()
+    else:
+        _replace(cut_lineage(store.trim(snapshot_before(spark, tables, "store", run_id + 1))), tables, "store", run_id)
+    return bool(due)
+
+
+def land_runs(articles: DataFrame, landing: str, run_id: Column, files: int | None = None) -> None:
+    """Land ``articles`` under ``run=<id>`` in one write; ``files`` splits each run over so many files."""
+    keyed = articles.withColumn("run", run_id)
+    if files:
+        keyed = keyed.repartition(files)
+    keyed.write.mode("overwrite").partitionBy("run").parquet(landing)
+
 
-    runs = _read_or_empty(spark, f"{tables}/runs", "last_fetched_at timestamp_ntz, last_run_status string, last_article_count int, batch_id long")
-    return store.latest_run(runs.drop("batch_id"))
+def stream_pipeline(spark: SparkSession, landing: str, tables: str, checkpoint: str, schema, seed_memory: DataFrame | None = None,
+                    clock: Callable[[int], Column] = run_clock) -> None:
+    """Process every run that has landed, in run order, then stop (``availableNow``)."""
+    names = [f.name for f in schema.fields]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", run bigint"
 
+    def batch(df: DataFrame, _: int) -> None:
+        ids = sorted(r["run"] for r in df.select("run").distinct().collect())  # a few ids; runs depend on earlier runs
+        for run_id in ids:
+            whole = spark.read.schema(ddl).parquet(landing).where(F.col("run") == run_id).select(*names)
+            process_run(whole, run_id, tables, clock(run_id), seed_memory)
 
-def current_store(spark: SparkSession, tables: str, cap: int = vocab.STORE_CAP, batch: int = vocab.STORE_TRIM_BATCH) -> DataFrame:
-    """Set-by-id over the news log (the row from the latest batch wins), then the size trim."""
-    from curata.operators import store
+    src = spark.readStream.schema(ddl).parquet(landing)
+    src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    log = spark.read.parquet(f"{tables}/news_log")
-    w = Window.partitionBy("id").orderBy(F.col("batch_id").desc())
-    latest = log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return store.trim(latest, cap, batch)
 
+def url_dedup_batch(batch: DataFrame, seen: DataFrame, delay_hours: int) -> DataFrame:
+    """Rows of ``batch`` with ``status``: ``first`` for the first row of a URL (smallest event time, then seq) that no
+    earlier batch has passed within ``delay_hours``, else ``repeat``."""
+    keyed = batch.withColumn("normalized_url", urls.normalize_url(F.col("url")))
+    order = F.struct(F.col("event_time").isNull(), "event_time", "seq")
+    best = keyed.groupBy("normalized_url").agg(F.min(order).alias("_best"))
+    last = seen.groupBy(F.col("normalized_url").alias("_url")).agg(F.max("event_time").alias("_last"))
+    rows = keyed.join(best, "normalized_url").join(last, F.col("normalized_url") == F.col("_url"), "left")
+    within = F.col("_url").isNotNull() & (F.col("_last").isNull() | F.col("event_time").isNull() | (F.col("event_time") < F.timestamp_add("HOUR", F.lit(delay_hours), F.col("_last"))))
+    first = (order == F.col("_best")) & ~within
+    return rows.withColumn("status", F.when(first, "first").otherwise("repeat")).drop("_best", "_url", "_last")
 
-def stream_pipeline(spark: SparkSession, landing: str, tables: str, checkpoint: str, schema, as_of: Column,
-                    seed_memory: DataFrame | None = None) -> None:
-    """Run every landed file as one micro-batch, then stop (``availableNow``)."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    q = (
-        src.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, tables, as_of, seed_memory))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
 
+def stream_url_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str, schema, delay_hours: int = 24) -> DataFrame:
+    """Stateful URL dedup: every landed row gets a status, none is lost, and the state is the sink itself.
 
-def url_dedup_stream(src: DataFrame, event_time: str = "event_time", delay: str = "24 hours") -> DataFrame:
-    """Streaming URL dedup within the watermark (state is bounded by the delay)."""
-    return (
-        src.withColumn("normalized_url", urls.normalize_url(F.col("url")))
-        .withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark(["normalized_url"])
-    )
+    Rows of a micro-batch are compared with the rows that earlier batches passed. Late rows are judged
+    like others, and rows without an event time by their URL alone. A replayed batch replaces its own
+    partition."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    sink_schema = f"{columns}, event_time timestamp_ntz, normalized_url string, status string, batch_id bigint"
 
+    def batch(df: DataFrame, batch_id: int) -> None:
+        found = present(lambda: spark.read.schema(sink_schema).parquet(sink))
+        seen = spark.createDataFrame([], sink_schema) if found is None else found
+        seen = seen.where((F.col("batch_id") < batch_id) & (F.col("status") == "first")).select("normalized_url", "event_time")
+        rows = url_dedup_batch(cut_lineage(df.withColumn("event_time", F.col("published_at"))), seen, delay_hours)
+        rows.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-def stream_url_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str, schema) -> DataFrame:
     src = spark.readStream.schema(schema).parquet(landing)
-    src = src.withColumn("event_time", F.col("published_at").cast("timestamp"))
-    q = (
-        url_dedup_stream(src).drop("event_time").writeStream.format("parquet")
-        .option("path", sink).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(sink)
-
-
-def land_by_day(articles: DataFrame, landing: str) -> list[str]:
-    """Land ``articles`` as one parquet file per publication day (oldest first, written in order,
-    so the file source replays them in arrival order). Returns the day keys."""
-    day = F.coalesce(F.date_format("published_at", "yyyyMMdd"), F.lit("00000000"))
-    keyed = articles.withColumn("_day", day)
-    days = [r[0] for r in keyed.select("_day").distinct().orderBy("_day").collect()]  # one key per day
-    for d in days:
-        keyed.where(F.col("_day") == d).drop("_day").coalesce(1).write.mode("overwrite").parquet(f"{landing}/day={d}")
-    return days
+    src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sink_schema).parquet(sink)

@@ -1,10 +1,11 @@
-"""Streaming runs equal sequential batch runs; replaying a batch is idempotent."""
+"""Runs: equal tables however a run is landed, bounded tables, outcomes, replays; URL dedup without losses."""
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
-from curata.plans import pipeline
+from curata.plans.q_stream import daily_run
 from curata.session import checkpoint_dir
 from curata.sources import fixtures as FX
 from curata.streaming import stream
@@ -16,47 +17,115 @@ def _base(spark):
     return f"{checkpoint_dir(spark).rstrip('/')}/test-{uuid.uuid4().hex}"
 
 
-def test_stream_equals_sequential_batches(spark):
-    base = _base(spark)
-    arts = FX.articles_pages(spark, SF)
-    days = stream.land_by_day(arts, f"{base}/landing")
-    stream.stream_pipeline(spark, f"{base}/landing/*", f"{base}/tables", f"{base}/ckpt", arts.schema, FX.as_of())
-    streamed = stream.current_store(spark, f"{base}/tables")
-    # the same runs, one batch call per landed day, in order
-    for i, d in enumerate(days):
-        batch = spark.read.parquet(f"{base}/landing/day={d}")
-        stream.process_batch(batch, i, f"{base}/seq", FX.as_of())
-    seq = stream.current_store(spark, f"{base}/seq")
-    cols = ["id", "title", "score", "batch_id"]
-    assert sorted(map(tuple, streamed.select(*cols).collect())) == sorted(map(tuple, seq.select(*cols).collect()))
-
-
-def test_replay_is_idempotent(spark):
-    base = _base(spark)
+def _rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()), key=repr)
+
+
+def _tables(spark, base):
+    return {n: _rows(stream.read_table(spark, base, n), *c) for n, c in
+            {"news_log": ("run_id", "id", "title", "score"), "store": ("run_id", "id"), "memory": ("run_id", "normalized_url", "ts"),
+             "runs": ("run_id", "last_run_status", "last_article_count")}.items()}
+
+
+def test_files_do_not_decide_the_result(spark):
     arts = FX.articles_pages(spark, SF)
-    stream.process_batch(arts, 0, f"{base}/t", FX.as_of())
-    first = sorted(map(tuple, spark.read.parquet(f"{base}/t/news_log").select("id", "title").collect()))
-    mem1 = spark.read.parquet(f"{base}/t/memory").count()
-    stream.process_batch(arts, 0, f"{base}/t", FX.as_of())
-    again = sorted(map(tuple, spark.read.parquet(f"{base}/t/news_log").select("id", "title").collect()))
-    assert first == again
-    assert spark.read.parquet(f"{base}/t/memory").count() == mem1
+    got = []
+    for files in (1, 3):
+        base = _base(spark)
+        stream.land_runs(arts, f"{base}/landing", daily_run(F.col("published_at")), files)
+        stream.stream_pipeline(spark, f"{base}/landing", f"{base}/tables", f"{base}/ckpt", arts.schema)
+        got.append(_tables(spark, f"{base}/tables"))
+    assert got[0] == got[1] and len(got[0]["runs"]) > 1
+    base = _base(spark)  # the same runs, one call each, in order
+    landed = arts.withColumn("run", daily_run(F.col("published_at")))
+    for run_id in sorted(r["run"] for r in landed.select("run").distinct().collect()):
+        stream.process_run(landed.where(F.col("run") == run_id).drop("run"), run_id, base, stream.run_clock(run_id))
+    assert _tables(spark, base) == got[0]
+
+
+def _articles(spark, n, run, offset=0):
+    a = spark.range(offset, offset + n).select(F.col("id").alias("seq"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.substring(F.md5(F.concat(F.col("seq").cast("string"), F.lit("-"), k.cast("string"))), 1, 8))
+    return a.select("seq", F.array_join(words, " ").alias("title"), F.concat(F.lit("https://h"), F.col("seq").cast("string"), F.lit(".com/a")).alias("url"),
+                    F.lit("web").alias("source"), F.concat(F.lit("h"), F.col("seq").cast("string"), F.lit(".com")).alias("source_domain"),
+                    F.lit("d").alias("description"), F.timestamp_add("MINUTE", -(F.col("seq") % 50).cast("int"), stream.run_clock(run)).alias("published_at"),
+                    F.lit(1).alias("upvotes"), F.lit(1).alias("comments"))
+
 
+def test_tables_stay_bounded_and_follow_a_sequential_model(spark):
+    base, model, sizes = _base(spark), {}, []
+    start = dt.datetime(2024, 1, 10)
+    for k in range(8):
+        run_id = int((start + dt.timedelta(hours=8 * k)).strftime("%Y%m%d%H"))
+        stream.process_run(_articles(spark, 40, run_id, 40 * k), run_id, base, stream.run_clock(run_id))
+        news = stream.read_table(spark, base, "news_log").where(F.col("run_id") == run_id).collect()
+        assert len(news) == 30
+        if len(model) > 150:
+            for i in sorted(model, key=lambda i: (model[i], i))[:50]:
+                del model[i]
+        model |= {r.id: r.published_at for r in news}
+        sizes.append(stream.current_store(spark, base).count())
+        assert {r.id for r in stream.current_store(spark, base).collect()} == set(model)
+    assert max(sizes) <= 180
+    last = stream.snapshot_before(spark, base, "memory", 1 << 62)
+    assert last.count() == 30 * 7  # rows exactly 48 hours old stay, older ones go
+    assert stream.current_state(spark, base).first()["last_run_status"] == "success"
 
-def test_url_dedup_stream_keeps_one_per_url(spark):
+
+def test_replay_replaces_and_empty_runs_are_recorded(spark):
+    base, run_id = _base(spark), 2024011010
+    arts = _articles(spark, 40, run_id)
+    for _ in range(2):
+        stream.process_run(arts, run_id, base, stream.run_clock(run_id))
+        assert stream.read_table(spark, base, "news_log").count() == 30
+        assert stream.snapshot_before(spark, base, "memory", 1 << 62).count() == 30
+        assert stream.read_table(spark, base, "runs").count() == 1
+    later = run_id + 1
+    stream.process_run(arts.limit(0), later, base, stream.run_clock(later))
+    state = stream.current_state(spark, base).first()
+    assert state["last_run_status"] == "failed: No articles fetched from any source"
+    assert stream.current_store(spark, base).count() == 30
+    stream.process_run(arts.limit(0), run_id, base, stream.run_clock(run_id))
+    assert stream.read_table(spark, base, "news_log").count() == 0
+
+
+def test_rerun_of_an_older_run_sees_earlier_memory_only(spark):
     base = _base(spark)
-    arts = FX.articles_pages(spark, SF).withColumn("published_at", F.coalesce("published_at", FX.as_of()))
-    stream.land_by_day(arts, f"{base}/landing")
-    out = stream.stream_url_dedup(spark, f"{base}/landing/*", f"{base}/sink", f"{base}/ckpt", arts.schema)
-    assert out.count() == out.select("normalized_url").distinct().count()
+    first, second = 2024011010, 2024011011
+    arts = _articles(spark, 40, first)
+    stream.process_run(arts, second, base, stream.run_clock(second))
+    stream.process_run(arts, first, base, stream.run_clock(first))
+    assert stream.read_table(spark, base, "news_log").where(F.col("run_id") == first).count() == 30
+
+
+def test_error_outcome(spark):
+    import pytest
 
+    base, run_id = _base(spark), 2024011010
+    bad = _articles(spark, 5, run_id).withColumn("title", F.raise_error(F.lit("broken feed")).cast("string"))
+    with pytest.raises(Exception, match="broken feed"):
+        stream.process_run(bad, run_id, base, stream.run_clock(run_id))
+    assert stream.current_state(spark, base).first()["last_run_status"].startswith("failed: ")
 
-def test_runs_table_written_per_batch(spark):
+
+def test_check_trims_and_runs_only_when_due(spark):
+    base, run_id = _base(spark), 2024011010
+    stream.process_run(_articles(spark, 40, run_id), run_id, base, stream.run_clock(run_id))
+    ran = []
+    clock = stream.run_clock(run_id)
+    assert not stream.check_and_run(spark, base, run_id, clock, lambda: ran.append(1))
+    assert stream.check_and_run(spark, base, run_id + 5, F.timestamp_add("HOUR", F.lit(5), clock), lambda: ran.append(2))
+    assert ran == [2]
+
+
+def test_url_dedup_keeps_first_and_loses_nothing(spark):
     base = _base(spark)
-    arts = FX.articles_pages(spark, SF)
-    stream.process_batch(arts, 0, f"{base}/t", FX.as_of())
-    stream.process_batch(arts, 0, f"{base}/t", FX.as_of())  # replay: still one row
-    runs = spark.read.parquet(f"{base}/t/runs")
-    assert runs.count() == 1
-    st = stream.current_state(spark, f"{base}/t").first()
-    assert st["last_run_status"] == "success" and st["last_article_count"] > 0
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [[(1, "https://a.com/x", t(0)), (2, "https://a.com/x", t(0)), (3, "https://b.com/y", t(200))], [(4, "https://c.com/late", t(1)), (5, "https://a.com/x", t(3))],
+               [(6, "https://a.com/x", t(30)), (7, "https://d.com", None), (8, "https://d.com", None)]]
+    schema = spark.createDataFrame([], "seq long, url string, published_at timestamp_ntz").schema
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        out = stream.stream_url_dedup(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", schema)
+    got = {r.seq: r.status for r in out.collect()}
+    assert got == {1: "first", 2: "repeat", 3: "first", 4: "first", 5: "repeat", 6: "first", 7: "first", 8: "repeat"}
