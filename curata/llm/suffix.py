@@ -30,8 +30,8 @@ WINDOW, SPAN = 200, 101
 LEAD = WINDOW - SPAN + 1
 #: Leading bytes compared with the splitters; documents in the splitters' sample (their choice only evens out the tasks).
 HEAD, SAMPLE = 24, 2000
-#: Buckets for each shuffle partition.
-BUCKETS = 8
+#: Range buckets for each shuffle partition; suffixes of one leading string that are sorted together at most.
+BUCKETS, GROUP = 8, 30_000
 FAILS, SINGLE, SPEAKER = 0, 1, 2
 _BYTE = T.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -87,14 +87,35 @@ def _sample_heads(batches):
 
 
 def splitters(rows: DataFrame, buckets: int) -> np.ndarray:
-    """``buckets - 1`` leading strings at even distances in the sorted heads of a bounded sample of documents."""
-    some = rows.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE)
+    """``buckets - 1`` leading strings at even distances in the sorted heads of about ``SAMPLE`` documents, chosen by hash."""
+    some = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
     heads = some.mapInArrow(_sample_heads, "head binary").toArrow()["head"].to_pylist()
     heads = np.sort(np.array(heads, f"S{HEAD}")) if heads else np.zeros(0, f"S{HEAD}")
     return heads[(np.arange(1, buckets) * len(heads)) // buckets] if len(heads) else heads
 
 
-def _suffixes(cuts: np.ndarray):
+class Ranges:
+    """Bucket numbers by leading string. One that fills several splitters, ``GROUP`` suffixes or more each, has buckets of its own."""
+
+    def __init__(self, cuts: np.ndarray, suffixes: int):
+        self.cuts, often = np.unique(cuts, return_counts=True)
+        share = suffixes / (len(cuts) + 1)
+        ways = np.where(often > 1, often * share // GROUP, 0).astype(np.int64)
+        self.ways = np.r_[0, np.where(ways > 1, ways, 0)]
+        self.base = np.r_[0, np.cumsum(self.ways + 1)]
+        self.count = int(self.base[-1])
+
+    def of(self, head: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of each head, and whether its string is dealt over several; ``turn`` (uint64) deals them."""
+        if not len(self.cuts):
+            return np.zeros(len(head), np.int64), np.zeros(len(head), bool)
+        at = np.searchsorted(self.cuts, head, "right")
+        split = (at > 0) & (self.cuts[at - 1] == head) & (self.ways[at] > 0)
+        dealt = (turn % np.maximum(self.ways[at], 1).astype(np.uint64)).astype(np.int64)
+        return self.base[at] + np.where(split, 1 + dealt, 0), split
+
+
+def _suffixes(ranges: Ranges):
     """(doc_id, text, rid, keys) to the repeated sampled suffixes with the text of their windows."""
 
     def run(batches):
@@ -109,12 +130,8 @@ def _suffixes(cuts: np.ndarray):
                 if not ok.any():
                     continue
                 p, lo, hi, doc, h = p[ok], lo[ok], hi[ok], doc[ok], h[ok]
-                head = _heads(piece, p)
-                left, right = np.searchsorted(cuts, head, "left"), np.searchsorted(cuts, head, "right")
-                split = right - left >= 2
                 own = rid[i + doc]
-                turn = (T.mix(own.view(np.uint64) ^ h) % np.maximum(right - left, 1).astype(np.uint64)).astype(np.int64)
-                bucket = np.where(split, left + 1 + turn, right)
+                bucket, split = ranges.of(_heads(piece, p), T.mix(own.view(np.uint64) ^ h))
                 size = hi + WINDOW - lo
                 ends = np.cumsum(size)
                 at = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
@@ -300,10 +317,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = A.keyed(docs, doc_id, text)
     keys = A.repeated(rows, _find)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = splitters(rows, parts * BUCKETS)
+    suffixes = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
+    ranges = Ranges(splitters(rows, parts * BUCKETS), suffixes)
     held = rows.join(keys, "rid").select("doc_id", "text", "rid", "keys")
-    found = held.mapInArrow(_suffixes(cuts), "bucket int, split boolean, rid long, pos long, left int, wins int, text binary")
-    ranged = found.repartitionById(parts, F.least(F.expr(f"cast(bucket div {BUCKETS} as int)"), F.lit(parts - 1)))
+    found = held.mapInArrow(_suffixes(ranges), "bucket int, split boolean, rid long, pos long, left int, wins int, text binary")
+    ranged = found.repartitionById(parts, F.floor(F.col("bucket") * F.lit(parts) / F.lit(ranges.count)).cast("int"))
     single = ranged.sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "ha long, hb long, rid long, pos long, n long, kind byte")
     alone = single.groupBy("ha", "hb").agg(F.count("*").alias("c"), F.max("kind").alias("kind"), F.min(F.struct("rid", "pos", "n")).alias("w"))
     alone = alone.filter((F.col("c") == 1) & (F.col("kind") < SPEAKER))

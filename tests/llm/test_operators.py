@@ -220,6 +220,7 @@ def test_split_suffix_buckets_agree(spark, edge, monkeypatch):
         return np.sort(np.repeat(cuts[::4], 4))
 
     monkeypatch.setattr(suffix, "splitters", repeated)
+    monkeypatch.setattr(suffix, "GROUP", 1)
     assert _sorted(r[:5] for r in suffix.op6_suffix_dedup(spark, edge).collect()) == want
 
 
