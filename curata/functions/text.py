@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curata.functions import html
+
 # Classic (non-Unicode) regex \s: space, tab, newline, vertical tab, form feed, carriage return.
 WS = " \\t\\n\\x0B\\f\\r"
 # Characters that a Java-style String.isBlank() treats as white space.
@@ -48,20 +50,6 @@ def title_tokens(c: Column) -> Column:
     return F.filter(F.split(cleaned, f"[{WS}]+"), lambda x: x != "")
 
 
-# Named and numeric entities decoded by ``decode_entities`` (``&amp;`` always last).
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#160;", "\u00a0"),
-]
-
-
-def decode_entities(c: Column) -> Column:
-    out = c
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
-
-
 def escape_text(c: Column) -> Column:
     """Escape text the way an HTML serialiser writes a text node."""
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))
@@ -71,20 +59,27 @@ def escape_text(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    """Tag removal for short descriptions (text kept, markup dropped, output entity-escaped).
+    """Tag removal for short descriptions (text kept, markup, scripts and styles dropped, output entity-escaped).
 
     Tags are removed, entities decoded and the text re-escaped (``&``, ``<``, ``>``, no-break
     space), then white space is collapsed and trimmed. Blank input gives ''.
     """
-    text = escape_text(decode_entities(F.regexp_replace(c, "<[^>]*>", "")))
+    text = escape_text(html.decode_entities(F.regexp_replace(html.without_raw(c), "<[^>]*>", "")))
     collapsed = jtrim(F.regexp_replace(text, f"[{WS}]+", " "))
     return F.when(is_blank(c), F.lit("")).otherwise(collapsed)
 
 
+def cut_utf16(c: Column, units: int) -> Column:
+    """The first ``units`` UTF-16 code units; half of a pair at the cut goes."""
+    raw = F.encode(c, "UTF-16BE")
+    high = F.hex(F.substring(raw, 2 * units - 1, 1)).between("D8", "DB")
+    return F.decode(F.when(high, F.substring(raw, 1, 2 * units - 2)).otherwise(F.substring(raw, 1, 2 * units)), "UTF-16BE")
+
+
 def strip_truncate(c: Column, max_len: int = 500) -> Column:
     """Feed description: drop ``<...>`` tags, trim, cut at ``max_len`` UTF-16 units and add '...'."""
     t = jtrim(F.regexp_replace(c, "<[^>]+>", ""))
-    return F.when(utf16_length(t) > max_len, F.concat(F.substring(t, 1, max_len), F.lit("..."))).otherwise(t)
+    return F.when(utf16_length(t) > max_len, F.concat(cut_utf16(t, max_len), F.lit("..."))).otherwise(t)
 
 
 def first_words(c: Column, n: int) -> Column:

@@ -1,13 +1,8 @@
 """Corpus cleaning of raw HTML pages into plain text (first N words).
 
-Default mode is Catalyst expressions only: one regex pass removes comments and the excluded
-blocks (script, style, nav, footer, header, aside and elements whose class list contains ad,
-advertisement or social-share), a second pass removes excluded blocks left unclosed (to the end of
-the document, as an HTML parser would), inline tags vanish, other tags become a space, entities are
-decoded, white space collapses and the text is cut to ``max_words`` words.
-
-``mode="dom"`` runs Python's standard ``html.parser`` per page through ``mapInPandas`` (Arrow
-batches, one partition at a time) for pages with nested excluded blocks of the same name.
+Catalyst expressions only: a walk over the page's tags drops excluded elements with all they hold
+(see ``functions.html``), inline tags vanish, other tags become a space, entities are decoded, white
+space collapses and the text is cut to ``max_words`` words.
 """
 
 from __future__ import annotations
@@ -15,51 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import text, vocab
-
-EXCLUDED_TAGS = ["script", "style", "nav", "footer", "header", "aside"]
-EXCLUDED_CLASSES = ["ad", "advertisement", "social-share"]
-INLINE_TAGS = ["a", "b", "i", "em", "strong", "span", "code", "small", "u", "sub", "sup", "abbr", "cite", "mark", "font", "s", "q"]
-
-# Container elements that can carry an excluded class (void elements such as <img> have no
-# content, so for them dropping the tag is enough).
-CLASS_CONTAINERS = [
-    "div", "section", "span", "p", "ul", "ol", "li", "a", "aside", "article", "figure", "iframe", "ins",
-    "table", "tr", "td", "form",
-]
-
-_CLASS_ATTR = r'class\s*=\s*"(?:[^"]*\s)?(?:' + "|".join(EXCLUDED_CLASSES) + r')(?:\s[^"]*)?"'
-# One leading '<' factored out of the alternation, so positions without '<' fail in one step.
-BLOCKS = "(?is)<(?:!--.*?-->|" + "|".join(rf"{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in EXCLUDED_TAGS) + "|" + "|".join(
-    rf"{t}\s[^>]*{_CLASS_ATTR}[^>]*>.*?</{t}\s*>" for t in CLASS_CONTAINERS
-) + ")"
-# Excluded blocks still open after BLOCKS run to the end of the document (as a parser would nest
-# the rest inside them).
-UNCLOSED = "(?is)<(?:(?:" + "|".join(EXCLUDED_TAGS) + r")(?:\s[^>]*)?>|(?:" + "|".join(CLASS_CONTAINERS) + r")\s[^>]*" + _CLASS_ATTR + "[^>]*>).*$"
-INLINE = "(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?:\s[^>]*)?/?>"
+from curata.functions import html, text, vocab
 
 
 def html_text(c: Column, max_words: int = vocab.CONTENT_MAX_WORDS) -> Column:
     """Plain text of an HTML string, first ``max_words`` words; blank input gives ''."""
-    s = F.regexp_replace(c, BLOCKS, " ")
-    s = F.regexp_replace(s, UNCLOSED, " ")
-    s = F.regexp_replace(s, INLINE, "")
-    s = F.regexp_replace(s, "<[^>]*>", " ")
-    s = text.decode_entities(s)
-    s = text.jtrim(F.regexp_replace(s, f"[{text.WS}]+", " "))
+    s = text.jtrim(F.regexp_replace(html.visible_text(c), f"[{text.WS}]+", " "))
     return F.when(text.is_blank(c), F.lit("")).otherwise(text.first_words(s, max_words))
 
 
-def clean_pages(df: DataFrame, html_col: str = "html", max_words: int = vocab.CONTENT_MAX_WORDS, mode: str = "sql",
-                out_col: str = "text") -> DataFrame:
+def clean_pages(df: DataFrame, html_col: str = "html", max_words: int = vocab.CONTENT_MAX_WORDS, out_col: str = "text") -> DataFrame:
     """Add ``out_col`` with the cleaned text of ``html_col`` (drops the HTML column)."""
-    if mode == "sql":
-        return df.withColumn(out_col, html_text(F.col(html_col), max_words)).drop(html_col)
-    if mode != "dom":
-        raise ValueError(mode)
-    from curata.operators import dom_clean
-
-    keep = [c for c in df.columns if c != html_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != html_col)
-    schema = (schema + ", " if schema else "") + f"`{out_col}` string"
-    return df.mapInPandas(dom_clean.batch_cleaner(html_col, out_col, keep, max_words), schema)
+    return df.withColumn(out_col, html_text(F.col(html_col), max_words)).drop(html_col)

@@ -44,11 +44,11 @@ def response_payload(txt: Column) -> Column:
     return F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part).alias("parts")).alias("content"))).alias("candidates")))
 
 
-def lead_responses(df: DataFrame, words: int = 60) -> DataFrame:
-    """Offline default provider: the first ``words`` words of the cleaned content, as payloads."""
+def lead_responses(df: DataFrame, words: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Offline default provider: the first ``words`` words of the cleaned content, as payloads; ``keep`` names columns to carry."""
     df = with_id(df)
     lead = text.first_words(content(F.col("title"), F.col("description")), words)
-    return df.select("id", F.lit(1).alias("attempt"), response_payload(lead).alias("payload"))
+    return df.select(*keep, "id", F.lit(1).alias("attempt"), response_payload(lead).alias("payload"))
 
 
 def generate(prompt_df: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -67,13 +67,10 @@ def generate(prompt_df: DataFrame, provider: Callable[[list[str]], list[str]]) -
 
 
 def answer_texts(responses: DataFrame) -> DataFrame:
-    """``(id, text1, text2)``: per attempt the first nonblank extracted text (by ``try_no``)."""
+    """``(id, text1, text2)``: per attempt the first nonblank extracted text, by ``try_no`` (ties by text)."""
     r = responses.withColumn("text", summary.response_text(F.col("payload")))
     r = r.where(text.not_blank(F.col("text")))
-    if "try_no" in responses.columns:
-        first = F.min_by("text", F.struct("try_no", "text"))
-    else:  # several answers to one prompt without an order: the smallest, so the result is deterministic
-        first = F.min("text")
+    first = F.min_by("text", F.struct("try_no", "text"))
     per = r.groupBy("id", "attempt").agg(first.alias("text"))
     return per.groupBy("id").agg(
         F.max(F.when(F.col("attempt") == 1, F.col("text"))).alias("text1"),

@@ -34,6 +34,10 @@ def _pages(spark, sf):
     return FX.articles_pages(spark, sf)
 
 
+def _texts(spark, sf):
+    return FX.texts_documents(spark, sf)
+
+
 def _docs(spark, sf):
     return FX.articles_documents(spark, sf)
 
@@ -187,23 +191,23 @@ def q_article_id(spark, sf):
 # ---------------------------------------------------------------- tokens and similarity
 
 
-@register("title_tokens", O.with_fixtures(f"SELECT seq, {O.title_tokens('title')} AS tokens FROM articles_documents"))
+@register("title_tokens", O.with_fixtures(f"SELECT seq, {O.title_tokens('title')} AS tokens FROM texts_documents"))
 def q_title_tokens(spark, sf):
-    return _docs(spark, sf).select("seq", text.title_tokens(F.col("title")).alias("tokens"))
+    return _texts(spark, sf).select("seq", text.title_tokens(F.col("title")).alias("tokens"))
 
 
 @register(
     "title_tf",
     O.with_fixtures(
-        f", tk AS (SELECT seq, unnest({O.title_tokens('title')}) AS token FROM articles_documents)\n"
+        f", tk AS (SELECT seq, unnest({O.title_tokens('title')}) AS token FROM texts_documents)\n"
         "SELECT seq, token, count(*)::INTEGER AS f FROM tk GROUP BY seq, token"
     ),
 )
 def q_title_tf(spark, sf):
-    return dedup.term_frequency(_docs(spark, sf))
+    return dedup.term_frequency(_texts(spark, sf))
 
 
-_VEC_SQL = f""", tk AS (SELECT seq, unnest({O.title_tokens('title')}) AS token FROM articles_documents),
+_TEXT_VEC_SQL = f""", tk AS (SELECT seq, unnest({O.title_tokens('title')}) AS token FROM texts_documents),
 tf AS (SELECT seq, token, count(*)::BIGINT AS f FROM tk GROUP BY seq, token),
 vec AS (SELECT seq, list(struct_pack(token := token, f := f) ORDER BY token) AS v, sum(f * f)::BIGINT AS n2 FROM tf GROUP BY seq)"""
 
@@ -211,8 +215,8 @@ vec AS (SELECT seq, list(struct_pack(token := token, f := f) ORDER BY token) AS
 @register(
     "title_cosine_pairs",
     O.with_fixtures(
-        _VEC_SQL + """,
-allr AS (SELECT d.seq, p.seq AS prev FROM articles_documents d JOIN articles_documents p ON p.seq = d.seq - 1),
+        _TEXT_VEC_SQL + """,
+allr AS (SELECT d.seq, p.seq AS prev FROM texts_documents d JOIN texts_documents p ON p.seq = d.seq - 1),
 dots AS (SELECT a.seq AS i, b.seq AS j, sum(a.f * b.f)::BIGINT AS dot FROM allr r JOIN tf a ON a.seq = r.seq JOIN tf b ON b.seq = r.prev AND b.token = a.token GROUP BY a.seq, b.seq)
 SELECT r.seq AS i, r.prev AS j,
        round(CASE WHEN coalesce(ni.n2, 0) = 0 OR coalesce(nj.n2, 0) = 0 THEN 0.0::DOUBLE
@@ -222,9 +226,12 @@ WHERE r.prev IS NOT NULL"""
     ),
 )
 def q_title_cosine_pairs(spark, sf):
-    """Cosine of every title with the title of row ``seq - 1`` (the pairwise function applied over
-    the whole table; a linear number of pairs, an equi-join, no global ordering)."""
-    return dedup.adjacent_cosine(_docs(spark, sf))
+    """Cosine of every whole text with the text of row ``seq - 1``, where that row exists (a linear
+    number of pairs, an equi-join, no global ordering)."""
+    return dedup.adjacent_cosine(_texts(spark, sf))
+
+
+_VEC_SQL = _TEXT_VEC_SQL.replace("texts_documents", "articles_documents")
 
 
 @register(

@@ -170,7 +170,7 @@ articles_pages AS (
          p.url AS url,
          'web' AS source,
          ({str_list(FIXTURE_DOMAINS)})[CAST(p.page_id % 25 AS INTEGER) + 1] AS source_domain,
-         regexp_extract(p.html, '(?s)<p>(.*?)</p>', 1) AS description,
+         regexp_extract(p.html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS description,
          e.published_at AS published_at,
          coalesce(e.upvotes, 0) AS upvotes,
          coalesce(e.comments, 0) AS comments
@@ -179,6 +179,7 @@ articles_pages AS (
 articles_documents AS (
   SELECT doc_id AS seq, trim(regexp_extract(text, '^([^.!?\n]*)', 1)) AS title FROM documents
 ),
+texts_documents AS (SELECT doc_id AS seq, text AS title FROM documents),
 memory_fixture AS (
   SELECT {normalize_url_memory('url')} AS normalized_url,
          {normalize_title('title')} AS normalized_title,
@@ -248,13 +249,15 @@ greedy_kept AS (
 # ---------------------------------------------------------------- cleaning and summaries
 
 
-def decode_entities(x: str) -> str:
-    from curata.functions.text import ENTITIES
+# Entities that the tables hold, with and without a semicolon; ``&amp;`` last, so nothing is decoded twice.
+_ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", chr(160)), ("copy", chr(169)), ("middot", chr(183)), ("amp", "&")]
+
 
-    out = x
-    for ent, ch in ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return f"replace({out}, '&amp;', '&')"
+def decode_entities(x: str) -> str:
+    out = f"replace({x}, '&#39;', {q(chr(39))})"
+    for name, ch in _ENTITIES:
+        out = rf"regexp_replace(replace({out}, '&{name};', {q(ch)}), '&{name}([^A-Za-z0-9;]|$)', {q(ch + chr(92) + '1')}, 'g')"
+    return out
 
 
 def escape_text(x: str) -> str:
@@ -270,26 +273,36 @@ def word_count(x: str) -> str:
     return f"(CASE WHEN {t} = '' THEN 0 ELSE len(string_split_regex({t}, '[{WS}]+')) END)"
 
 
-def html_text(x: str, max_words: int = 800) -> str:
-    from curata.operators.clean import BLOCKS, INLINE, UNCLOSED
+def _gone(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, {q(pattern)}, {q(by)}, 'g')"
+
 
-    s = f"regexp_replace({x}, {q(BLOCKS)}, ' ', 'g')"
-    s = f"regexp_replace({s}, {q(UNCLOSED)}, ' ', 'g')"
-    s = f"regexp_replace({s}, {q(INLINE)}, '', 'g')"
-    s = f"regexp_replace({s}, '<[^>]*>', ' ', 'g')"
-    s = jtrim(f"regexp_replace({decode_entities(s)}, '[{WS}]+', ' ', 'g')")
+def html_text(x: str, max_words: int = 800) -> str:
+    """For pages whose excluded elements do not hold one another."""
+    s = _gone(_gone(_gone(x, "(?s)<!--.*?(?:-->|$)"), "(?is)<script[^>]*>.*?(?:</script>|$)"), "(?is)<style[^>]*>.*?(?:</style>|$)")
+    for name in ("nav", "footer", "header", "aside"):
+        s = _gone(s, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}>|$)")
+    s = _gone(s, '(?is)<div class="ad">.*?(?:</div>|$)')
+    s = _gone(_gone(s, "(?s)</?[A-Za-z!][^>]*$"), r"(?i)</?(?:a|b|i|em|strong|span|code|small|u|sub|sup|abbr|cite|mark|font|s|q|img|input|wbr)(?:\s[^>]*)?>")
+    s = _gone(s, "(?s)<[!?][^>]*>")
+    s = jtrim(_gone(decode_entities(_gone(s, "(?s)<[^>]*>", " ")), f"[{WS}]+", " "))
     return f"(CASE WHEN {is_blank(x)} THEN '' ELSE {first_words(s, max_words)} END)"
 
 
 def strip_tags(x: str) -> str:
-    t = escape_text(decode_entities(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
+    s = _gone(_gone(_gone(x, "(?s)<!--.*?(?:-->|$)"), "(?is)<script[^>]*>.*?(?:</script>|$)"), "(?is)<style[^>]*>.*?(?:</style>|$)")
+    t = escape_text(decode_entities(_gone(s, "<[^>]*>")))
     c = jtrim(f"regexp_replace({t}, '[{WS}]+', ' ', 'g')")
     return f"(CASE WHEN {is_blank(x)} THEN '' ELSE {c} END)"
 
 
 def strip_truncate(x: str, n: int = 500) -> str:
     t = jtrim(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
-    return f"(CASE WHEN {utf16_length(t)} > {n} THEN substr({t}, 1, {n}) || '...' ELSE {t} END)"
+    # the longest prefix within n units: a character beyond the basic plane takes two
+    units = f"list_transform(string_split({t}, ''), lambda ch: CASE WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END)"
+    fits = f"len(list_filter(range(1, len({t}) + 1), lambda k: list_sum(list_slice({units}, 1, k)) <= {n}))"
+    plain = f"regexp_matches({t}, '[\\x{{10000}}-\\x{{10FFFF}}]')"
+    return f"(CASE WHEN {utf16_length(t)} > {n} THEN substr({t}, 1, CASE WHEN {plain} THEN {fits} ELSE {n} END) || '...' ELSE {t} END)"
 
 
 def response_text(p: str) -> str:
@@ -339,9 +352,8 @@ def fill(template: str, max_words: int, **cols: str) -> str:
 
 RESP_CTE = f""",
 resp AS (
-  SELECT {article_id(normalize_url('a.url'))} AS id, a.seq AS seq,
-         CASE WHEN c.turn = 1 THEN 1 ELSE 2 END AS attempt,
-         CASE WHEN c.turn = 1 AND a.seq % 10 = 0 THEN '' WHEN c.turn = 1 AND a.seq % 10 = 5 THEN NULL ELSE c.text END AS text_raw
+  SELECT {article_id(normalize_url('a.url'))} AS id, a.seq AS seq, CASE WHEN (c.turn // 2) % 2 = 0 THEN 1 ELSE 2 END AS attempt, c.turn AS try_no,
+         CASE WHEN c.turn < 3 AND a.seq % 10 = 0 THEN '' WHEN c.turn < 3 AND a.seq % 10 = 5 THEN NULL ELSE c.text END AS text_raw
   FROM articles_pages a JOIN conversations c ON c.conv_id = a.seq
-  WHERE c.turn = 1 OR (c.turn = 3 AND a.seq % 3 = 0)
+  WHERE c.role = 'assistant'
 )"""

@@ -188,7 +188,7 @@ def q_run_outcome(spark, sf):
         + f""",
 ans AS (
   SELECT id, max(CASE WHEN attempt = 1 THEN t END) AS text1, max(CASE WHEN attempt = 2 THEN t END) AS text2
-  FROM (SELECT id, attempt, min(t) AS t FROM (SELECT id, attempt, coalesce(text_raw, '') AS t FROM resp) x
+  FROM (SELECT id, attempt, arg_min(t, {{'n': try_no, 't': t}}) AS t FROM (SELECT id, attempt, try_no, coalesce(text_raw, '') AS t FROM resp) x
         WHERE NOT {O.is_blank('t')} GROUP BY id, attempt) y
   GROUP BY id
 ),

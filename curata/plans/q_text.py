@@ -23,13 +23,13 @@ def q_html_strip(spark, sf):
     return FX.articles_pages(spark, sf).select("seq", text.strip_tags(F.col("description")).alias("text"))
 
 
-_ARTICLE_SQL = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_ARTICLE_SQL = "regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)"
 
 
 @register("text_strip_truncate", O.with_fixtures(f"SELECT page_id, {O.strip_truncate(_ARTICLE_SQL)} AS text FROM pages"))
 def q_text_strip_truncate(spark, sf):
     p = FX.table(spark, sf, "pages").select("page_id", "html")
-    body = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
+    body = F.regexp_extract("html", "(?s)<article>(.*?)(?:</article>|$)", 1)
     return p.select("page_id", text.strip_truncate(body).alias("text"))
 
 
@@ -50,20 +50,20 @@ def q_summary_prompt(spark, sf):
     return summarize.prompts(FX.articles_pages(spark, sf))
 
 
-@register("response_text", O.with_fixtures(O.RESP_CTE + "\nSELECT id, seq, attempt, coalesce(text_raw, '') AS text FROM resp"))
+@register("response_text", O.with_fixtures(O.RESP_CTE + "\nSELECT id, seq, attempt, try_no, coalesce(text_raw, '') AS text FROM resp"))
 def q_response_text(spark, sf):
     r = FX.responses_fixture(spark, sf)
-    return r.select("id", "seq", F.col("attempt").cast("int").alias("attempt"), summary.response_text(F.col("payload")).alias("text"))
+    return r.select("id", "seq", F.col("attempt").cast("int").alias("attempt"), "try_no", summary.response_text(F.col("payload")).alias("text"))
 
 
 @register(
     "summary_cleanup",
-    O.with_fixtures(O.RESP_CTE + f"\nSELECT id, seq, attempt, {O.clean_summary('coalesce(text_raw, ' + chr(39) * 2 + ')')} AS summary FROM resp"),
+    O.with_fixtures(O.RESP_CTE + f"\nSELECT id, seq, attempt, try_no, {O.clean_summary('coalesce(text_raw, ' + chr(39) * 2 + ')')} AS summary FROM resp"),
 )
 def q_summary_cleanup(spark, sf):
     r = FX.responses_fixture(spark, sf)
     return r.select(
-        "id", "seq", F.col("attempt").cast("int").alias("attempt"),
+        "id", "seq", F.col("attempt").cast("int").alias("attempt"), "try_no",
         summary.clean_summary(summary.response_text(F.col("payload"))).alias("summary"),
     )
 
@@ -72,15 +72,15 @@ def q_summary_cleanup(spark, sf):
     "summary_valid",
     O.with_fixtures(
         O.RESP_CTE
-        + f""", cl AS (SELECT id, seq, attempt, {O.clean_summary("coalesce(text_raw, '')")} AS s FROM resp)
-SELECT id, seq, attempt, {O.word_count('s')}::INTEGER AS words, {O.is_valid_summary('s')} AS valid FROM cl"""
+        + f""", cl AS (SELECT id, seq, attempt, try_no, {O.clean_summary("coalesce(text_raw, '')")} AS s FROM resp)
+SELECT id, seq, attempt, try_no, {O.word_count('s')}::INTEGER AS words, {O.is_valid_summary('s')} AS valid FROM cl"""
     ),
 )
 def q_summary_valid(spark, sf):
     r = FX.responses_fixture(spark, sf)
     s = summary.clean_summary(summary.response_text(F.col("payload")))
     return r.select(
-        "id", "seq", F.col("attempt").cast("int").alias("attempt"),
+        "id", "seq", F.col("attempt").cast("int").alias("attempt"), "try_no",
         text.word_count(s).alias("words"), summary.is_valid_summary(s).alias("valid"),
     )
 
@@ -94,7 +94,7 @@ def q_summary_fallback(spark, sf):
 _RESOLVE_SQL = O.RESP_CTE + f""",
 ans AS (
   SELECT id, max(CASE WHEN attempt = 1 THEN t END) AS text1, max(CASE WHEN attempt = 2 THEN t END) AS text2
-  FROM (SELECT id, attempt, min(t) AS t FROM (SELECT id, attempt, coalesce(text_raw, '') AS t FROM resp) x
+  FROM (SELECT id, attempt, arg_min(t, {{'n': try_no, 't': t}}) AS t FROM (SELECT id, attempt, try_no, coalesce(text_raw, '') AS t FROM resp) x
         WHERE NOT {O.is_blank('t')} GROUP BY id, attempt) y
   GROUP BY id
 ),
@@ -132,11 +132,28 @@ def q_summary_resolve(spark, sf):
     O.with_fixtures(f"SELECT seq, {_ID} AS id, 1 AS attempt, {O.first_words(O.content('title', 'description'), 60)} AS text FROM articles_pages"),
 )
 def q_summary_lead(spark, sf):
-    a = FX.articles_pages(spark, sf)
-    r = summarize.lead_responses(a.withColumn("id", urls.article_id(urls.normalize_url(F.col("url")))).select("seq", "id", "title", "description"))
-    return r.join(a.select("seq", urls.article_id(urls.normalize_url(F.col("url"))).alias("id")), "id").select(
-        "seq", "id", F.col("attempt").cast("int").alias("attempt"), summary.response_text(F.col("payload")).alias("text")
-    ).dropDuplicates(["seq", "id", "attempt", "text"])
+    r = summarize.lead_responses(FX.articles_pages(spark, sf), keep=("seq",))
+    return r.select("seq", "id", F.col("attempt").cast("int").alias("attempt"), summary.response_text(F.col("payload")).alias("text"))
+
+
+@register(
+    "summary_generate",
+    O.with_fixtures(
+        f"SELECT {_ID} AS id, 1 AS attempt, {O.first_words(O.fill(summary.PROMPT_TEMPLATE, 80, title='title', content=O.content('title', 'description')), 12)} AS text FROM articles_pages "
+        f"UNION ALL SELECT {_ID} AS id, 2 AS attempt, {O.first_words(O.fill(summary.SIMPLE_PROMPT_TEMPLATE, 80, title='title'), 12)} AS text FROM articles_pages"
+    ),
+)
+def q_summary_generate(spark, sf):
+    """A provider that answers with the first words of its prompt, called through ``generate``."""
+    import json
+    import re
+
+    def provider(prompts):
+        words = [" ".join(re.split(r"[ \t\n\x0B\f\r]+", p)[:12]) for p in prompts]
+        return [json.dumps({"candidates": [{"content": {"parts": [{"text": w}]}}]}) for w in words]
+
+    r = summarize.generate(summarize.prompts(FX.articles_pages(spark, sf)), provider)
+    return r.select("id", "attempt", summary.response_text(F.col("payload")).alias("text"))
 
 
 _NEWS_SQL = f""", d1_in AS (SELECT *, {O.normalize_url('url')} AS normalized_url FROM articles_pages),

@@ -43,7 +43,7 @@ def page_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, title, url, source, source_domain, description, published_at, upvotes, comments."""
+    """seq, title, url, source, source_domain, description (the whole article), published_at, upvotes, comments."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     eng = page_engagement(spark, sf_dir)
     domains = F.array(*[F.lit(d).cast("string") for d in FIXTURE_DOMAINS])
@@ -54,7 +54,7 @@ def articles_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url"),
         F.lit("web").alias("source"),
         F.element_at(domains, (F.col("page_id") % 25 + 1).cast("int")).alias("source_domain"),
-        F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1).alias("description"),
+        F.regexp_extract("html", "(?s)<article>(.*?)(?:</article>|$)", 1).alias("description"),
         F.col("published_at"),
         F.coalesce(F.col("upvotes"), F.lit(0)).alias("upvotes"),
         F.coalesce(F.col("comments"), F.lit(0)).alias("comments"),
@@ -70,6 +70,11 @@ def articles_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, title: every document's whole text."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("title"))
+
+
 def memory_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dedup memory rows as the storage side writes them, aged 0..71 hours before AS_OF."""
     a = articles_pages(spark, sf_dir).select("seq", "url", "title")
@@ -147,26 +152,21 @@ def news_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, attempt, payload)``: assistant turns of ``conversations`` as service answers.
+    """``(id, seq, attempt, try_no, payload)``: every assistant turn of ``conversations`` as a service answer.
 
-    Page ``seq`` takes conversation ``seq``: turn 1 answers attempt 1, turn 3 answers attempt 2
-    for every third page; every fifth page's first answer is blank or malformed.
+    Page ``seq`` takes conversation ``seq``; its turns answer attempt 1 and 2 by turns, in the order of
+    ``try_no``. The first answer of every fifth page is blank or malformed.
     """
     from curata.operators.summarize import response_payload
 
     a = articles_pages(spark, sf_dir).select("seq", "url")
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant").select("conv_id", "turn", "text")
     j = a.join(conv, a.seq == conv.conv_id)
-    j = j.where((F.col("turn") == 1) | ((F.col("turn") == 3) & (F.col("seq") % 3 == 0)))
-    attempt = F.when(F.col("turn") == 1, 1).otherwise(2)
+    attempt = F.when(F.floor(F.col("turn") / 2) % 2 == 0, 1).otherwise(2)
+    first = F.col("turn") < 3
     payload = (
-        F.when((F.col("turn") == 1) & (F.col("seq") % 10 == 0), response_payload(F.lit("")))
-        .when((F.col("turn") == 1) & (F.col("seq") % 10 == 5), F.lit('{"candidates":['))
+        F.when(first & (F.col("seq") % 10 == 0), response_payload(F.lit("")))
+        .when(first & (F.col("seq") % 10 == 5), F.lit('{"candidates":['))
         .otherwise(response_payload(F.col("text")))
     )
-    return j.select(
-        urls.article_id(urls.normalize_url(F.col("url"))).alias("id"),
-        "seq",
-        attempt.alias("attempt"),
-        payload.alias("payload"),
-    )
+    return j.select(urls.article_id(urls.normalize_url(F.col("url"))).alias("id"), "seq", attempt.alias("attempt"), F.col("turn").alias("try_no"), payload.alias("payload"))

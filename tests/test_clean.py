@@ -1,4 +1,4 @@
-"""HTML cleaning edge rows, in both modes."""
+"""HTML cleaning edge rows."""
 
 import pytest
 
@@ -24,9 +24,8 @@ def _texts(df):
     return {r["page_id"]: r["text"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("mode", ["sql", "dom"])
-def test_clean_pages(pages, mode):
-    t = _texts(clean.clean_pages(pages, mode=mode))
+def test_clean_pages(pages):
+    t = _texts(clean.clean_pages(pages))
     assert t[1] == "T Keep & this"
     assert t[2] == "one two"
     assert t[3] == "abc d"
@@ -35,11 +34,37 @@ def test_clean_pages(pages, mode):
     assert t[7].split(" ") == [f"w{i}" for i in range(800)]
 
 
-def test_nested_ad_block_dom_mode(spark):
-    df = spark.createDataFrame([(1, '<div class="ad"><div>in</div> tail</div><p>body</p>')], "page_id long, html string")
-    assert _texts(clean.clean_pages(df, mode="dom"))[1] == "body"
-    # the regex mode stops at the first closing tag of the same name (documented deviation)
-    assert _texts(clean.clean_pages(df, mode="sql"))[1] == "tail body"
+VARIANTS = [
+    ('<div class="ad"><div>in</div> tail</div><p>body</p>', "body"),
+    ("<p>a</p><div class='x ad'>q</div><p>b</p><div class=ad>q</div><p>c</p>", "a b c"),
+    ('<p data-class="ad">keep</p>', "keep"),
+    ('<h2 class="ad">x</h2><p>keep</p><custom-box class="social-share">y</custom-box>z', "keep z"),
+    ('<p>one</p><ul><li class="ad">x<li>keep</ul><p>body</p>', "one keep body"),
+    ('<ul><li class="ad">x<ul><li>in</ul>y</ul><p>body</p>', "body"),
+    ('<p class="ad">x<p>keep<p class="ad">y<div>d</div>', "keep d"),
+    ('<table><tr><td class="ad">x<td>y<tr class="ad"><td>z</table>w', "y w"),
+    ('<nav><ul><li>menu</ul></nav><p>a</p><aside>b', "a"),
+    ("a<script>if (x<y) '</p>'</script>b<!-- <nav> -->c<style>p{}</style>", "abc"),
+    ("x &rsquo;&mdash;&#8217;&#x2019;&hellip; &amp;lt; &unknown; &copy 1 &#xD800; &amp", "x ’—’’… &lt; &unknown; © 1 � &"),
+    ("a < b <p", "a < b"),
+    ("<p>" + "<b>w</b> " * 3000 + "</p>", " ".join(["w"] * 800)),
+]
+
+
+def test_variants(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(VARIANTS)], "page_id long, html string")
+    assert _texts(clean.clean_pages(df)) == {i: want for i, (_, want) in enumerate(VARIANTS)}
+
+
+def test_descriptions_drop_scripts_and_cut_whole_units(spark):
+    from pyspark.sql import functions as F
+
+    from curata.functions import text
+
+    df = spark.createDataFrame([("<script>alert(1)</script>x &mdash; <b>y</b>",), ("\U0001F600" * 300,), ("a" + "\U0001F600" * 300,), ("b" * 501,)], "s string")
+    rows = df.select(text.strip_tags(F.col("s")).alias("a"), text.strip_truncate(F.col("s")).alias("b")).collect()
+    assert rows[0].a == "x — y"
+    assert rows[1].b == "\U0001F600" * 250 + "..." and rows[2].b == "a" + "\U0001F600" * 249 + "..." and rows[3].b == "b" * 500 + "..."
 
 
 def test_class_marked_void_and_cell(spark):
