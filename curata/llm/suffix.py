@@ -189,54 +189,61 @@ def _matrix(data, start, size, width, step):
 
 
 def _bucket(split, rid, pos, left, wins, text):
-    """Windows of one bucket that are not repeated in it: arrays ha, hb, rid, pos, n, kind."""
+    """Windows of one bucket that are not repeated in it, a few rows of the bucket at a time: arrays ha, hb, rid, pos, n, kind.
+
+    What is found is kept as one flag for each window of a row, so memory is a fixed number of bytes per suffix."""
     text = text.cast(pa.large_binary()) if not pa.types.is_large_binary(text.type) else text
     off = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
     data = np.frombuffer(text.buffers()[2], np.uint8)[off[0]:off[-1]]
     off = off - off[0]
+    n, before = len(rid), (SPAN + 7) // 8 * 8
     start, right = off[:-1] + left, np.diff(off) - left
     r_place, r_common = _ranked(_matrix(data, start, right, WINDOW, 1))
-    l_place, l_common = _ranked(_matrix(data, start, left, (SPAN + 7) // 8 * 8, -1))
-    n = len(rid)
-    same = np.stack([np.cumsum(r_common < WINDOW)[r_place], np.cumsum(l_common < l_common.max(initial=0) + 1)[l_place] if n == 1 else np.cumsum(l_common < (SPAN + 7) // 8 * 8)[l_place], left, wins])
+    l_place, l_common = _ranked(_matrix(data, start, left, before, -1))
+    same = np.stack([np.cumsum(r_common < WINDOW)[r_place], np.cumsum(l_common < before)[l_place], left, wins])
     order = np.lexsort(same)
     new = np.r_[True, (same[:, order[1:]] != same[:, order[:-1]]).any(axis=0)]
     one = order[new]  # a row of each set of equal contexts; all windows of the larger sets are repeated
     weight = np.diff(np.r_[np.flatnonzero(new), n])
-    lone = weight == 1
     most, least = left[one], left[one] - wins[one] + 1
-    outs = []
+    single = np.zeros((len(one), SPAN + 1), bool)  # by row and number of the window
+    speaks = np.zeros((len(one), SPAN + 1), bool) if split else None
     for l in range(int(least.min()), int(most.max()) + 1):
         own = np.flatnonzero((least <= l) & (l <= most))
-        if not split and not lone[own].any():
+        if not split and not (weight[own] == 1).any():
             continue
         rc = np.cumsum(r_common < WINDOW - l)[r_place[one[own]]]
         lc = np.cumsum(l_common < l)[l_place[one[own]]]
-        key = rc * (n + 1) + lc
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        _, first, back = np.unique(rc * (n + 1) + lc, return_index=True, return_inverse=True)
         count = np.bincount(back, weights=weight[own])
-        single = count[back] == 1
-        rows = one[own[single]]
-        outs.append((rows, np.full(len(rows), l), np.full(len(rows), SINGLE if split else FAILS, np.int8)))
+        alone = own[count[back] == 1]
+        single[alone, most[alone] - l] = True
+        if split:
+            told = own[first[count > 1]]
+            speaks[told, most[told] - l] = True
+    for a in range(0, len(one), 2048):
+        rows = one[a:a + 2048]
         if split:
-            rows = one[own[first[count > 1]]]
-            outs.append((rows, np.full(len(rows), l), np.full(len(rows), SPEAKER, np.int8)))
-    if not outs:
-        return None
-    rows, l, kind = (np.concatenate(x) for x in zip(*outs))
-    if not len(rows):
-        return None
-    at = pos[rows] + left[rows] - l
-    if split:
-        s = start[rows] - l
-        ha, hb = (T.windows(T.prefix(_BYTE[data], lane), s, WINDOW, lane) for lane in (0, 1))
-        return ha, hb, rid[rows], at, np.ones(len(rows), np.int64), kind
-    order = np.lexsort((at, rid[rows]))  # runs of neighbouring starts
-    own, at = rid[rows][order], at[order]
-    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)])
-    size = np.diff(np.r_[new, len(at)])
-    own, at = own[new], at[new]
-    return T.mix(own.view(np.uint64)), T.mix(at.view(np.uint64)) ^ own.view(np.uint64), own, at, size, np.full(len(at), FAILS, np.int8)
+            for flags, kind in ((single, SINGLE), (speaks, SPEAKER)):
+                i, k = np.nonzero(flags[a:a + 2048])
+                if len(i):
+                    ha, hb = _window_hashes(data, off, rows, i, k)
+                    yield ha, hb, rid[rows[i]], pos[rows[i]] + k, np.ones(len(i), np.int64), np.full(len(i), kind, np.int8)
+        else:
+            edge = np.diff(np.pad(single[a:a + 2048], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            (i, k), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            if len(i):
+                own, at = rid[rows[i]], pos[rows[i]] + k
+                yield T.mix(own.view(np.uint64)), T.mix(at.view(np.uint64)) ^ own.view(np.uint64), own, at, end - k, np.full(len(i), FAILS, np.int8)
+
+
+def _window_hashes(data, off, rows, i, k):
+    """128-bit hashes of window k of row rows[i], for pairs (i, k)."""
+    size = off[rows + 1] - off[rows]
+    ends = np.cumsum(size)
+    near = data[np.arange(ends[-1]) + np.repeat(off[rows] - (ends - size), size)]
+    s = (ends - size)[i] + k
+    return tuple(T.windows(T.prefix(_BYTE[near], lane), s, WINDOW, lane) for lane in (0, 1))
 
 
 def _sorted_buckets(batches):
@@ -251,9 +258,7 @@ def _sorted_buckets(batches):
                 continue
             own = own.combine_chunks()
             cols = [own[c].to_numpy().astype(np.int64) for c in ("rid", "pos", "left", "wins")]
-            got = _bucket(f, *cols, own["text"].chunk(0))
-            if got is not None:
-                ha, hb, rid, pos, n, kind = got
+            for ha, hb, rid, pos, n, kind in _bucket(f, *cols, own["text"].chunk(0)):
                 yield pa.RecordBatch.from_arrays([A.int64(ha), A.int64(hb), pa.array(rid), pa.array(pos), pa.array(n), pa.array(kind)], ["ha", "hb", "rid", "pos", "n", "kind"])
 
     parts, now = [], None
