@@ -48,7 +48,7 @@ def lead_responses(df: DataFrame, words: int = 60, keep: tuple[str, ...] = ()) -
     """Offline default provider: the first ``words`` words of the cleaned content, as payloads; ``keep`` names columns to carry."""
     df = with_id(df)
     lead = text.first_words(content(F.col("title"), F.col("description")), words)
-    return df.select(*keep, "id", F.lit(1).alias("attempt"), response_payload(lead).alias("payload"))
+    return df.select(*keep, "id", F.lit(1).alias("attempt"), F.lit(1).cast("bigint").alias("try_no"), response_payload(lead).alias("payload"))
 
 
 def generate(prompt_df: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -60,10 +60,11 @@ def generate(prompt_df: DataFrame, provider: Callable[[list[str]], list[str]]) -
     def run(batches):
         for pdf in batches:
             out = pdf[["id", "attempt"]].copy()
+            out["try_no"] = 1
             out["payload"] = provider(list(pdf["prompt"]))
             yield out
 
-    return prompt_df.mapInPandas(run, "id string, attempt int, payload string")
+    return prompt_df.mapInPandas(run, "id string, attempt int, try_no long, payload string")
 
 
 def answer_texts(responses: DataFrame) -> DataFrame:

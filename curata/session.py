@@ -39,8 +39,8 @@ def get_spark(master: str | None = None, app: str = "curata", shuffle_partitions
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (a shared file system such as HDFS or an object store);
-    only a local master falls back to a fresh scratch folder, which is what tests use.
+    On a cluster this must be set (a shared file system such as HDFS or an object store); only a
+    single-process local master falls back to a fresh scratch folder, which is what tests use.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -48,7 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
         conf = tempfile.mkdtemp(prefix="curata-ckpt-")
     sc.setCheckpointDir(conf)

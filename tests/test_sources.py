@@ -88,3 +88,43 @@ def test_payload_rejects(spark):
     assert [(x["k"], x["reason"]) for x in feeds.payload_rejects(r, "reddit").collect()] == [(2, "no_children")]
     x = spark.createDataFrame([(1, "<item><title>a</title><link>b</link></item>"), (2, "<item><title>a</ti")], "k int, item_xml string")
     assert [(y["k"], y["reason"]) for y in feeds.payload_rejects(x, "rss").collect()] == [(2, "malformed")]
+
+
+def test_feed_dates(spark):
+    given = {
+        "Mon, 01 Jan 2024 00:00:00 GMT": dt.datetime(2024, 1, 1), "1 Jan 24 01:02 EST": dt.datetime(2024, 1, 1, 6, 2),
+        "Tue, 30 Jan 2024 10:00:00 +0100": dt.datetime(2024, 1, 30, 9), "2024-01-30T20:00:00-05:00": dt.datetime(2024, 1, 31, 1),
+        "2024-01-30T20:00:00.750Z": dt.datetime(2024, 1, 30, 20, 0, 0, 750000), "2024-01-30T20:00Z": dt.datetime(2024, 1, 30, 20),
+        "Tue, 30 Foo 2024 10:00:00 GMT": None, "2024-02-31T00:00:00Z": None, "yesterday": None, "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in given] + [(None,)], "s string").select("s", feeds.parse_date(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in rows} == given | {None: None}
+
+
+def test_reddit_numbers_as_the_service_sends_them(spark):
+    post = '{"data":{"children":[{"data":{"title":"T","url":"https://a.com","score":"150","num_comments":20.0,"is_self":false,"created_utc":1700000000.0}}]}}'
+    row = feeds.parse_reddit(spark.createDataFrame([("r/x", post)], "endpoint string, payload string")).first()
+    assert row.upvotes == 150 and row.comments == 20 and row.published_at == dt.datetime(2023, 11, 14, 22, 13, 20)
+
+
+def test_first_media_and_atom_links(spark):
+    item = ('<item xmlns:media="http://search.yahoo.com/mrss/"><title>t</title><link>https://a.com</link>'
+            '<media:content url="https://m/1.jpg"/><media:content url="https://m/2.jpg"/></item>')
+    raw = spark.createDataFrame([("https://f.com/feed", item)], "feed_url string, item_xml string")
+    assert feeds.parse_rss(raw, AS()).first().image_url == "https://m/1.jpg"
+    entry = ('<entry><title type="html">t</title><link rel="self" href="https://s"/><link href="https://page"/>'
+             '<published>2024-01-30T23:00:00Z</published><summary>s &lt;b&gt;x&lt;/b&gt;</summary></entry>')
+    raw = spark.createDataFrame([("https://f.com/feed", entry)], "feed_url string, item_xml string")
+    got = feeds.parse_rss(raw, AS(), atom=True).first()
+    assert (got.title, got.url, got.description, got.published_at) == ("t", "https://page", "s x", dt.datetime(2024, 1, 30, 23))
+
+
+def test_rows_that_differ_anywhere_keep_their_own_key(spark):
+    from curata.sources import landed
+
+    base = ("t", "https://a.com", "reddit", "a.com", "r/x", "", dt.datetime(2024, 1, 1), 1, 1)
+    rows = [base, base, (*base[:4], "r/y", *base[5:])]
+    schema = "title string, url string, source string, source_domain string, description string, image_url string, published_at timestamp_ntz, upvotes int, comments int"
+    keyed = landed.order_key(spark.createDataFrame(rows, schema)).collect()
+    assert len(keyed) == len({r.seq for r in keyed}) == 2
+
