@@ -1,9 +1,9 @@
 """Benchmark decontamination against a broadcast hash set of test n-grams (DataFrame functions only).
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. Every run of ``n``
-consecutive item words is a gram; a shorter item is one gram. Documents are cut into all their word
-windows of the gram lengths in use, and each window is looked up in the set. The lookup is by
-the whole window text, so a hash hit is verified before it counts.
+consecutive item words is a gram; a shorter item is one gram. All word windows of a document, of the
+gram lengths in use, are hashed and looked up in a table of the grams' hash slots that every task
+holds; the windows that hit are verified by joining their whole text with the broadcast set.
 
 Defined results: null or wordless texts have no words and no hits; grams shared by several items
 count for each of them; items without words never match; an empty benchmark leaves all documents
@@ -19,10 +19,11 @@ from . import common as C
 
 N = 10
 GRAM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The gram set is broadcast up to this many grams and bytes of text; a larger one is joined by a shuffle.
+#: The gram set is broadcast up to this many grams and bytes of text; a larger one is joined by a shuffle,
+#: which then gets all windows.
 MAX_GRAMS, MAX_BYTES = 1_000_000, 200_000_000
+#: Hash slots (one byte each) for each gram, and at most.
+SLOTS, MAX_SLOTS = 64, 1 << 24
 
 
 def words(text: Column) -> Column:
@@ -45,24 +46,50 @@ def _windows(w: Column, n) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
 
 
-def hits(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, key, n_hit, items: one row per different document that has a gram.
+def _slots(grams: DataFrame, n: int) -> tuple[bytes, int]:
+    """A byte for each slot, 1 where some gram's hash falls, and their number; the set's size is bounded by ``MAX_GRAMS``."""
+    size = 1 << 12
+    while size < min(MAX_SLOTS, SLOTS * n):
+        size *= 2
+    table = bytearray(size)
+    for r in grams.select(F.pmod(F.xxhash64(F.split("gram", " ")), F.lit(size)).cast("int").alias("s")).distinct().toLocalIterator():
+        table[r["s"]] = 1
+    return bytes(table), size
+
+
+def _windows_that_hit(w: Column, n: int, table: bytes, size: int) -> Column:
+    """The windows of ``n`` words whose hash slot is taken, as structs (pos, len, gram)."""
+    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    taken = F.filter(at, lambda i: F.substring(F.lit(table), F.pmod(F.xxhash64(F.slice(w, i, n)), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+    return F.transform(taken, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
+
+
+def scan(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns doc_id, key, n_words, n_hit, items: one row per document, ``items`` empty where no gram occurs.
 
     ``grams`` must be materialised: its size decides between a broadcast set and a shuffle join, and
-    its different lengths (at most n) are read to know which windows to cut.
+    its different lengths (at most n) are read to know which windows to cut. Row numbers tell equal rows apart.
     """
     got = grams.agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("b"), F.collect_set("len").alias("lens")).first()
     small = got["n"] <= MAX_GRAMS and (got["b"] or 0) <= MAX_BYTES
-    w = docs.select(F.col(doc_id).alias("doc_id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), words(F.col(text)).alias("w"))
-    found = None
-    for n in sorted(got["lens"]) or [N]:
-        cut = w.select("doc_id", "key", F.explode(_windows(F.col("w"), n)).alias("x")).select("doc_id", "key", "x.pos", "x.gram")
-        one = grams.filter(F.col("len") == n)
-        one = cut.join(F.broadcast(one) if small else one, "gram").select("doc_id", "key", "pos", "len", "items")
-        found = one if found is None else found.unionByName(one)
-    per_doc = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "len")).alias("at"),
-                                                F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return per_doc.select("doc_id", "key", _covered(F.array_sort("at")).alias("n_hit"), "items")
+    table, size = _slots(grams, got["n"]) if small else (b"", 0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), words(F.col(text)).alias("w"))
+    none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
+    cut = [_cut(F.col("w"), n, table, size) for n in sorted(got["lens"])]
+    found = rows.select("row", "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(none, *cut)).alias("x"))
+    # documents without a window have a key of their own, so that they don't meet in one task of a shuffle join
+    found = found.select("row", "doc_id", "key", "n_words", "x.pos", "x.len", F.coalesce("x.gram", F.concat(F.lit(" "), F.col("row").cast("string"))).alias("gram"))
+    one = grams.select(F.col("gram"), F.col("items").alias("own"))
+    found = found.join(F.broadcast(one) if small else one, "gram", "left")
+    per_doc = found.groupBy("row", "doc_id", "key", "n_words").agg(
+        F.collect_set(F.when(F.col("own").isNotNull(), F.struct("pos", "len"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("items"))
+    return per_doc.select("doc_id", "key", "n_words", _covered(F.array_sort("at")).alias("n_hit"), "items")
+
+
+def _cut(w: Column, n: int, table: bytes, size: int) -> Column:
+    if table:
+        return _windows_that_hit(w, n, table, size)
+    return F.transform(_windows(w, n), lambda x: F.struct(x["pos"].alias("pos"), F.lit(n).alias("len"), x["gram"].alias("gram")))
 
 
 def _covered(spans: Column) -> Column:
@@ -78,7 +105,8 @@ def _covered(spans: Column) -> Column:
 def clean(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a gram of ``items``."""
     key, theirs, their_id = C.fresh(docs, "decon_key", "decon_other", "decon_id")
-    found = C.materialise(hits(docs, C.materialise(gram_set(items, n)), doc_id, text).select(F.col("key").alias(theirs), F.col("doc_id").alias(their_id)))
+    found = scan(docs, C.materialise(gram_set(items, n)), doc_id, text).filter("n_hit > 0")
+    found = C.materialise(found.select(F.col("key").alias(theirs), F.col("doc_id").alias(their_id)).distinct())
     found = C.bounded(found)
     rows = docs.withColumn(key, C.row_key(F.col(doc_id), F.col(text)))
     return rows.join(found, (rows[key] == found[theirs]) & rows[doc_id].eqNullSafe(found[their_id]), "left_anti").drop(key)
@@ -86,18 +114,10 @@ def clean(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id",
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
-    grams = C.materialise(gram_set(C.read(spark, sf_dir, "benchmark")))
-    found = hits(docs, grams)
-    rows = docs.select("doc_id", C.row_key(F.col("doc_id"), F.col("text")).alias("key"),
-                       F.coalesce(F.regexp_count("text", F.lit(RAW)), F.lit(0)).cast("long").alias("n_words"))
-    found = found.withColumnsRenamed({"doc_id": "hit_id", "key": "hit_key"})
-    same = (F.col("key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
-    rows = rows.join(found, same, "left")
-    ids = F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ",")
-    return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                       F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                       F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
-                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    found = scan(docs, C.materialise(gram_set(C.read(spark, sf_dir, "benchmark"))))
+    ids = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 SQL = r"""
