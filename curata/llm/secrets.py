@@ -192,18 +192,22 @@ def _sums_before(x: Column) -> Column:
     return F.flatten(moved)
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Structs (start, rank, end, kind) of the rule's matches: match lengths and the text between them add up to positions."""
-    between = F.transform(F.split(text, rule.regex, -1), lambda p: F.length(p).cast("bigint"))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), lambda m: F.length(m).cast("bigint"))
-    group, least = rule.least
-    part = whole if group == 0 else F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(group)), lambda m: F.length(m).cast("bigint"))
-    gaps = F.slice(between, F.lit(1), F.size(whole))
-    before = _sums_before(F.zip_with(gaps, whole, lambda a, b: a + b))
-    made = F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("len"), part.alias("part"), before.alias("before")), lambda z: F.struct(
-        (z["before"] + z["gap"]).alias("start"), F.lit(rank).alias("rank"), (z["before"] + z["gap"] + z["len"]).alias("end"), F.lit(rule.name).alias("kind"), z["part"].alias("part")))
-    kept = F.filter(made, lambda s: s["part"] >= least)
-    return F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
+def spans(text: Column, rule: Column) -> Column:
+    """Structs (start, rank, end, kind) of a rule's matches: match lengths and the text between them add up to positions.
+
+    ``rule`` is a struct (rank, kind, regex, group, least, open), so one expression serves all rules."""
+    size = lambda parts: F.transform(parts, lambda p: F.length(p).cast("bigint"))
+    gaps, whole = size(F.split(text, rule["regex"], -1)), size(F.regexp_extract_all(text, rule["regex"], F.lit(0)))
+    part = F.when(rule["group"] == 0, whole).otherwise(size(F.regexp_extract_all(text, rule["regex"], rule["group"])))
+
+    def placed(m: Column) -> Column:  # gaps, whole, part bound once
+        gap = F.slice(m["gaps"], F.lit(1), F.size(m["whole"]))
+        before = _sums_before(F.zip_with(gap, m["whole"], lambda a, b: a + b))
+        made = F.transform(F.arrays_zip(gap.alias("gap"), m["whole"].alias("len"), m["part"].alias("part"), before.alias("before")), lambda z: F.struct(
+            (z["before"] + z["gap"]).alias("start"), rule["rank"].alias("rank"), (z["before"] + z["gap"] + z["len"]).alias("end"), rule["kind"].alias("kind"), z["part"].alias("part")))
+        return F.transform(F.filter(made, lambda s: s["part"] >= rule["least"]), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    return F.get(F.transform(F.array(F.struct(gaps.alias("gaps"), whole.alias("whole"), part.alias("part"))), placed), F.lit(0))
 
 
 def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,13 +218,10 @@ def scan(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str = "text
     grams = sorted({g for q in queries.values() for t in q for g in t})
     found = C.materialise(candidates(build_index(docs, grams, doc_id, text), queries)) if queries else None
     rows = rows.join(C.bounded(found), "key", "left") if queries else rows.withColumn("rules", F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    parts = []
-    for rank, r in enumerate(rules):
-        own = spans(F.col("text"), r, rank)
-        at_all = F.array_contains("rules", r.name) if r.name in queries else F.col("text").rlike(r.regex)
-        parts.append(F.when(at_all, own).otherwise(none))
-    return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
+    table = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(r.name).alias("kind"), F.lit(r.regex).alias("regex"), F.lit(r.least[0]).alias("group"),
+                               F.lit(r.least[1]).alias("least"), F.lit(r.name not in queries).alias("open")) for k, r in enumerate(rules)])
+    due = F.filter(table, lambda r: F.when(r["open"], F.call_function("rlike", F.col("text"), r["regex"])).otherwise(F.coalesce(F.array_contains("rules", r["kind"]), F.lit(False))))
+    return rows.select("doc_id", F.array_sort(F.flatten(F.transform(due, lambda r: spans(F.col("text"), r)))).alias("spans"))
 
 
 def listed(found: Column) -> Column:

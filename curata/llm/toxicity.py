@@ -262,7 +262,7 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: s
     tokens = rows.mapInArrow(_tokenise, "doc_id long, toxic int, language int, buckets array<int>")
     got = tokens.groupBy("doc_id").agg(F.min(F.struct("buckets", "toxic", "language")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
     ids = got["doc_id"].to_numpy()
-    docs_ = [np.asarray(x, np.int64) for x in (v.values.to_numpy() for v in got["buckets"])]
+    docs_ = [np.asarray(x, np.int32) for x in (v.values.to_numpy() for v in got["buckets"])]
     fold = T.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)
     return train(docs_, got["toxic"].to_numpy() == 1, got["language"].to_numpy(), fold,
                  (there.get(False, 0) / MAX_CLEAN if there.get(False, 0) > MAX_CLEAN else 1.0) / max(1.0, there.get(True, 0) / MAX_TOXIC))
