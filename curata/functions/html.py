@@ -32,7 +32,7 @@ _CLASS = r"""(?is)^<[^\s>]+(?:.*?[\s"'/])?class\s*=\s*(?:"(?:[^"]*\s)?(?:WORDS)(
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?|[^&]+|&"
 #: Names that also stand without a semicolon.
 _BARE = sorted(n for n in name2codepoint if n in html5)
-_BLOCK = 512
+_BLOCK = 64
 
 
 def _char(code: Column) -> Column:
@@ -70,7 +70,7 @@ def visible_text(c: Column) -> Column:
         name = F.lower(F.regexp_extract(t, "^</?([A-Za-z][^\\s/>]*)", 1))
         whole = t.endswith(">")
         kind = F.when(~t.startswith("<") | (t == "<"), "text").when(~tag | ~whole | name.isin(VOID_TAGS), "void").when(close, "close").otherwise("open")
-        bad = name.isin(EXCLUDED_TAGS) | t.rlike(_CLASS.replace("WORDS", words))
+        bad = F.when(tag & ~close, name.isin(EXCLUDED_TAGS) | (F.contains(t, F.lit("=")) & t.rlike(_CLASS.replace("WORDS", words)))).otherwise(F.lit(False))
         shown = F.when(~t.startswith("<") | (t == "<"), decode_entities(t)).when(~whole | ~tag | name.isin(INLINE_TAGS), "").otherwise(" ")
         return F.struct(kind.alias("kind"), name.alias("name"), bad.alias("bad"), shown.alias("shown"))
 
