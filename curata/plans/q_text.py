@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curata.functions import summary, text, urls
+from curata.functions import summary, text
 from curata.operators import clean, dedup, rank, summarize
 from curata.plans import oracle as O
 from curata.plans.catalog import register
