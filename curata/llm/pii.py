@@ -31,6 +31,10 @@ DEFAULT_KEY = b"curata pseudonyms"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
+# Two-digit calling codes (+1 and +7 have one digit, all others three), and prefixes and lengths of card issuers.
+_TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_ISSUERS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:2[2-9]|[3-6]\d|7[01])\d{13}|2720\d{12}|3[47]\d{13}"
+                      r"|(?:6011|65\d\d|64[4-9]\d|62\d\d|35(?:2[89]|[3-8]\d))\d{12,15}|3(?:0[0-5]|[689]\d)\d{11,16}|(?:50|5[6-9]|6\d)\d{11,17}")
 
 
 # ---------------------------------------------------------------- the permutation
@@ -123,22 +127,26 @@ def ssn(text: str, key: bytes) -> str | None:
     return f"{a + (a >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
+def calling_code(digits: str) -> str:
+    return digits[:1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
+
+
 def phone(text: str, key: bytes) -> str | None:
+    """Digits alone decide, so a number has one pseudonym in any spacing, with or without +1."""
     d = re.sub(r"\D", "", text)
-    code = re.match(r"\+(\d{1,3})(?=\D)", text)
-    own = d[len(code[1]):] if code else d
-    if not 8 <= len(d) <= 15 or len(own) < 6:
+    code = calling_code(d) if text[0] == "+" else "1" if len(d) == 11 and re.match(r"1[ .(-]", text) else ""
+    own = d[len(code):]
+    if not 8 <= len(d) <= 15:
         return None
-    if len(own) == 10 and (not code or code[1] == "1"):  # North American plan: area and exchange start at 2
-        if own[0] < "2" or own[3] < "2":
-            return None
-        bases = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10]
-        low = [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-        got = _mixed([int(c) - x for c, x in zip(own, low)], bases, key, "phone1")
+    if len(own) == 10 and code in ("", "1"):  # North American plan: area and exchange start at 2; with 0 or 1 a format of its own
+        low = [2 * (k in (0, 3) and c >= "2") for k, c in enumerate(own)]
+        bases = [10 if k not in (0, 3) else 8 if x else 2 for k, x in enumerate(low)]
+        kind = "phone1" + "".join("" if low[k] else f"|{k}" for k in (0, 3))
+        got = _mixed([int(c) - x for c, x in zip(own, low)], bases, key, kind)
         new = "".join(str(v + x) for v, x in zip(got, low))
     else:
-        new = f"{permute(int(own), 10 ** len(own), key, 'phone' + (code[1] if code else '')):0{len(own)}d}"
-    return _refill(text, (code[1] if code else "") + new)
+        new = f"{permute(int(own), 10 ** len(own), key, 'phone' + code):0{len(own)}d}"
+    return _refill(text, code + new)
 
 
 def iban(text: str, key: bytes) -> str | None:
@@ -170,16 +178,52 @@ def email(text: str, key: bytes) -> str | None:
 
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _RUN = re.compile(r"[0-9+(][0-9 ()./+-]{5,}")
 _NUMBERS = (
     ("ip", re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), ip),
     ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])"), day),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"), ssn),
-    ("phone", re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{1,4}\) ?[0-9]{2,4}(?:[ .-][0-9]{2,4}){0,3}(?![0-9])"
-                         r"|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9+-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9]|-[0-9])"), phone),
-    ("card", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), card),
 )
+_PHONE = re.compile(r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{1,8}(?:[ .-][0-9]{1,8}){0,6}(?![0-9])"
+                    r"|(?<![0-9+])\+[0-9]{1,15}(?:[ .-][0-9]{1,14}){0,7}(?![0-9])"
+                    r"|(?<![0-9+])(?:1[ .-]?)?\([0-9]{1,4}\)[ .-]?[0-9]{2,8}(?:[ .-][0-9]{2,4}){0,3}(?![0-9])"
+                    r"|(?<![0-9+-])(?:1[ .-])?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9]|-[0-9])")
+_NORTH_AMERICAN = re.compile(r"\+1|1[ .(-]|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+_TIME = re.compile(r"T[0-9]{2}")
+
+
+def _phone_ends(text: str) -> list[int]:
+    """Ends at digit-group borders: ten digits of the North American plan first, else the longest."""
+    ends = [m.end() for m in re.finditer(r"[0-9](?![0-9])", text)]
+    if not _NORTH_AMERICAN.match(text):
+        return ends[::-1]
+    full = 10 + (text[0] in "+1")
+    return sorted(ends, key=lambda e: (sum(c.isdigit() for c in text[:e]) != full, -e))
+
+
+def _cards(text: str, start: int, end: int) -> tuple[list, list]:
+    """(start, end) of all digit groups in a row that pass the check digit, the likeliest first: those with an
+    issuer's prefix and length, written in one piece or in the usual groups, and the others."""
+    likely, others = [], []
+    for run in _GROUPS.finditer(text, start, end):
+        at = [m.span() for m in re.finditer("[0-9]+", run[0])]
+        for i, (s, _) in enumerate(at):
+            d, sizes = "", []
+            for a, e in at[i:]:
+                d += run[0][a:e]
+                sizes.append(e - a)
+                if len(d) > 19:
+                    break
+                if len(d) < 13 or len(set(d)) == 1 or _luhn(d[:-1]) != d[-1]:
+                    continue
+                usual = len(sizes) == 1 or sizes in ([4, 6, 5], [4, 6, 4]) or (sizes[:3] == [4] * 3 and len(sizes) <= 5 and all(x == 4 for x in sizes[:-1]) and sizes[-1] <= 4)
+                lone = run.start() + s == 0 or text[run.start() + s - 1] != "+"
+                known = bool(_ISSUERS.fullmatch(d))
+                rank = (not usual, not known, abs(len(d) - 16), run.start() + s)
+                (likely if usual and known and lone else others).append((rank, run.start() + s, run.start() + e))
+    return [x[1:] for x in sorted(likely)], [x[1:] for x in sorted(others)]
 
 
 def _word(text: str, at: int) -> bool:
@@ -187,12 +231,13 @@ def _word(text: str, at: int) -> bool:
 
 
 def find(text: str, key: bytes, cached=None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of all valid values, not overlapping: the formats are tried in the order of ``KINDS``."""
+    """(start, end, kind, pseudonym) of all valid values, not overlapping: the formats are tried in the order of
+    ``KINDS``, but cards of a known issuer in a usual spacing before phones."""
     call = cached or (lambda f, x: f(x, key))
     taken: list[tuple[int, int, str, str]] = []  # sorted
 
     def take(start, end, kind, f) -> bool:
-        if _word(text, start - 1) or _word(text, end):
+        if _word(text, start - 1) or (_word(text, end) and not (kind == "date" and _TIME.match(text, end))):
             return False
         k = bisect(taken, (start,))
         if (k and taken[k - 1][1] > start) or (k < len(taken) and taken[k][0] < end):
@@ -206,14 +251,31 @@ def find(text: str, key: bytes, cached=None) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in _EMAIL.finditer(text):
             take(*m.span(), "email", email)
-    for m in _IBAN.finditer(text):
+    m = _IBAN.search(text)
+    while m:
+        on = m.start() + 1
         for end in range(m.end(), m.start() + 14, -1):  # the longest valid one; words after it may look alike
             if text[end - 1] != " " and take(m.start(), end, "iban", iban):
+                on = end
                 break
+        m = _IBAN.search(text, on)
     for run in _RUN.finditer(text):
         for kind, pattern, f in _NUMBERS:
             for m in pattern.finditer(text, *run.span()):
                 take(*m.span(), kind, f)
+        likely, others = _cards(text, *run.span())
+        for span in likely:
+            take(*span, "card", card)
+        m = _PHONE.search(text, *run.span())
+        while m:
+            on = m.end()
+            for end in _phone_ends(m[0]):
+                if take(m.start(), m.start() + end, "phone", phone):
+                    on = m.start() + end
+                    break
+            m = _PHONE.search(text, on, run.end())
+        for span in others:
+            take(*span, "card", card)
     return taken
 
 

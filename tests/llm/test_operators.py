@@ -300,3 +300,36 @@ def test_pseudonyms_keep_form_and_links(spark, edge):
     assert [x.split(":")[0] for x in rows[22][spans]] == ["phone", "card", "date"]
     assert rows[22]["text"] != DOCS[25][1] and len(rows[22]["text"]) == len(DOCS[25][1])
     assert rows[1]["text"] is None and rows[2]["text"] == "" and rows[8]["text"] == DOCS[7][1]
+
+
+def test_pii_forms_beside_other_digits():
+    key = b"k"
+    new = lambda text: pii.replace(text, key)
+    card = pii.card("4111111111111111", key)
+    for before, after in (("", " 123"), ("no 7 ", ""), ("", "-12"), ("", " 12/27"), ("(743) 555-3824 ", ""), ("+49 30 123456 ", "")):
+        assert card in new(f"{before}4111111111111111{after}")[0]
+    spaced = pii.card("4111 1111 1111 1111", key)
+    for text in ("4111 1111 1111 1111 12/27", "7 4111 1111 1111 1111 99"):
+        assert new(text)[0] == text.replace("4111 1111 1111 1111", spaced)
+    # area codes and exchanges from 0 or 1 keep their class, and any spacing of a number has one pseudonym
+    seen = set()
+    for area in ("017", "117", "743"):
+        for exchange in ("055", "155", "555"):
+            forms = [f"+1 ({area}) {exchange}-7713", f"+1{area}{exchange}7713", f"+1 {area} {exchange} 7713", f"1-{area}-{exchange}-7713", f"({area}) {exchange}-7713", f"+1 ({area}) {exchange}-7713 2024"]
+            got = [new(f"call {f}.")[0] for f in forms]
+            digits = {"".join(c for c in g if c.isdigit()).removesuffix("2024")[-10:] for g in got}
+            assert len(digits) == 1 and digits != {area + exchange + "7713"}
+            d = digits.pop()
+            assert (d[0] < "2", d[3] < "2") == (area[0] < "2", exchange[0] < "2")
+            assert got[-1].endswith(" 2024.")
+            seen.add(d)
+    assert len(seen) == 9
+    one = [new(x)[0] for x in ("+33 1 42 68 53 00", "+33142685300", "+33 1 4268 5300")]
+    assert len({x.replace(" ", "") for x in one}) == 1 and one[0] != "+33 1 42 68 53 00" and one[0].startswith("+33 ")
+    iso = pii.day("2024-02-29", key)
+    for text in ("2024-02-29T10:11:12Z", "at 2024-02-29T10:11", "2024-02-29 10:11:12"):
+        assert new(text)[0] == text.replace("2024-02-29", iso)
+    a, b = "DE89370400440532013000", "GB82WEST12345698765432"
+    for text in (f"{a} {b}", f"AB12 {a} {b}", f"DE89 3704 0044 0532 0130 00 {b}", f"AB12 CD34 EF56 GH78 IJ90 {b}"):
+        assert pii.iban(b, key) in new(text)[0] and a not in new(text)[0], text
+    assert new("DE89 3704 0044 0532 0130 00 " + b)[0].startswith(pii.iban("DE89 3704 0044 0532 0130 00", key))
