@@ -9,7 +9,9 @@ as in a parser.
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+import json
+import zlib
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,7 +33,10 @@ TOKEN = r"(?s)</?[A-Za-z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)|[^<]+|<"
 _CLASS = r"""(?is)^<[^\s>]+(?:.*?[\s"'/])?class\s*=\s*(?:"(?:[^"]*\s)?(?:WORDS)(?:\s[^"]*)?"|'(?:[^']*\s)?(?:WORDS)(?:\s[^']*)?'|(?:WORDS)(?=[\s>/]))"""
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?|[^&]+|&"
 #: Names that also stand without a semicolon.
-_BARE = sorted(n for n in name2codepoint if n in html5)
+_BARE = sorted(n for n in html5 if not n.endswith(";"))
+#: All names, dealt by checksum over small maps, since a lookup goes through a map's keys one by one.
+_MAPS = 128
+_NAMES = json.dumps([{n[:-1]: x for n, x in sorted(html5.items()) if n.endswith(";") and zlib.crc32(n[:-1].encode()) % _MAPS == k} for k in range(_MAPS)])
 _BLOCK = 64
 
 
@@ -43,11 +48,11 @@ def _char(code: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references, each decoded once; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for n, p in sorted(name2codepoint.items()) for x in (n, chr(p))])
+    maps = F.from_json(F.lit(_NAMES), "array<map<string,string>>")  # folded to a constant by Catalyst
 
     def one(t: Column) -> Column:
         body = F.regexp_replace(t, "^&|;$", "")
-        named = F.when(t.endswith(";") | body.isin(_BARE), F.element_at(names, body))
+        named = F.when(t.endswith(";") | body.isin(_BARE), F.element_at(F.get(maps, (F.crc32(body.cast("binary")) % _MAPS).cast("int")), body))
         number = F.when(body.rlike("^#[0-9]"), F.expr("1")).otherwise(F.lit(0))
         code = F.when(number == 1, F.substring(body, 2, 8).try_cast("bigint")).otherwise(F.conv(F.substring(body, 3, 8), 16, 10).try_cast("bigint"))
         return F.when(~t.startswith("&") | (t == "&"), t).when(body.startswith("#"), _char(code)).otherwise(F.coalesce(named, t))

@@ -74,3 +74,19 @@ def test_class_marked_void_and_cell(spark):
     )
     t = _texts(clean.clean_pages(df))
     assert t[1] == "a b" and t[2] == "y z"
+
+
+def test_every_named_entity(spark):
+    from html import unescape
+    from html.entities import html5
+
+    from pyspark.sql import functions as F
+
+    from curata.functions import html
+
+    rows = [f"&{n}" + ("" if n.endswith(";") else " .") for n in html5]
+    rows += ["it&apos;s &colon;&lbrack;&dollar;&check;&rbrack; &NotEqualTilde; &AMP &apos x", "&amp;apos; &nosuchname; &Apos;"]
+    got = spark.createDataFrame([(r,) for r in rows], "s string").select("s", html.decode_entities(F.col("s")).alias("d")).collect()
+    assert {r.s: r.d for r in got} == {r: unescape(r) for r in rows}
+    page = spark.createDataFrame([(1, "<p>it&apos;s &lbrack;a&rbrack;</p>")], "page_id long, html string")
+    assert _texts(clean.clean_pages(page)) == {1: "it's [a]"}
