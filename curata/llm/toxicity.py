@@ -2,12 +2,12 @@
 
 Words are hashed into ``2 ** BITS`` buckets, and the buckets that enough documents share have embeddings; filters over 1, 2 and 3 words run along the whole text,
 the maximum of each filter is its feature, and a linear layer gives a logit. Thresholds are set per
-language on labelled rows kept out of the fitting; a score is the logistic function of the logit
+language on all labelled rows kept out of the fitting, counted by logit in Spark; a score is the logistic function of the logit
 above its language's threshold, so 0.5 is the decision everywhere. The language is guessed from
 function words of the text itself: labels, lang, source and doc_id never enter a score.
 
-Training reads at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` other labelled rows, chosen by a hash of
-the id; scoring reads every word of every text, in pieces of bounded size.
+Fitting reads at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` other labelled rows, chosen by a hash of
+the id; scoring, also the one for the thresholds, reads every word of every text, in pieces of bounded size.
 
 Defined results: null and empty texts get the score of a text without words; equal texts get equal
 scores; rows labelled twice count as toxic when any label says so; without labels of both kinds
@@ -34,6 +34,8 @@ EPOCHS, BATCH, RATE = 6, 64, 0.1
 FOLDS = 5
 #: A language needs this many toxic rows for a threshold of its own.
 LEAST = 15
+#: Logits are counted in steps of ``1 / STEPS`` up to ``TOP`` either way.
+STEPS, TOP = 128, 60
 
 # Frequent function words by language, for the language guess.
 FUNCTION_WORDS = {
@@ -105,13 +107,17 @@ class Model:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
         out = np.zeros(len(off) - 1)
-        for i, j in T.pieces(off):
-            ids, word_off = _words(data[off[i]:off[j]], off[i:j + 1] - off[i])
-            logit = self.logits((ids >> np.uint64(64 - BITS)).astype(np.int64), word_off)
-            x = np.clip(logit - self.thresholds[languages(ids, word_off)], -60, 60)
+        for i, j, logit, language in self.parts(data, off):
+            x = np.clip(logit - self.thresholds[language], -60, 60)
             out[i:j] = 1 / (1 + np.exp(-x))
         return out
 
+    def parts(self, data: np.ndarray, off: np.ndarray):
+        """(first, end, logits, languages) of the texts, in pieces of bounded size."""
+        for i, j in T.pieces(off):
+            ids, word_off = _words(data[off[i]:off[j]], off[i:j + 1] - off[i])
+            yield i, j, self.logits((ids >> np.uint64(64 - BITS)).astype(np.int64), word_off), languages(ids, word_off)
+
 
 def _padded(buckets: np.ndarray, off: np.ndarray):
     """Rows with unknown words (0) after each text, and where each text's windows start and end."""
@@ -196,40 +202,43 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple:
     return emb, filters, bias, out, offset, number
 
 
-def threshold(logits: np.ndarray, toxic: np.ndarray, clean: float = 1.0) -> float:
-    """The cut with the best F1, in the middle of the widest gap that has it; a clean row counts as ``clean`` rows."""
-    order = np.argsort(-logits, kind="stable")
-    x, hit = logits[order], np.cumsum(toxic[order])
-    f1 = 2 * hit / (hit + np.cumsum(~toxic[order]) * clean + toxic.sum())
-    after = np.r_[x[1:], x[-1] - 1]
-    gap = x - after
-    best = np.flatnonzero((f1 >= f1[gap > 0].max() - 1e-9) & (gap > 0))
-    k = best[np.argmax(gap[best])]
-    return float((x[k] + after[k]) / 2)
+def threshold(step: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The cut with the best F1 over counts of toxic and clean rows by step, in the middle of the widest gap that has it."""
+    step, at = np.unique(-step, return_inverse=True)
+    top, hit, miss = -step, np.cumsum(np.bincount(at, toxic)), np.cumsum(np.bincount(at, clean))
+    f1 = 2 * hit / (hit + miss + hit[-1])
+    low, high = top / STEPS, np.r_[top[1:] + 1, top[-1]] / STEPS  # of a cut below each step
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    k = best[np.argmax((low - high)[best])]
+    return float((low[k] + high[k]) / 2)
 
 
-def train(docs: list[np.ndarray], toxic: np.ndarray, language: np.ndarray, fold: np.ndarray, clean: float = 1.0) -> Model:
-    """Fit on all folds but the first, thresholds on the first, by language.
+def set_thresholds(model: Model, language: np.ndarray, step: np.ndarray, toxic: np.ndarray, n: np.ndarray, clean: float) -> None:
+    """Thresholds by language from counts ``n`` of rows by (language, step, toxic); a clean row counts as ``clean`` rows."""
+    hit, miss = np.where(toxic, n, 0), np.where(toxic, 0, n)
+    model.thresholds[:] = threshold(step, hit, miss * clean)
+    for lang in range(len(FUNCTION_WORDS)):
+        own = language == lang
+        if hit[own].sum() >= LEAST and miss[own].sum() >= LEAST:
+            model.thresholds[lang] = threshold(step[own], hit[own], miss[own] * clean)
 
-    ``clean`` is how much thinner the sample of clean rows is than that of toxic rows.
-    """
+
+def _steps(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logits, -TOP, TOP) * STEPS).astype(np.int32)
+
+
+def train(docs: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:
+    """A model without thresholds, fitted on all folds but the first, and which rows it was fitted on."""
     toxic = toxic.astype(bool)
     if len(docs) < 2 or toxic.all() or not toxic.any():
-        return Model([], [], np.zeros(0), 0.0, np.zeros(0), np.zeros(0), constant=0.0)
+        return Model([], [], np.zeros(0), 0.0, np.zeros(0), np.zeros(0), constant=0.0), np.ones(len(docs), bool)
     apart = fold == 0
     if not (toxic[apart].any() and toxic[~apart].any() and (~toxic[apart]).any() and (~toxic[~apart]).any()):
         apart = np.zeros(len(docs), bool)
     emb, filters, bias, out, offset, number = fit([d for d, a in zip(docs, apart) if not a], toxic[~apart])
     tables = [[(emb @ f[j]).astype(np.float32) for j in range(len(f))] for f in filters]
     model = Model(tables, [b.astype(np.float32) for b in bias], out.astype(np.float32), float(offset), np.zeros(len(FUNCTION_WORDS) + 1), number)
-    rows = np.flatnonzero(apart) if apart.any() else np.arange(len(docs))
-    logits = np.concatenate([model.logits(docs[k], np.array([0, len(docs[k])])) for k in rows])
-    model.thresholds[:] = threshold(logits, toxic[rows], clean)
-    for lang in range(len(FUNCTION_WORDS)):
-        own = language[rows] == lang
-        if toxic[rows][own].sum() >= LEAST and (~toxic[rows][own]).sum() >= LEAST:
-            model.thresholds[lang] = threshold(logits[own], toxic[rows][own], clean)
-    return model
+    return model, ~apart
 
 
 def _tokenise(batches):
@@ -264,8 +273,42 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: s
     ids = got["doc_id"].to_numpy()
     docs_ = [np.asarray(x, np.int32) for x in (v.values.to_numpy() for v in got["buckets"])]
     fold = T.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)
-    return train(docs_, got["toxic"].to_numpy() == 1, got["language"].to_numpy(), fold,
-                 (there.get(False, 0) / MAX_CLEAN if there.get(False, 0) > MAX_CLEAN else 1.0) / max(1.0, there.get(True, 0) / MAX_TOXIC))
+    toxic = got["toxic"].to_numpy() == 1
+    model, fitted = train(docs_, toxic, fold)
+    if model.constant is not None:
+        return model
+    used = docs.sparkSession.createDataFrame(pa.table({"doc_id": ids[fitted]}))
+    rest = known.join(F.broadcast(used), "doc_id", "left_anti").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    counted = counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rest, model)
+    total = np.array([there.get(False, 0), there.get(True, 0)])
+    part = total - np.bincount(toxic[fitted], minlength=2)
+    if counted["toxic"].any() and not counted["toxic"].all():
+        set_thresholds(model, *counted.values(), clean=(total[0] / part[0]) / (total[1] / part[1]))
+    else:  # too few rows to keep any apart
+        steps = _steps(np.concatenate([model.logits(d, np.array([0, len(d)])) for d in docs_]))
+        part = np.bincount(toxic, minlength=2)
+        set_thresholds(model, got["language"].to_numpy(), steps, toxic, np.ones(len(toxic)), clean=(total[0] / part[0]) / (total[1] / part[1]))
+    return model
+
+
+def counts(docs: DataFrame, rest: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Numbers of the documents of ``rest`` (doc_id, toxic) by language, logit step and label, counted in Spark.
+
+    Only ids and steps are joined with many labels; few labels choose the documents before they are read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            for i, j, logits, language in shared.value.parts(*T.texts(b.column(1))):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(language.astype(np.int32)), pa.array(_steps(logits))], ["doc_id", "language", "step"])
+
+    if rest.count() <= C.BROADCAST_ROWS:
+        rest = F.broadcast(rest)
+        docs = docs.join(rest, "doc_id", "left_semi")
+    steps = docs.mapInArrow(run, "doc_id long, language int, step int").join(rest, "doc_id")
+    got = steps.groupBy("language", "step", "toxic").agg(F.count("*").alias("n")).toArrow()  # bounded by the steps
+    return {c: got[c].to_numpy() for c in ("language", "step", "toxic", "n")}
 
 
 def score(text: Column, model: Model, spark) -> Column:

@@ -333,3 +333,32 @@ def test_pii_forms_beside_other_digits():
     for text in (f"{a} {b}", f"AB12 {a} {b}", f"DE89 3704 0044 0532 0130 00 {b}", f"AB12 CD34 EF56 GH78 IJ90 {b}"):
         assert pii.iban(b, key) in new(text)[0] and a not in new(text)[0], text
     assert new("DE89 3704 0044 0532 0130 00 " + b)[0].startswith(pii.iban("DE89 3704 0044 0532 0130 00", key))
+
+
+def test_toxicity_thresholds_count_every_row_not_fitted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 50)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 80)
+    r = random.Random(2)
+    plain = [f"w{k}" for k in range(150)]
+    docs, labels = [], []
+    for i in range(2400):
+        lang, toxic = ("en", "fr")[i % 2], i % 10 < 4
+        words = [r.choice(plain) for _ in range(20)] + toxicity.FUNCTION_WORDS[lang].split()[:6]
+        words += ["scum"] * (toxic and r.random() < 0.9) + ["moron"] * (r.random() < (0.8 if toxic else 0.6 if lang == "fr" else 0.05))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    table, given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train_on(table, given)
+    held = {x.doc_id for x in table.filter(toxicity.held_out(F.col("doc_id"))).collect()}
+    rest = given.filter(~toxicity.held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic") == 1)
+    every = toxicity.counts(table, rest, model)
+    assert every["n"].sum() == 2400 - len(held)
+    en, fr = model.thresholds[:2]
+    assert en != fr  # 10 toxic rows of the sample's held-out part were too few
+    for lang, cut in ((0, en), (1, fr)):  # within a little of the best F1 over all rows, the fitted ones among them
+        own = every["language"] == lang
+        step, toxic, n = (every[c][own] for c in ("step", "toxic", "n"))
+        f1 = lambda c: 2 * n[toxic & (step / toxicity.STEPS >= c)].sum() / (n[step / toxicity.STEPS >= c].sum() + n[toxic].sum())  # noqa: E731, B023
+        assert f1(cut) >= max(map(f1, step / toxicity.STEPS)) - 0.02
+    monkeypatch.setattr(toxicity.C, "BROADCAST_ROWS", 1)  # many labels: the same thresholds
+    assert list(toxicity.train_on(table, given).thresholds) == list(model.thresholds)
