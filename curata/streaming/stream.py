@@ -147,24 +147,41 @@ def stream_pipeline(spark: SparkSession, landing: str, tables: str, checkpoint:
 
 
 def url_dedup_batch(batch: DataFrame, seen: DataFrame, delay_hours: int) -> DataFrame:
-    """Rows of ``batch`` with ``status``: ``first`` for the first row of a URL (smallest event time, then seq) that no
-    earlier batch has passed within ``delay_hours``, else ``repeat``."""
-    keyed = batch.withColumn("normalized_url", urls.normalize_url(F.col("url")))
-    order = F.struct(F.col("event_time").isNull(), "event_time", "seq")
-    best = keyed.groupBy("normalized_url").agg(F.min(order).alias("_best"))
+    """Rows of ``batch`` with ``status``: by URL in order of event time, then seq, a row is ``first`` when no row has
+    passed before, in ``seen`` or in the batch, or the last one did ``delay_hours`` or more before it, else ``repeat``.
+
+    Rows without an event time come last. A URL's different times are gathered by hour, then walked as one array."""
+    keyed = cut_lineage(batch.withColumn("normalized_url", urls.normalize_url(F.col("url"))))  # used three times, parsed once
     last = seen.groupBy(F.col("normalized_url").alias("_url")).agg(F.max("event_time").alias("_last"))
-    rows = keyed.join(best, "normalized_url").join(last, F.col("normalized_url") == F.col("_url"), "left")
-    within = F.col("_url").isNotNull() & (F.col("_last").isNull() | F.col("event_time").isNull() | (F.col("event_time") < F.timestamp_add("HOUR", F.lit(delay_hours), F.col("_last"))))
-    first = (order == F.col("_best")) & ~within
-    return rows.withColumn("status", F.when(first, "first").otherwise("repeat")).drop("_best", "_url", "_last")
+    at = keyed.groupBy("normalized_url", "event_time").agg(F.min(F.struct("seq")).alias("_seq"))
+    hours = at.groupBy("normalized_url", F.date_trunc("HOUR", "event_time").alias("_hour")).agg(F.collect_list("event_time").alias("_times"))
+    each = hours.groupBy("normalized_url").agg(F.array_sort(F.flatten(F.collect_list("_times"))).alias("_times"))
+    each = each.join(last, F.col("normalized_url") == F.col("_url"), "left")
+    kind = keyed.schema["event_time"].dataType
+    none = F.array().cast(f"array<{kind.simpleString()}>")
+
+    def step(acc: Column, t: Column) -> Column:
+        passes = acc["last"].isNull() | (t >= F.timestamp_add("HOUR", F.lit(delay_hours), acc["last"]))
+        return F.struct(F.when(passes, t).otherwise(acc["last"]).alias("last"), F.when(passes, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"))
+
+    walked = F.aggregate("_times", F.struct(F.col("_last").cast(kind).alias("last"), none.alias("out")), step, lambda acc: acc["out"])
+    untimed = F.col("_url").isNotNull() & F.col("_last").isNull()  # only a row without a time has passed: it holds for all
+    passed = F.when(untimed, none).when(F.col("_url").isNull() & (F.size("_times") == 0), F.array(F.lit(None).cast(kind))).otherwise(walked)
+    passed = each.select(F.col("normalized_url").alias("_first"), F.explode(passed).alias("_at"))
+    same = (F.col("normalized_url") == F.col("_first")) & F.col("event_time").eqNullSafe(F.col("_at"))
+    first = at.join(passed, same).select("_first", "_at", "_seq")
+    rows = keyed.join(first, same, "left")
+    is_first = F.col("_first").isNotNull() & (F.struct("seq") == F.col("_seq"))
+    return rows.withColumn("status", F.when(is_first, "first").otherwise("repeat")).drop("_first", "_at", "_seq")
 
 
 def stream_url_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str, schema, delay_hours: int = 24) -> DataFrame:
     """Stateful URL dedup: every landed row gets a status, none is lost, and the state is the sink itself.
 
-    Rows of a micro-batch are compared with the rows that earlier batches passed. Late rows are judged
-    like others, and rows without an event time by their URL alone. A replayed batch replaces its own
-    partition."""
+    Rows of a micro-batch are judged in order of event time, against the rows that passed before them in it
+    and in earlier batches, so rows that land in that order get the same statuses in any number of batches.
+    A row that lands after a later one of its URL has passed is judged against that one, and rows without an
+    event time by their URL alone. A replayed batch replaces its own partition."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     sink_schema = f"{columns}, event_time timestamp_ntz, normalized_url string, status string, batch_id bigint"
 
@@ -172,7 +189,7 @@ def stream_url_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: s
         found = present(lambda: spark.read.schema(sink_schema).parquet(sink))
         seen = spark.createDataFrame([], sink_schema) if found is None else found
         seen = seen.where((F.col("batch_id") < batch_id) & (F.col("status") == "first")).select("normalized_url", "event_time")
-        rows = url_dedup_batch(cut_lineage(df.withColumn("event_time", F.col("published_at"))), seen, delay_hours)
+        rows = url_dedup_batch(df.withColumn("event_time", F.col("published_at")), seen, delay_hours)
         rows.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     src = spark.readStream.schema(schema).parquet(landing)

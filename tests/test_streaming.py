@@ -129,3 +129,25 @@ def test_url_dedup_keeps_first_and_loses_nothing(spark):
         out = stream.stream_url_dedup(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", schema)
     got = {r.seq: r.status for r in out.collect()}
     assert got == {1: "first", 2: "repeat", 3: "first", 4: "first", 5: "repeat", 6: "first", 7: "first", 8: "repeat"}
+
+
+def test_url_dedup_is_the_same_in_any_number_of_files(spark):
+    schema = spark.createDataFrame([], "seq long, url string, published_at timestamp_ntz").schema
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, ("https://a.com/hot", "https://a.com/hot", f"https://b.com/{k % 4}")[k % 3], start + dt.timedelta(minutes=k // 2 * 97)) for k in range(120)]
+    rows += [(200, "https://c.com", start + dt.timedelta(days=9)), (201, "https://c.com", start + dt.timedelta(days=10)), (202, "https://c.com", None), (203, "https://d.com", None), (204, "https://d.com", None)]
+    want, last = {}, {}
+    for seq, url, t in rows:  # in order of time
+        old = last.get(url, "none")
+        passes = old == "none" or (t is not None and old is not None and t - old >= dt.timedelta(hours=24))
+        want[seq] = "first" if passes else "repeat"
+        if passes:
+            last[url] = t
+    assert sum(x == "first" for x in want.values()) > 2 * len(last)
+    for files in (1, 3, 8):
+        base = _base(spark)
+        size = -(-len(rows) // files)
+        for k in range(files):
+            spark.createDataFrame(rows[k * size:(k + 1) * size], schema).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+            out = stream.stream_url_dedup(spark, f"{base}/landing", f"{base}/sink", f"{base}/ckpt", schema)
+        assert {r.seq: r.status for r in out.collect()} == want and out.count() == len(rows), files
