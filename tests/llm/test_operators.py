@@ -362,3 +362,39 @@ def test_toxicity_thresholds_count_every_row_not_fitted(spark, monkeypatch):
         assert f1(cut) >= max(map(f1, step / toxicity.STEPS)) - 0.02
     monkeypatch.setattr(toxicity.C, "BROADCAST_ROWS", 1)  # many labels: the same thresholds
     assert list(toxicity.train_on(table, given).thresholds) == list(model.thresholds)
+
+
+@pytest.mark.parametrize("distance", [0, 3, 4, 6])
+def test_hot_simhash_buckets_at_any_distance(spark, monkeypatch, distance):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    r = random.Random(distance)
+    prints = set()
+    for _ in range(40):
+        base = r.getrandbits(64)
+        spread = [16 * (k % 4) + b for k, b in enumerate(r.sample(range(16), distance))]  # differences in every 16 bits
+        prints |= {base, base ^ sum(1 << b for b in spread)}
+    prints = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    root = {x: x for x in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(prints):
+        for y in prints[:i]:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= distance:
+                root[max(top(x), top(y))] = min(top(x), top(y))
+    monkeypatch.setattr(simhash, "plan", lambda *a: None)
+    monkeypatch.setattr(simhash, "_probe", lambda chosen: one_bucket)
+
+    def one_bucket(batches):  # a bucket of all
+        import pyarrow as pa
+
+        for b in batches:
+            n = len(b)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()), b.column(0), pa.array([False] * n)], ["part", "value", "fp", "probe"])
+
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(prints)], "doc_id long, fp long")
+    got = {x.fp: x.root for x in simhash.groups(table, distance).collect()}
+    assert got == {x: top(x) for x in prints}
