@@ -72,3 +72,12 @@ def materialise(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table, marked for broadcast when its counted size is within ``rows``, else left as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: str, salt_by: str, ways: int = 64) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row for each ``on``); a value of ``on`` that many rows share is dealt
+    over ``ways`` tasks by a hash of ``salt_by``. ``rows`` is read twice, so it should be a materialised table."""
+    (salt,) = fresh(rows, "salt")
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(ways)))
+    there = rows.select(on, salt).distinct().join(table, on)  # at most ``ways`` rows for each value
+    return rows.join(there, [on, salt], "left").drop(salt)
