@@ -62,7 +62,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     files live on the shared file system, so a lost executor never forces recomputation of earlier
     rounds. Never ``localCheckpoint``.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/curata-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared checkpoint folder that nothing uses yet."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/curata-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_path` named, once no DataFrame in use reads it."""
+    if not path.rstrip("/").rsplit("/", 1)[-1].startswith("curata-"):
+        raise ValueError(f"not one of this library's tables: {path}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
