@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import curata
-from curata.session import cut_lineage
+from curata.session import cut_lineage, drop_path, new_path  # noqa: F401
 
 #: Most rows that a broadcast side may have; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
@@ -74,10 +74,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: str, salt_by: str, ways: int = 64) -> DataFrame:
-    """``rows`` left-joined with ``table`` (one row for each ``on``); a value of ``on`` that many rows share is dealt
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], salt_by: str, ways: int = 64) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row for each ``on``); values of ``on`` that many rows share are dealt
     over ``ways`` tasks by a hash of ``salt_by``. ``rows`` is read twice, so it should be a materialised table."""
     (salt,) = fresh(rows, "salt")
     rows = rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(ways)))
-    there = rows.select(on, salt).distinct().join(table, on)  # at most ``ways`` rows for each value
-    return rows.join(there, [on, salt], "left").drop(salt)
+    there = rows.select(*on, salt).distinct().join(table, on)  # at most ``ways`` rows for each value
+    return rows.join(there, [*on, salt], "left").drop(salt)
+
+
+def attach(rows: DataFrame, table: DataFrame, on: list[str], salt_by: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` (materialised, one row for each ``on``): by broadcast while its counted size
+    is within ``BROADCAST_ROWS``, else by :func:`lookup`."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, "left")
+    return lookup(rows, table, on, salt_by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact, mixing, pii, secrets, simhash, substring, suffix, toxicity, trie
+from . import chat, collocation, decontaminate, exact, mixing, pii, secrets, simhash, substring, suffix, toxicity, trie
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
+    "op11_collocations": collocation.op11_collocations,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_mixing": mixing.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op8_exact_dedup": exact.SQL,
+    "op11_collocations": collocation.SQL,
     "op13_prefix_trie": trie.SQL,
 }

@@ -82,13 +82,11 @@ def windows(pre: np.ndarray, at: np.ndarray, size, lane: int = 0) -> np.ndarray:
     return mix((pre[at + size] - pre[at]) * powers(len(pre), lane)[1][at])
 
 
-def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE, lower: np.ndarray | None = None):
-    """Starts, ends and 64-bit numbers of all words, and the n + 1 offsets of each document's words."""
+def spans(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the n + 1 offsets of each document's words."""
     if not len(data):
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    if lower is not None:
-        data = lower[data]
+        return z, z, np.zeros(len(off), np.int64)
     inside = ~separator[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True  # a document's end ends its last word
@@ -97,13 +95,45 @@ def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE, lowe
     starts = np.flatnonzero(start)
     after = np.r_[~inside[1:], True]
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
-    if not len(starts):
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words one after another, each byte's place in its word, and each word's first byte there."""
     size = ends - starts
-    p = powers(int(size.max()) + 1)[0]
     total = np.cumsum(np.r_[0, size])
     at = np.arange(total[-1]) - np.repeat(total[:-1], size)
-    byte = data[np.repeat(starts, size) + at].astype(np.uint64) + np.uint64(1)
-    ids = mix(np.add.reduceat(byte * p[at], total[:-1]))
-    return starts, ends, ids, np.searchsorted(starts, off)
+    return data[np.repeat(starts, size) + at], at, total[:-1]
+
+
+def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE, lower: np.ndarray | None = None):
+    """Starts, ends and 64-bit numbers of all words, and the n + 1 offsets of each document's words."""
+    if lower is not None:
+        data = lower[data]
+    starts, ends, word_off = spans(data, off, separator)
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64), word_off
+    byte, at, first = letters(data, starts, ends)
+    p = powers(int(at.max()) + 2)[0]
+    return starts, ends, mix(np.add.reduceat((byte.astype(np.uint64) + np.uint64(1)) * p[at], first)), word_off
+
+
+#: Drawn numbers of a byte at a place of its word, for words of up to 256 bytes, by lane.
+_DRAWN: dict[int, np.ndarray] = {}
+
+
+def _drawn(cell: np.ndarray, lane: int) -> np.ndarray:
+    return mix(mix(cell.astype(np.uint64) + np.uint64(BASES[lane])) + np.uint64(lane + 1))
+
+
+def drawn(byte: np.ndarray, at: np.ndarray, first: np.ndarray, lane: int) -> np.ndarray:
+    """64-bit numbers of words as sums of a number drawn for each byte and place.
+
+    Unlike a polynomial modulo 2**64, which strings built for it (Thue-Morse) defeat whatever the base, such
+    sums have no structure that a text could follow; numbers of two lanes are independent."""
+    cell = at * 256 + byte
+    if len(at) and at.max() >= 256:
+        return mix(np.add.reduceat(_drawn(cell, lane), first))
+    if lane not in _DRAWN:
+        _DRAWN[lane] = _drawn(np.arange(1 << 16), lane)
+    return mix(np.add.reduceat(_DRAWN[lane][cell], first)) if len(first) else np.zeros(0, np.uint64)

@@ -192,7 +192,7 @@ def build(symbols: DataFrame, members: DataFrame) -> DataFrame:
         "top", "name", "conv_id", "depth", F.col("n").alias("n_convs"), "n_children", (F.col("leaves") + F.coalesce("below_leaves", F.lit(0))).alias("n_leaves"),
         (F.col("saved") + F.coalesce("below_saved", F.lit(0))).alias("saved_tokens"),
         F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256")))
-    out = C.lookup(out, nodes.select(F.col("name").alias("top"), F.col("conv_id").alias("parent_conv_id")), "top", "name")
+    out = C.lookup(out, nodes.select(F.col("name").alias("top"), F.col("conv_id").alias("parent_conv_id")), ["top"], "name")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
