@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, collocation, decontaminate, exact, mixing, pii, secrets, simhash, substring, suffix, toxicity, trie
+from . import chat, collocation, decontaminate, exact, mixing, pii, secrets, simhash, substring, suffix, toxicity, trie, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
     "op11_collocations": collocation.op11_collocations,
+    "op12_warc": warc.op12_warc,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
@@ -23,5 +24,6 @@ ORACLES = {
     "op4_decontamination": decontaminate.SQL,
     "op8_exact_dedup": exact.SQL,
     "op11_collocations": collocation.SQL,
+    "op12_warc": warc.SQL,
     "op13_prefix_trie": trie.SQL,
 }
