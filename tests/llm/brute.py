@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -101,3 +102,77 @@ def op10(rows):
         text = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))
         out.append((i, *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(text.encode()).hexdigest()))
     return out
+
+
+def op11(rows, least=100, longest=5, top=2000, share=100):
+    """rows: (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i:i + k])] += 1
+    some = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    held = {}
+    for (lang, w), a in some.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                held[lang, w[i:i + k]] = max(a, held.get((lang, w[i:i + k]), 0))
+    best = {}
+    for (lang, w), a in some.items():
+        if 100 * held.get((lang, w), -1) >= share * a:
+            continue
+        cut = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+        best.setdefault(lang, []).append((-cut[0], -a, " ".join(w).encode(), cut[2], cut[3]))
+    return [(lang, k + 1, p.decode(), -a, left, right, n[lang], -s) for lang, all_ in best.items() for k, (s, a, p, left, right) in enumerate(sorted(all_)[:top])]
+
+
+def op12(rows, least=100):
+    """rows: (page_id, url, html)."""
+    first = {}
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    out = []
+    for k in order:
+        page, _, html = rows[k]
+        body = (html or "").encode()
+        digest = hashlib.sha256(body).hexdigest()
+        again = len(body) >= least and digest in first
+        out.append((page, len(body), digest, "revisit" if again else "response", first[digest] if again else None))
+        first.setdefault(digest, page)
+    return out
+
+
+def trie(convs):
+    """convs: {id: [(role, text), ..]} to the nodes as op13 returns them."""
+    member = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            member.setdefault(tuple(turns[:d]), []).append(c)
+    children = Counter(p[:-1] for p in member if p)
+    leaves, saved = Counter(), Counter()
+    for p, ids in member.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(ids) - 1) * len(p[-1][1]) if p else 0
+    out = []
+    for p, ids in member.items():
+        ends = ",".join(str(c) for c in sorted(ids) if len(convs[c]) == len(p))
+        out.append((min(ids), len(p), min(member[p[:-1]]) if p else None, len(ids), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def op13(rows):
+    """rows: (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [x[1:] for x in sorted(turns)] for c, turns in own.items()}
+    made = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        made[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+    return trie(made)
