@@ -2,17 +2,21 @@
 
 The corpus is dealt into shards that are scanned in a cycle. Words are counted from the first scan on.
 A longer phrase becomes active once both its subphrases (all but its last and all but its first word) have reached
-the threshold in what was counted so far; from the next scan on it is counted, for one full cycle, so
-lengths are counted together in one scan and a long phrase need not wait for the end of the passes before.
+the threshold; from the next scan on it is counted, so lengths are counted together in one scan and a long phrase
+need not wait for the end of the passes before. Until each phrase has completed a full cycle, the scans go on.
 
-Activity is not kept as a list of phrases: every scan gets two bit tables of bounded size, of the phrases that
-have reached the threshold, and of those that did so within the last cycle. A window of words is
-counted when both its subphrases are in the first table and one is in the second. Phrases that share a bit
-only make a scan count more than it must: a phrase's count is kept by shard and equal counts of one
-shard are one, so extra scans change nothing, and a full cycle is never missed.
+A phrase that reaches the threshold has its share of it, threshold / shards, in one shard at least. So a count is
+kept from the first scan with that share on, and for one full cycle; smaller counts of phrases not kept yet can't
+matter and go at once, and a phrase that ends its cycle below the threshold goes too.
 
-Texts are read as Arrow batches in pieces; a piece's windows are numbered by two independent 64-bit lanes and
-added up before they leave the task, and Spark adds them by language and phrase text.
+Activity is not a list of phrases: every scan gets three bit tables of bounded size, of the phrases that have reached
+the threshold ever and within the last cycle, and of those kept whose cycle is not complete. A window of
+words is counted when both its subphrases are in the first table and one is in the second, or when it is in the
+third itself. All tasks of a scan see the same tables, so a count covers its whole shard or is not there; phrases
+that share a bit only make a scan count more than it must.
+
+Texts are read as Arrow batches in pieces; windows are known by two independent 64-bit numbers, which a last scan
+turns into language and text (two texts for one pair of numbers would stop the job).
 
 Defined results: a null or empty text has no phrases; a null language is ``und``; equal rows count each; a text
 of any length is read in pieces that overlap by the words of a window; an empty table gives an empty result;
@@ -34,7 +38,7 @@ from . import anchors as A
 from . import common as C
 from . import textnum as T
 
-SHARDS, LONGEST, LEAST, TOP, SHARE = 4, 5, 100, 2000, 100
+SHARDS, LONGEST, LEAST, TOP, SHARE = 3, 5, 100, 2000, 100
 #: Bytes of text whose windows are added up at a time.
 PIECE = 1 << 21
 #: Bits of a table for each phrase in it, and at least and at most; beyond that tables only filter less.
@@ -52,15 +56,17 @@ _NEXT = re.compile(rb"[%s]+[^%s%s]+" % (SOFT, re.escape(HARD), SOFT))
 
 @dataclass
 class Tables:
-    """Bit tables of the phrases that have reached the threshold, ever and within the last cycle."""
+    """Bit tables of the phrases that have reached the threshold ever and late, and of those not counted in full (open).
+
+    ``lens`` are the lengths that a scan counts."""
 
     size: int
-    ever: np.ndarray
-    late: np.ndarray
+    bits: dict[str, np.ndarray]
+    lens: set[int]
 
-    def has(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def has(self, name: str, h: np.ndarray) -> np.ndarray:
         slot = (h & np.uint64(self.size - 1)).astype(np.int64)
-        return (table[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return (self.bits[name][slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def _parts(data: np.ndarray, off: np.ndarray, longest: int):
@@ -98,86 +104,129 @@ def _seed(lang: str, lane: int) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, salt=bytes([lane] * 16)).digest(), "little")
 
 
+class _Words:
+    """The words of a piece of texts: first numbers of all windows, second numbers and texts of some."""
+
+    def __init__(self, data, off, first, stop, seeds):
+        low = _LOWER[data]
+        self.starts, self.ends, word_off = T.spans(low, off, _BETWEEN)
+        self.n = len(self.starts)
+        self.doc = np.repeat(np.arange(len(off) - 1), np.diff(word_off)) + first
+        self.letters = T.letters(low, self.starts, self.ends)
+        self.seeds = seeds
+        self.pre = [T.prefix(self._numbers(0)), None]
+        self.line = np.cumsum(_HARD[low])[self.starts] + self.doc  # words of one piece share it
+        self.own = self.starts < stop
+
+    def _numbers(self, lane):
+        return T.mix(T.drawn(*self.letters, lane) ^ self.seeds[lane][self.doc])
+
+    def firsts(self, k):
+        return T.windows(self.pre[0], np.arange(self.n - k + 1), k)
+
+    def whole(self, k):
+        """Windows of k words inside one piece that this part of a text counts."""
+        m = self.n - k + 1
+        return self.own[:m] & (self.line[:m] == self.line[k - 1:])
+
+    def seconds(self, i, k):
+        if self.pre[1] is None:
+            self.pre[1] = T.prefix(self._numbers(1), 1)
+        return T.windows(self.pre[1], i, k, 1)
+
+    def texts(self, i, k):
+        byte, _, begin = self.letters
+        size, at = self.ends - self.starts, np.arange(self.n)
+        packed = np.full(len(byte) + self.n, 32, np.uint8)
+        packed[np.arange(len(byte)) + np.repeat(at, size)] = byte
+        packed, place, last = packed.tobytes(), begin + at, i + k - 1
+        return pa.array([packed[a:b] for a, b in zip(place[i].tolist(), (place[last] + size[last]).tolist())], pa.binary()).cast(pa.string())
+
+
+def _pieces(batches, longest: int):
+    """The words of all pieces of (lang, text) batches, with the batch's languages."""
+    for batch in batches:
+        data, off = T.texts(batch.column(1))
+        langs = batch.column(0)
+        coded = langs.dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        seeds = [np.array([_seed(x, k) for x in names], np.uint64)[code] for k in (0, 1)]
+        for piece in _parts(data, off, longest):
+            words = _Words(*piece, seeds)
+            if words.n:
+                yield words, langs
+
+
 def counter(tables, words: bool, longest: int):
-    """mapInArrow function over (lang, text) to (lang, phrase, len, h, n): windows that are active in this scan.
+    """mapInArrow function over (lang, text) to (h, g, len, n, begin): windows that are counted in this scan, and whether
+    a count may begin here (those that are only in the table of open cycles go on, they begin nothing).
 
-    ``tables`` is a broadcast of :class:`Tables` or None while no phrase has reached the threshold."""
+    ``tables`` is a broadcast of :class:`Tables` or None before any phrase is kept."""
 
-    def count(data, off, first, stop, langs, seeds):
-        low = _LOWER[data]
-        starts, ends, word_off = T.spans(low, off, _BETWEEN)
-        n = len(starts)
-        if not n:
-            return
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(word_off)) + first
-        byte, at, begin = T.letters(low, starts, ends)
-        lane = [T.mix(T.drawn(byte, at, begin, k) ^ seeds[k][doc]) for k in (0, 1)]
-        pre = [T.prefix(x, k) for k, x in enumerate(lane)]
-        line = np.cumsum(_HARD[low])[starts] + doc  # words of one piece share it
-        size = ends - starts
-        place = begin + np.arange(n)  # of each word where all stand one space apart
-        packed = np.full(len(byte) + n, 32, np.uint8)
-        packed[np.arange(len(byte)) + np.repeat(np.arange(n), size)] = byte
-        packed = packed.tobytes()
-        own = starts < stop
-        ever = late = None
+    def run(batches):
         table = tables.value if tables is not None else None
-        for k in range(1, longest + 1):
-            if n < k or (k > 1 and table is None):
-                return
-            every = np.arange(n - k + 1)
-            h = T.windows(pre[0], every, k)
-            if k == 1:
-                active = own if words else np.zeros(n, bool)
-            else:
-                active = own[:n - k + 1] & (line[:n - k + 1] == line[k - 1:]) & ever[:-1] & ever[1:] & (late[:-1] | late[1:])
-            if table is not None and k < longest:
-                ever, late = table.has(table.ever, h), table.has(table.late, h)
-            i = np.flatnonzero(active)
-            if not len(i):
-                continue
-            one, times = _sum(h[i], T.windows(pre[1], i, k, 1))
-            at_ = i[one]
-            last = at_ + k - 1
-            texts = [packed[a:b] for a, b in zip(place[at_].tolist(), (place[last] + size[last]).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(doc[at_])).cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.full(len(one), k, np.int8)),
-                 A.int64(h[at_]), pa.array(times.astype(np.int64))], ["lang", "phrase", "len", "h", "n"])
+        lens = (table.lens if table is not None else set()) | ({1} if words else set())
+        for w, _ in _pieces(batches, longest):
+            ever = late = None
+            for k in range(1, min(max(lens), w.n) + 1):
+                if k not in lens and k + 1 not in lens:
+                    ever = late = None
+                    continue
+                h = w.firsts(k)
+                if k in lens:
+                    begin = np.full(len(h), words) if k == 1 else ever[:-1] & ever[1:] & (late[:-1] | late[1:])
+                    active = begin | table.has("open", h) if table is not None else begin
+                    i = np.flatnonzero(active & w.whole(k))
+                    if len(i):
+                        g = w.seconds(i, k)
+                        one, times = _sum(h[i], g)
+                        yield pa.RecordBatch.from_arrays([A.int64(h[i[one]]), A.int64(g[one]), pa.array(np.full(len(one), k, np.int8)), pa.array(times.astype(np.int64)), pa.array(begin[i[one]])], ["h", "g", "len", "n", "begin"])
+                if k + 1 in lens:
+                    ever, late = table.has("ever", h), table.has("late", h)
+
+    return run
+
+
+def speller(tables, longest: int):
+    """mapInArrow function over (lang, text) to (lang, h, g, phrase, n): the texts of the phrases in the table ``ever``, and
+    without numbers the count of all words."""
 
     def run(batches):
-        for batch in batches:
-            data, off = T.texts(batch.column(1))
-            langs = batch.column(0)
-            coded = langs.dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            seeds = [np.array([_seed(x, k) for x in names], np.uint64)[code] for k in (0, 1)]
-            for piece in _parts(data, off, longest):
-                yield from count(*piece, langs, seeds)
+        table = tables.value
+        schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
+        for w, langs in _pieces(batches, longest):
+            doc, times = np.unique(w.doc[w.own], return_counts=True)
+            none = pa.nulls(len(doc))
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(doc)).cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), pa.array(times.astype(np.int64))], schema=schema)
+            for k in range(1, min(longest, w.n) + 1):
+                h = w.firsts(k)
+                i = np.flatnonzero(table.has("ever", h) & w.whole(k))
+                if len(i):
+                    g = w.seconds(i, k)
+                    one, times = _sum(h[i], g)
+                    at = i[one]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.doc[at])).cast(pa.string()), A.int64(h[at]), A.int64(g[one]), w.texts(at, k), pa.array(times.astype(np.int64))], schema=schema)
 
     return run
 
 
-def _tables(state: DataFrame, step: int, shards: int, longest: int):
-    """The bit tables for scan ``step``; None while no phrase has reached the threshold, and whether one did in the last cycle."""
-    done = state.filter(F.col("reach").isNotNull() & (F.col("len") < longest))
-    late = F.col("reach") >= step - shards
-    n, recent = done.agg(F.count("*"), F.count(F.when(late, 1))).first()
-    if not n:
-        return None, False
+def _tables(state: DataFrame, step: int, shards: int, longest: int) -> Tables:
+    """The bit tables for scan ``step`` (the tables' rows are bounded by their size)."""
+    reached = F.col("reach").isNotNull()
+    marks = {"ever": reached, "late": reached & (F.col("reach") >= step - shards), "open": F.col("since") > step - shards}
+    longer = F.when(marks["late"], F.col("len") + 1)
+    got = state.agg(F.count("*").alias("n"), F.collect_set(longer).alias("late"), F.collect_set(F.when(marks["open"], F.col("len"))).alias("open")).first()
     size = MIN_BITS
-    while size < min(MAX_BITS, BITS * n):
+    while size < min(MAX_BITS, BITS * got["n"]):
         size *= 2
     slot = F.col("h").bitwiseAND(F.lit(size - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = done.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit"), late.alias("late"))
-    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("ever"), F.bit_or(F.when(F.col("late"), F.col("bit"))).alias("late"))
-    got = rows.select("word", "ever", F.coalesce("late", F.lit(0)).alias("late")).toArrow()  # at most size / 64 rows
-    word = got.column("word").to_numpy()
-    tables = Tables(size, np.zeros(size >> 6, np.uint64), np.zeros(size >> 6, np.uint64))
-    for name in ("ever", "late"):
-        getattr(tables, name)[word] = got.column(name).to_numpy().view(np.uint64)
-    return tables, recent > 0
+    rows = state.select(F.shiftright(slot, 6).alias("word"), *[F.when(m, bit).otherwise(0).alias(c) for c, m in marks.items()])
+    rows = rows.groupBy("word").agg(*[F.bit_or(c).alias(c) for c in marks]).toArrow()
+    bits = {c: np.zeros(size >> 6, np.uint64) for c in marks}
+    for c in marks:
+        bits[c][rows["word"].to_numpy()] = rows[c].to_numpy().view(np.uint64)
+    return Tables(size, bits, {k for k in (*got["late"], *got["open"]) if k <= longest})
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
@@ -189,40 +238,40 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
     corpus = C.new_path(spark)  # any deal of the rows will do, also another one when a task runs again
     rows.select("lang", "text", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(corpus)
-    by_shard = [f"c{k}" for k in range(shards)]
-    state, path, totals, step = None, None, None, 0
-    while True:
-        tables, late = _tables(state, step, shards, longest) if state is not None else (None, False)
-        if step >= shards and not late:
-            break
+    texts = spark.read.schema("lang string, text string, shard int").parquet(corpus)
+    by_shard, share = [f"c{k}" for k in range(shards)], -(-least // shards)
+    whole = sum((F.col(c) for c in by_shard[1:]), F.col(by_shard[0]))
+    state, path, step, tables = None, None, 0, None
+    while step < shards or tables.lens:
         now = by_shard[step % shards]
         sent = spark.sparkContext.broadcast(tables) if tables is not None else None
-        scan = spark.read.schema("lang string, text string, shard int").parquet(corpus).filter(F.col("shard") == step % shards).select("lang", "text")
-        found = scan.mapInArrow(counter(sent, step < shards, longest), "lang string, phrase string, len byte, h long, n long")
-        none = F.lit(None).cast("long")
-        found = found.select("lang", "phrase", "len", "h", "n", *[none.alias(c) for c in by_shard], F.lit(None).cast("int").alias("reach"), F.lit(step).alias("last"))
+        scan = texts.filter(F.col("shard") == step % shards).select("lang", "text")
+        found = scan.mapInArrow(counter(sent, step < shards, longest), "h long, g long, len byte, n long, begin boolean")
+        no = lambda kind: F.lit(None).cast(kind)
+        found = found.select("h", "g", "len", "n", "begin", *[no("long").alias(c) for c in by_shard], no("int").alias("since"), no("int").alias("reach"))
         if state is not None:
-            found = found.unionAll(state.select("lang", "phrase", "len", "h", none.alias("n"), *by_shard, "reach", "last"))
-        sums = found.groupBy("lang", "phrase").agg(
-            F.min("len").alias("len"), F.min("h").alias("h"), *[(F.greatest(F.max(c), F.sum("n")) if c == now else F.max(c)).alias(c) for c in by_shard],
-            F.min("reach").alias("reach"), F.max("last").alias("last"))
-        f = sum((F.coalesce(F.col(c), F.lit(0)) for c in by_shard[1:]), F.coalesce(F.col(by_shard[0]), F.lit(0)))
-        reached = F.when(f >= least, F.coalesce("reach", F.lit(step)))
-        merged = sums.withColumn("f", f).withColumn("reach", reached)
-        if step >= shards:  # seen in no scan of a whole cycle: complete, or to be counted anew in full
-            merged = merged.filter((F.col("f") >= least) | (F.col("last") > step - shards))
+            found = found.unionAll(state.select("h", "g", "len", no("long").alias("n"), no("boolean").alias("begin"), *by_shard, "since", "reach"))
+        count = lambda c: F.coalesce(F.greatest(F.max(c), F.sum("n")) if c == now else F.max(c), F.lit(0))
+        sums = found.groupBy("h", "g").agg(F.min("len").alias("len"), F.sum("n").alias("n"), F.max("begin").alias("begin"), *[count(c).alias(c) for c in by_shard], F.min("since").alias("since"), F.min("reach").alias("reach"))
+        sums = sums.filter(F.col("since").isNotNull() | (F.col("begin") & (F.col("n") >= share))).withColumn("since", F.coalesce("since", F.lit(step)))
+        sums = sums.withColumn("reach", F.when(whole >= least, F.coalesce("reach", F.lit(step))))
         new = C.new_path(spark)
-        merged.write.parquet(new)
+        sums.filter(F.col("reach").isNotNull() | (F.col("since") > step + 1 - shards)).drop("n", "begin").write.parquet(new)
         state = spark.read.parquet(new)
-        if step == shards - 1:
-            totals = C.materialise(state.filter("len = 1").groupBy("lang").agg(F.sum("f").alias("n")))
         if sent is not None:
             sent.destroy()
         if path is not None:
             C.drop_path(spark, path)
         path, step = new, step + 1
+        tables = _tables(state, step, shards, longest)
+    sent = spark.sparkContext.broadcast(tables)
+    spelt = C.materialise(texts.select("lang", "text").mapInArrow(speller(sent, longest), "lang string, h long, g long, phrase string, n long").groupBy("lang", "h", "g").agg(
+        F.min("phrase").alias("phrase"), F.max("phrase").alias("other"), F.sum("n").alias("n")))
+    sent.destroy()
     C.drop_path(spark, corpus)
-    return state.filter(F.col("f") >= least).select("lang", "phrase", F.col("len").cast("int").alias("len"), "f"), totals
+    phrase = F.when(F.col("phrase") == F.col("other"), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases with equal numbers")).cast("string"))
+    freq = state.join(spelt.filter("phrase IS NOT NULL"), ["h", "g"]).select("lang", phrase.alias("phrase"), F.col("len").cast("int").alias("len"), whole.alias("f"))
+    return C.materialise(freq), spelt.filter("phrase IS NULL").select("lang", "n")
 
 
 def collocations(freq: DataFrame, totals: DataFrame, top: int = TOP, share: int = SHARE) -> DataFrame:
