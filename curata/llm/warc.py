@@ -43,7 +43,7 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Characters that a target URI keeps; one with others is also given whole, as JSON.
 KEPT = "!#$%&'()*+,-./:;=?@[]_~"
-NONE16, NONE32 = 0xFFFF, 0xFFFFFFFF
+NONE32 = 0xFFFFFFFF
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -88,17 +88,19 @@ def directory(source: Source) -> tuple[int, int, int]:
     if k < 0:
         raise ValueError("no end of a central directory")
     end = source.size - len(tail) + k
-    count, size, start = struct.unpack_from("<HII", tail, k + 10)
-    if NONE16 == count or NONE32 in (size, start):
-        if end >= 20 and (mark := source.read(end - 20, 20)).startswith(b"PK\x06\x07"):
-            at = struct.unpack_from("<Q", mark, 8)[0]
-            big = source.read(at, 56) if at + 56 <= end else b""
-            if not big.startswith(b"PK\x06\x06"):  # bytes before the package: the record ends at its locator
-                at, big = end - 76, source.read(end - 76, 56)
-            if not big.startswith(b"PK\x06\x06"):
-                raise ValueError("no ZIP64 end of the central directory")
-            size, start = struct.unpack_from("<QQ", big, 40)
-            end = at
+    size, start = struct.unpack_from("<II", tail, k + 12)
+    # a ZIP64 end counts wherever its locator stands, whatever the fields of the plain end say
+    if end >= 76 and (mark := source.read(end - 20, 20)).startswith(b"PK\x06\x07"):
+        for at in (struct.unpack_from("<Q", mark, 8)[0], end - 76):  # the second with bytes before the package
+            big = source.read(at, 56) if at + 76 <= end else b""
+            if big.startswith(b"PK\x06\x06"):
+                size, start = struct.unpack_from("<QQ", big, 40)
+                end = at
+                break
+        else:
+            raise ValueError("no ZIP64 end of the central directory")
+    elif NONE32 in (size, start):
+        raise ValueError("no locator of a ZIP64 end")
     if size > end:
         raise ValueError("central directory before the file's start")
     return end - size, size, end - size - start
