@@ -16,6 +16,7 @@ every score is 0; further columns pass through :func:`reject` unchanged.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -256,8 +257,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _train(batches):
+    """All rows (doc_id, toxic, language, buckets) of the sample, in order of doc_id, to one row each: whether the model was fitted on
+    it, its logit's step, and in the first row the model."""
+    got = pa.Table.from_batches(batches)
+    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy() == 1
+    docs = [np.asarray(x, np.int32) for chunk in got["buckets"].chunks for x in (v.values.to_numpy() for v in chunk)]
+    model, fitted = train(docs, toxic, T.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS))
+    steps = np.zeros(len(docs), np.int32) if model.constant is not None else _steps(np.concatenate([model.logits(d, np.array([0, len(d)])) for d in docs]))
+    packed = [pickle.dumps(model)] + [None] * max(0, len(docs) - 1)
+    if not len(docs):
+        ids, toxic, fitted, steps = np.full(1, -1), np.zeros(1, bool), np.zeros(1, bool), np.zeros(1, np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(toxic), pa.array(fitted), got["language"].combine_chunks() if len(docs) else pa.array([0], pa.int32()),
+                                      pa.array(steps), pa.array(packed, pa.binary())], ["doc_id", "toxic", "fitted", "language", "step", "model"])
+
+
 def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
-    """A model from a bounded sample of the labelled rows outside the held-out fifth."""
+    """A model from a bounded sample of the labelled rows outside the held-out fifth, fitted in one task."""
     C.ship(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).dropna()
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -269,28 +285,31 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
     rows = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     tokens = rows.mapInArrow(_tokenise, "doc_id long, toxic int, language int, buckets array<int>")
-    got = tokens.groupBy("doc_id").agg(F.min(F.struct("buckets", "toxic", "language")).alias("x")).select("doc_id", "x.*").toArrow().sort_by("doc_id")
-    ids = got["doc_id"].to_numpy()
-    docs_ = [np.asarray(x, np.int32) for x in (v.values.to_numpy() for v in got["buckets"])]
-    fold = T.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)
-    toxic = got["toxic"].to_numpy() == 1
-    model, fitted = train(docs_, toxic, fold)
+    tokens = tokens.groupBy("doc_id").agg(F.min(F.struct("buckets", "toxic", "language")).alias("x")).select("doc_id", "x.toxic", "x.language", "x.buckets")
+    # at most MAX_TOXIC + MAX_CLEAN rows: the fit needs them together
+    fit_ = tokens.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_train, "doc_id long, toxic boolean, fitted boolean, language int, step int, model binary")
+    fit_ = C.materialise(fit_)
+    model = pickle.loads(fit_.filter("model IS NOT NULL").select("model").first()[0])
     if model.constant is not None:
         return model
-    used = docs.sparkSession.createDataFrame(pa.table({"doc_id": ids[fitted]}))
-    rest = known.join(F.broadcast(used), "doc_id", "left_anti").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    rest = known.join(F.broadcast(fit_.filter("fitted").select("doc_id")), "doc_id", "left_anti").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
     counted = counts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rest, model)
     total = np.array([there.get(False, 0), there.get(True, 0)])
-    part = total - np.bincount(toxic[fitted], minlength=2)
-    if counted["toxic"].any() and not counted["toxic"].all():
-        set_thresholds(model, *counted.values(), clean=(total[0] / part[0]) / (total[1] / part[1]))
-    else:  # too few rows to keep any apart
-        steps = _steps(np.concatenate([model.logits(d, np.array([0, len(d)])) for d in docs_]))
-        part = np.bincount(toxic, minlength=2)
-        set_thresholds(model, got["language"].to_numpy(), steps, toxic, np.ones(len(toxic)), clean=(total[0] / part[0]) / (total[1] / part[1]))
+    apart = counted["toxic"].any() and not counted["toxic"].all()
+    if not apart:  # too few rows to keep any apart
+        counted = _counted(fit_)
+    sample = {bool(r["toxic"]): r["count"] for r in (fit_.filter("fitted") if apart else fit_).groupBy("toxic").count().collect()}
+    part = np.array([sample.get(False, 0), sample.get(True, 0)])
+    part = total - part if apart else part
+    set_thresholds(model, *counted.values(), clean=(total[0] / part[0]) / (total[1] / part[1]))
     return model
 
 
+def _counted(steps: DataFrame) -> dict[str, np.ndarray]:
+    got = steps.groupBy("language", "step", "toxic").agg(F.count("*").alias("n")).toArrow()  # bounded by the steps
+    return {c: got[c].to_numpy() for c in ("language", "step", "toxic", "n")}
+
+
 def counts(docs: DataFrame, rest: DataFrame, model: Model) -> dict[str, np.ndarray]:
     """Numbers of the documents of ``rest`` (doc_id, toxic) by language, logit step and label, counted in Spark.
 
@@ -306,9 +325,7 @@ def counts(docs: DataFrame, rest: DataFrame, model: Model) -> dict[str, np.ndarr
     if rest.count() <= C.BROADCAST_ROWS:
         rest = F.broadcast(rest)
         docs = docs.join(rest, "doc_id", "left_semi")
-    steps = docs.mapInArrow(run, "doc_id long, language int, step int").join(rest, "doc_id")
-    got = steps.groupBy("language", "step", "toxic").agg(F.count("*").alias("n")).toArrow()  # bounded by the steps
-    return {c: got[c].to_numpy() for c in ("language", "step", "toxic", "n")}
+    return _counted(docs.mapInArrow(run, "doc_id long, language int, step int").join(rest, "doc_id"))
 
 
 def score(text: Column, model: Model, spark) -> Column:
