@@ -19,10 +19,10 @@ from . import common as C
 
 N = 10
 GRAM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The gram set is broadcast up to this many grams and bytes of text; a larger one is joined by a shuffle,
+#: The gram set is broadcast up to this many grams and bytes of text and item ids; a larger one is joined by a shuffle,
 #: which then gets all windows.
 MAX_GRAMS, MAX_BYTES = 1_000_000, 200_000_000
-#: Hash slots (one byte each) for each gram, and at most.
+#: Hash slots (one bit each) for each gram, and at most.
 SLOTS, MAX_SLOTS = 64, 1 << 24
 
 
@@ -46,22 +46,33 @@ def _windows(w: Column, n) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
 
 
-def _slots(grams: DataFrame, n: int) -> tuple[bytes, int]:
-    """A byte for each slot, 1 where some gram's hash falls, and their number; the set's size is bounded by ``MAX_GRAMS``."""
+def _slots(grams: DataFrame, n: int) -> tuple[str, int]:
+    """A bit for each slot, set where some gram's hash falls, as comma-separated 64-bit words, and the number of slots.
+
+    The set's size is bounded by ``MAX_GRAMS`` and the table's by ``MAX_SLOTS``."""
     size = 1 << 12
     while size < min(MAX_SLOTS, SLOTS * n):
         size *= 2
-    table = bytearray(size)
-    for r in grams.select(F.pmod(F.xxhash64(F.split("gram", " ")), F.lit(size)).cast("int").alias("s")).distinct().toLocalIterator():
-        table[r["s"]] = 1
-    return bytes(table), size
+    slot = F.pmod(F.xxhash64(_hashes(F.split("gram", " "))), F.lit(size)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)))
+    rows = grams.select(F.shiftright(slot, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    table = ["0"] * (size >> 6)
+    for r in rows.toLocalIterator():  # at most size / 64
+        table[r["at"]] = str(r["bits"])
+    return ",".join(table), size
+
+
+def _hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def _windows_that_hit(w: Column, n: int, table: bytes, size: int) -> Column:
-    """The windows of ``n`` words whose hash slot is taken, as structs (pos, len, gram)."""
+def _windows_that_hit(w: Column, hashes: Column, n: int, table: str, size: int) -> Column:
+    """The windows of ``n`` words whose hash slot is taken, as structs (pos, len, gram); ``hashes`` has one of each word."""
     at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    taken = F.filter(at, lambda i: F.substring(F.lit(table), F.pmod(F.xxhash64(F.slice(w, i, n)), F.lit(size)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
-    return F.transform(taken, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
+    bits = F.split(F.lit(table), ",").cast("array<bigint>")  # folded to a constant when the plan is made
+    slots = F.transform(at, lambda i: F.pmod(F.xxhash64(F.slice(hashes, i, n)), F.lit(size)).cast("int"))
+    taken = F.transform(slots, lambda s, i: F.when(F.getbit(F.element_at(bits, F.shiftright(s, 6) + 1), s.bitwiseAND(F.lit(63))) == 1, i + 1))
+    return F.transform(F.filter(taken, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
 
 
 def scan(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,12 +81,14 @@ def scan(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str =
     ``grams`` must be materialised: its size decides between a broadcast set and a shuffle join, and
     its different lengths (at most n) are read to know which windows to cut. Row numbers tell equal rows apart.
     """
-    got = grams.agg(F.count("*").alias("n"), F.sum(F.octet_length("gram")).alias("b"), F.collect_set("len").alias("lens")).first()
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 8)
+    got = grams.agg(F.count("*").alias("n"), F.sum(F.octet_length("gram") + ids).alias("b"), F.collect_set("len").alias("lens")).first()
     small = got["n"] <= MAX_GRAMS and (got["b"] or 0) <= MAX_BYTES
-    table, size = _slots(grams, got["n"]) if small else (b"", 0)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), words(F.col(text)).alias("w"))
+    table, size = _slots(grams, got["n"]) if small else ("", 0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), C.row_key(F.col(doc_id), F.col(text)).alias("key"), F.explode(F.array(words(F.col(text)))).alias("w"))
+    rows = rows.select("*", F.explode(F.array(_hashes(F.col("w")))).alias("hashes"))  # explode of one: made once, not in every window
     none = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
-    cut = [_cut(F.col("w"), n, table, size) for n in sorted(got["lens"])]
+    cut = [_cut(F.col("w"), F.col("hashes"), n, table, size) for n in sorted(got["lens"])]
     found = rows.select("row", "doc_id", "key", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(none, *cut)).alias("x"))
     # documents without a window have a key of their own, so that they don't meet in one task of a shuffle join
     found = found.select("row", "doc_id", "key", "n_words", "x.pos", "x.len", F.coalesce("x.gram", F.concat(F.lit(" "), F.col("row").cast("string"))).alias("gram"))
@@ -86,9 +99,9 @@ def scan(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str =
     return per_doc.select("doc_id", "key", "n_words", _covered(F.array_sort("at")).alias("n_hit"), "items")
 
 
-def _cut(w: Column, n: int, table: bytes, size: int) -> Column:
+def _cut(w: Column, hashes: Column, n: int, table: str, size: int) -> Column:
     if table:
-        return _windows_that_hit(w, n, table, size)
+        return _windows_that_hit(w, hashes, n, table, size)
     return F.transform(_windows(w, n), lambda x: F.struct(x["pos"].alias("pos"), F.lit(n).alias("len"), x["gram"].alias("gram")))
 
 
