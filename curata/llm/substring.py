@@ -46,11 +46,20 @@ def _anchors(window: int):
     return find, size
 
 
+def _words(data: np.ndarray, off: np.ndarray):
+    """The first numbers of all words, the n + 1 offsets of each document's words, and a call for the second numbers.
+
+    Both numbers are drawn by byte and place, independently of each other."""
+    starts, ends, word_off = T.spans(data, off)
+    letters = T.letters(data, starts, ends)
+    return T.drawn(*letters, 0), word_off, lambda: T.drawn(*letters, 1)
+
+
 def _emit(window: int):
     find, _ = _anchors(window)
 
     def run(data, off):
-        _, _, ids, word_off = T.words(data, off)
+        ids, word_off, _ = _words(data, off)
         h, _, doc = find(word_off, T.prefix(ids))
         return h, doc
 
@@ -90,9 +99,11 @@ def _windows(window: int):
             data, off = T.texts(batch.column(1))
             rid = A.numbers(batch.column(2))
             for i, j in T.pieces(off):
-                _, _, ids, word_off = T.words(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                ids, word_off, second = _words(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 starts, doc, pre = _candidates(ids, word_off, batch.column(3), i, window)
-                parts.append((T.windows(pre, starts, window), T.windows(T.prefix(T.mix(ids), 1), starts, window, 1), rid[i + doc]))
+                if not len(starts):
+                    continue
+                parts.append((T.windows(pre, starts, window), T.windows(T.prefix(second(), 1), starts, window, 1), rid[i + doc]))
                 held += len(starts)
                 if held >= A.BUFFER:
                     yield flush(parts)
@@ -112,7 +123,7 @@ def _remove(window: int):
             raw = data.tobytes()
             kept, words, removed = [], [], []
             for i, j in T.pieces(off):
-                _, _, ids, word_off = T.words(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                ids, word_off, _ = _words(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 starts, doc, pre = _candidates(ids, word_off, batch.column(3), i, window)
                 starts = starts[~A.member(T.windows(pre, starts, window), doc, batch.column(4), i)]
                 out = A.covered(starts, window, len(ids))

@@ -101,7 +101,7 @@ def spans(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE) -> t
 def letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all words one after another, each byte's place in its word, and each word's first byte there."""
     size = ends - starts
-    total = np.cumsum(np.r_[0, size])
+    total = np.r_[0, np.cumsum(size)].astype(np.int64)
     at = np.arange(total[-1]) - np.repeat(total[:-1], size)
     return data[np.repeat(starts, size) + at], at, total[:-1]
 
@@ -131,9 +131,11 @@ def drawn(byte: np.ndarray, at: np.ndarray, first: np.ndarray, lane: int) -> np.
 
     Unlike a polynomial modulo 2**64, which strings built for it (Thue-Morse) defeat whatever the base, such
     sums have no structure that a text could follow; numbers of two lanes are independent."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
     cell = at * 256 + byte
-    if len(at) and at.max() >= 256:
+    if at.max() >= 256:
         return mix(np.add.reduceat(_drawn(cell, lane), first))
     if lane not in _DRAWN:
         _DRAWN[lane] = _drawn(np.arange(1 << 16), lane)
-    return mix(np.add.reduceat(_DRAWN[lane][cell], first)) if len(first) else np.zeros(0, np.uint64)
+    return mix(np.add.reduceat(_DRAWN[lane][cell], first))
