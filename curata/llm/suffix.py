@@ -8,7 +8,8 @@ with sampled splitters, and each bucket sorts its suffixes (and, reversed, the t
 multikey quicksort, eight bytes a step. Two windows are equal exactly when the suffixes share the
 bytes on the right and the reversed texts share those on the left, which the common prefixes of
 neighbours tell. A leading string that fills several splitters is dealt over several buckets, and
-windows that are single in such a bucket are compared across the boundaries by 128-bit hashes.
+windows that are single in such a bucket are compared across the boundaries by 128-bit hashes. Of suffixes
+whose windows are all equal inside one piece of texts (128-bit hashes) two are sent: the others are repeated, too.
 
 Defined results: null counts as empty; matches never cross documents; texts shorter than a window keep
 everything; equal rows repeat each other; an empty table gives an empty result; the kept bytes may
@@ -28,10 +29,13 @@ from . import textnum as T
 
 WINDOW, SPAN = 200, 101
 LEAD = WINDOW - SPAN + 1
-#: Leading bytes compared with the splitters; documents in the splitters' sample (their choice only evens out the tasks).
-HEAD, SAMPLE = 24, 2000
+#: Leading bytes compared with the splitters; about so many bytes of text are read for them, and so many heads kept (they only
+#: even out the tasks).
+HEAD, SAMPLE, HEADS = 24, 1 << 26, 40_000
 #: Range buckets for each shuffle partition; suffixes of one leading string that are sorted together at most.
-BUCKETS, GROUP = 8, 30_000
+BUCKETS, GROUP = 8, 10_000
+#: Bytes of suffixes that leave a task at a time.
+SENT = 1 << 21
 FAILS, SINGLE, SPEAKER = 0, 1, 2
 _BYTE = T.mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -76,28 +80,58 @@ def _heads(data: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(data[p[:, None] + np.arange(HEAD)]).view(f"S{HEAD}").reshape(-1)
 
 
-def _sample_heads(batches):
-    for b in batches:
-        data, off = T.texts(b.column(1))
-        for i, j in T.pieces(off):
-            piece = data[off[i]:off[j]]
-            p = samples(piece, off[i:j + 1] - off[i])[0]
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in piece[p[:, None] + np.arange(HEAD)]], pa.binary())], ["head"])
+def _twice(data: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which samples to send: of those whose windows all are equal (128-bit hashes), two tell the rest of the corpus as much as all."""
+    if not len(p):
+        return np.zeros(0, bool)
+    a, b = (T.prefix(_BYTE[data], lane) for lane in (0, 1))
+    size = hi + WINDOW - lo
+    # lengths and places are part of the hash: contexts of other shapes are others
+    shape = T.mix(((p - lo) * 1024 + size).astype(np.uint64))
+    a, b = T.windows(a, lo, size) ^ shape, T.windows(b, lo, size, 1) ^ shape
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])]
+    first = np.flatnonzero(new)
+    turn = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)]))
+    out = np.zeros(len(p), bool)
+    out[order[turn < 2]] = True
+    return out
+
+
+def _sample_heads(share: float):
+    """(.., text, rid) to a ``share`` of the heads of what the texts would send, chosen by hash."""
+
+    def run(batches):
+        for b in batches:
+            data, off = T.texts(b.column(1))
+            rid = A.numbers(b.column(2))
+            for i, j in T.pieces(off):
+                piece = data[off[i]:off[j]]
+                p, lo, hi, doc = samples(piece, off[i:j + 1] - off[i])
+                chosen = T.mix(T.mix(p.view(np.uint64)) ^ rid[i + doc].view(np.uint64)) <= np.uint64(min(int(share * 2**64), 2**64 - 1))
+                p = p[_twice(piece, p, lo, hi) & chosen]
+                for a in range(0, len(p), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(_heads(piece, p[a:a + 1024]).tolist(), pa.binary())], ["head"])
+
+    return run
 
 
-def splitters(rows: DataFrame, buckets: int) -> np.ndarray:
-    """``buckets - 1`` leading strings at even distances in the sorted heads of about ``SAMPLE`` documents, chosen by hash."""
-    some = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
-    heads = some.mapInArrow(_sample_heads, "head binary").toArrow()["head"].to_pylist()
+def splitters(rows: DataFrame, buckets: int) -> tuple[np.ndarray, float]:
+    """``buckets - 1`` leading strings at even distances in sorted heads, and the estimated number of suffixes.
+
+    The heads are about ``HEADS`` at most, from documents chosen by hash with about ``SAMPLE`` bytes in all."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    every = max(1, size // SAMPLE)
+    share = min(1.0, HEADS * (SPAN + 1) / 2 * every / max(1, size))
+    heads = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).mapInArrow(_sample_heads(share), "head binary").toArrow()["head"].to_pylist()
     heads = np.sort(np.array(heads, f"S{HEAD}")) if heads else np.zeros(0, f"S{HEAD}")
-    return heads[(np.arange(1, buckets) * len(heads)) // buckets] if len(heads) else heads
+    return (heads[(np.arange(1, buckets) * len(heads)) // buckets] if len(heads) else heads), len(heads) / share * every
 
 
 class Ranges:
     """Bucket numbers by leading string. One that fills several splitters, ``GROUP`` suffixes or more each, has buckets of its own."""
 
-    def __init__(self, cuts: np.ndarray, suffixes: int):
+    def __init__(self, cuts: np.ndarray, suffixes: float):
         self.cuts, often = np.unique(cuts, return_counts=True)
         share = suffixes / (len(cuts) + 1)
         ways = np.where(often > 1, often * share // GROUP, 0).astype(np.int64)
@@ -118,6 +152,15 @@ class Ranges:
 def _suffixes(ranges: Ranges):
     """(doc_id, text, rid, keys) to the repeated sampled suffixes with the text of their windows."""
 
+    def send(piece, own, start, p, lo, hi, h):
+        bucket, split = ranges.of(_heads(piece, p), T.mix(own.view(np.uint64) ^ h))
+        size = hi + WINDOW - lo
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
+        text = pa.BinaryArray.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(piece[at])])
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(split), pa.array(own), pa.array(lo - start), pa.array((p - lo).astype(np.int32)),
+                                           pa.array((hi - lo + 1).astype(np.int32)), text], ["bucket", "split", "rid", "pos", "left", "wins", "text"])
+
     def run(batches):
         for b in batches:
             data, off = T.texts(b.column(1))
@@ -127,18 +170,12 @@ def _suffixes(ranges: Ranges):
                 p, lo, hi, doc = samples(piece, off[i:j + 1] - off[i])
                 h = _lead(piece, p)
                 ok = A.member(h, doc, b.column(3), i)
-                if not ok.any():
-                    continue
-                p, lo, hi, doc, h = p[ok], lo[ok], hi[ok], doc[ok], h[ok]
-                own = rid[i + doc]
-                bucket, split = ranges.of(_heads(piece, p), T.mix(own.view(np.uint64) ^ h))
-                size = hi + WINDOW - lo
-                ends = np.cumsum(size)
-                at = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
-                text = pa.BinaryArray.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(piece[at])])
-                start = off[i:j + 1][doc] - off[i]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(split), pa.array(own), pa.array(lo - start), pa.array((p - lo).astype(np.int32)),
-                                                  pa.array((hi - lo + 1).astype(np.int32)), text], ["bucket", "split", "rid", "pos", "left", "wins", "text"])
+                ok[ok] = _twice(piece, p[ok], lo[ok], hi[ok])
+                size = np.where(ok, hi + WINDOW - lo, 0)
+                for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(np.cumsum(size) // SENT)) + 1):
+                    part = part[ok[part]]
+                    if len(part):
+                        yield send(piece, rid[i + doc[part]], off[i + doc[part]] - off[i], p[part], lo[part], hi[part], h[part])
 
     return run
 
@@ -322,11 +359,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = A.keyed(docs, doc_id, text)
     keys = A.repeated(rows, _find)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
-    ranges = Ranges(splitters(rows, parts * BUCKETS), suffixes)
+    ranges = Ranges(*splitters(rows, parts * BUCKETS))
     held = rows.join(keys, "rid").select("doc_id", "text", "rid", "keys")
     found = held.mapInArrow(_suffixes(ranges), "bucket int, split boolean, rid long, pos long, left int, wins int, text binary")
-    ranged = found.repartitionById(parts, F.floor(F.col("bucket") * F.lit(parts) / F.lit(ranges.count)).cast("int"))
+    # neighbouring ranges share a task; the buckets of one string go round the tasks
+    task = F.when(F.col("split"), F.col("bucket") % parts).otherwise(F.floor(F.col("bucket") * F.lit(parts) / F.lit(ranges.count)))
+    ranged = found.repartitionById(parts, task.cast("int"))
     single = ranged.sortWithinPartitions("bucket").mapInArrow(_sorted_buckets, "ha long, hb long, rid long, pos long, n long, kind byte")
     alone = single.groupBy("ha", "hb").agg(F.count("*").alias("c"), F.max("kind").alias("kind"), F.min(F.struct("rid", "pos", "n")).alias("w"))
     alone = alone.filter((F.col("c") == 1) & (F.col("kind") < SPEAKER))
