@@ -32,61 +32,65 @@ START, END, MASKED = "<|im_start|>", "<|im_end|>", "assistant"
 #: Characters of one JSON string at most; longer texts come in parts (JSON readers limit a string's length).
 PART = 1_000_000
 #: Declarative mappings. ``turns`` lists (role, path) in order; ``each`` names a list path with its role and
-#: text fields, and the text field of its parts where texts come in parts.
+#: text fields, and the text field of its parts where texts come in parts (``mixed``: in some items only); ``roles``
+#: gives roles their usual names.
 LAYOUTS = [
     {"fields": ["messages[].content", "messages[].role"], "each": ("$.messages", "role", "content")},
     {"fields": ["messages[].content[].text", "messages[].role"], "each": ("$.messages", "role", "content", "text")},
-    {"fields": ["conversations[].from", "conversations[].value"], "each": ("$.conversations", "from", "value")},
+    {"fields": ["messages[].content", "messages[].content[].text", "messages[].role"], "each": ("$.messages", "role", "content", "text"), "mixed": True},
+    {"fields": ["conversations[].from", "conversations[].value"], "each": ("$.conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
     {"fields": ["prompt", "response"], "turns": [("user", "$.prompt"), ("assistant", "$.response")]},
     {"fields": ["prompt", "response", "system"], "turns": [("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")]},
     {"fields": ["instruction", "output"], "turns": [("user", "$.instruction"), ("assistant", "$.output")]},
     {"fields": ["input", "instruction", "output"], "turns": [("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")]},
 ]
-#: Roles under other names.
-ROLES = {"human": "user", "gpt": "assistant"}
 
 
 def schema_hash(fields: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(fields)).encode()).hexdigest()[:16]
 
 
-def _at(record: Column, *path) -> Column:
-    return F.call_function("get_json_object", record, F.concat(F.lit("$"), *path))
+def _field(record: Column, name: Column) -> Column:
+    return F.call_function("get_json_object", record, F.concat(F.lit("$['"), name, F.lit("']")))
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the sorted nested field paths of a JSON record, lists as ``name[]``; a list's first element stands for all."""
-    name = lambda k: F.concat(F.lit("['"), k, F.lit("']"))
-    first = F.lit("[0]")
+def _paths(value: Column, path: Column, depth: int) -> Column:
+    """Paths of all fields under a JSON value, which a lambda must have bound; lists as ``path[]``, over all their elements."""
+    if not depth:
+        return F.array(path)
+
+    def fields(item: Column, at: Column) -> Column:
+        inner = lambda k: F.flatten(F.transform(F.array(_field(item, k)), lambda v: _paths(v, F.concat(at, F.lit("."), k), depth - 1)))
+        return F.coalesce(F.flatten(F.transform(F.json_object_keys(item), inner)), F.array(at))
 
-    def inner(k: Column) -> Column:
-        def innermost(n: Column) -> Column:
-            own = F.json_object_keys(_at(record, name(k), first, name(n), first))
-            below = F.transform(own, lambda m: F.concat(k, F.lit("[]."), n, F.lit("[]."), m))
-            return F.coalesce(below, F.array(F.concat(k, F.lit("[]."), n)))
+    items = F.from_json(F.when(F.json_array_length(value).isNotNull(), value), "array<string>")
+    listed = F.array_distinct(F.flatten(F.transform(items, lambda x: fields(x, F.concat(path, F.lit("[]"))))))
+    return F.coalesce(F.when(F.size(items) > 0, listed), F.when(items.isNotNull(), F.array(F.concat(path, F.lit("[]")))), fields(value, path))
 
-        fields = F.json_object_keys(_at(record, name(k), first))
-        return F.coalesce(F.flatten(F.transform(fields, innermost)), F.array(k))
 
+def fingerprint(record: Column) -> Column:
+    """Hash of the sorted nested field paths of a JSON record, lists as ``name[]`` with the fields of all their elements."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    paths = F.array_sort(F.flatten(F.transform(top, inner)))
+    each = F.transform(top, lambda k: F.flatten(F.transform(F.array(_field(record, k)), lambda v: _paths(v, k, 2))))
+    paths = F.array_sort(F.array_distinct(F.flatten(each)))
     return F.substring(F.sha2(F.array_join(paths, "\n").cast("binary"), 256), 1, 16)
 
 
-def _role(given: Column) -> Column:
-    for other, role in ROLES.items():
-        given = F.when(given == other, role).otherwise(given)
-    return given
-
+def _listed(record: Column, path: str, role: str, text: str, *part: str, mixed: bool = False, roles: dict | None = None) -> Column:
+    own = lambda kind: F.from_json(F.get_json_object(record, path), f"array<struct<`{role}`:string,`{text}`:{kind}>>")
+    joined = lambda m: F.array_join(F.transform(m[text], lambda p: F.coalesce(p[part[0]], F.lit(""))), "")
 
-def _joined(text: Column, part: tuple[str, ...]) -> Column:
-    return F.array_join(F.transform(text, lambda p: F.coalesce(p[part[0]], F.lit(""))), "") if part else text
+    def named(r: Column) -> Column:
+        for other, usual in (roles or {}).items():
+            r = F.when(r == other, usual).otherwise(r)
+        return r
 
-
-def _listed(record: Column, path: str, role: str, text: str, *part: str) -> Column:
-    kind = f"array<struct<{part[0]}:string>>" if part else "string"
-    items = F.from_json(F.get_json_object(record, path), f"array<struct<`{role}`:string,`{text}`:{kind}>>")
-    return F.transform(items, lambda m: F.struct(_role(m[role]).alias("role"), _joined(m[text], part).alias("text")))
+    if not part:
+        return F.transform(own("string"), lambda m: F.struct(named(m[role]).alias("role"), m[text].alias("text")))
+    parts = F.transform(own(f"array<struct<`{part[0]}`:string>>"), lambda m: F.struct(named(m[role]).alias("role"), joined(m).alias("text")))
+    if not mixed:  # a text that is not in parts reads as null there
+        return parts
+    return F.zip_with(parts, own("string"), lambda p, m: F.struct(p["role"].alias("role"), F.coalesce(p["text"], m[text]).alias("text")))
 
 
 def canonical(records: DataFrame, record_id: str = "record_id", record: str = "record") -> DataFrame:
@@ -96,7 +100,7 @@ def canonical(records: DataFrame, record_id: str = "record_id", record: str = "r
     turns = F.array().cast("array<struct<role:string,text:string>>")
     for layout in LAYOUTS:
         if "each" in layout:
-            made = _listed(F.col("record_"), *layout["each"])
+            made = _listed(F.col("record_"), *layout["each"], mixed=layout.get("mixed", False), roles=layout.get("roles"))
         else:
             made = F.array(*[F.struct(F.lit(r).alias("role"), F.get_json_object("record_", p).alias("text")) for r, p in layout["turns"]])
         turns = F.when(F.col("schema_") == schema_hash(layout["fields"]), made).otherwise(turns)
@@ -191,16 +195,19 @@ def digest(segments: DataFrame) -> DataFrame:
 
 
 def to_records(turns: DataFrame) -> DataFrame:
-    """One message record per row of ``conversations`` (conv_id, turn, role, text), as JSON.
-
-    A record holds one turn, so a conversation of any length stays spread; its order travels as columns.
-    """
-    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit(""))
-    whole = F.struct(F.array(F.struct(role, text.alias("content"))).alias("messages"))
-    count = F.ceil(F.length(text) / PART).cast("int")
+    """One record for each row of ``conversations`` (conv_id, turn, role, text), as JSON, in one of the layouts that hold one turn.
+
+    A record holds one turn, so a conversation of any length stays spread; its order travels as columns. The layout goes by
+    a hash of the row's place; the one that renames roles is for roles which it leaves alone."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    whole = F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))
+    other = F.struct(F.array(F.struct(role.alias("from"), text.alias("value"))).alias("conversations"))
+    count = F.greatest(F.ceil(F.length(text) / PART), F.lit(1)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(F.substring(text, k * PART + 1, F.lit(PART)).alias("text")))
-    cut = F.struct(F.array(F.struct(role, parts.alias("content"))).alias("messages"))
-    return turns.withColumn("record", F.when(F.length(text) > PART, F.to_json(cut)).otherwise(F.to_json(whole)))
+    cut = F.struct(F.array(F.struct(role.alias("role"), parts.alias("content"))).alias("messages"))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    renamed = role.isin([r for x in LAYOUTS for r in x.get("roles", ())])
+    return turns.withColumn("record", F.when((F.length(text) > PART) | (kind == 1), F.to_json(cut)).when((kind == 2) & ~renamed, F.to_json(other)).otherwise(F.to_json(whole)))
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:

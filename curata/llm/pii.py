@@ -15,8 +15,10 @@ equal rows get equal results; an empty table gives an empty result; further colu
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import os
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from datetime import date
 from functools import lru_cache
 
@@ -26,11 +28,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Used when no key is given; a production run passes its own secret.
-DEFAULT_KEY = b"curata pseudonyms"
+#: Setting that holds the key of :func:`op3_pii`. Without it each application draws a key of its own, which nobody can
+#: read from this source; pseudonyms are then linked within the application only.
+KEY_SETTING = "spark.curata.pii.key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+# Month names, in order.
+MONTHS = "January February March April May June July August September October November December".split()
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
+_DRAWN_KEY = os.urandom(32)
 # Two-digit calling codes (+1 and +7 have one digit, all others three), and prefixes and lengths of card issuers.
 _TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _ISSUERS = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:2[2-9]|[3-6]\d|7[01])\d{13}|2720\d{12}|3[47]\d{13}"
@@ -87,44 +93,74 @@ def card(text: str, key: bytes) -> str | None:
 
 
 def ip(text: str, key: bytes) -> str | None:
+    if ":" in text:
+        if not re.search("[0-9]", text) or (text.count(":") < 3 and not text.startswith("::")):
+            return None  # rather a name with a scope
+        try:
+            value = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        return str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ip6")))
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
     return ".".join(map(str, _mixed([int(p) for p in parts], [256] * 4, key, "ip")))
 
 
+@lru_cache(None)
+def _days(late: bool) -> list[int]:
+    """All days from ``FIRST_DAY`` to ``LAST_DAY`` that are (not) after the 12th of their month."""
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if (date.fromordinal(n).day > 12) == late]
+
+
+def _other_day(y: int, mo: int, d: int, key: bytes) -> date | None:
+    """A date's pseudonym. Days up to the 12th and later ones are permuted apart, so that a day and month which could be
+    read in one order only are read in that order again, and one date is linked in all forms."""
+    try:
+        n = date(y, mo, d).toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= n <= LAST_DAY:
+        return None
+    days = _days(d > 12)
+    return date.fromordinal(days[permute(bisect_left(days, n), len(days), key, f"date{d > 12}")])
+
+
 def day(text: str, key: bytes) -> str | None:
-    """ISO, or day and month before the year; two readings of one date are told apart by the first that is valid."""
+    """ISO, or day and month before the year: the day first where that is a date, else the month; or with the month's name."""
     m = re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text)
     if m:
-        order = [(int(m[1]), int(m[2]), int(m[3]), "ymd")]
-    else:
-        a, b, y = map(int, re.split(r"[./-]", text))
-        order = [(y, b, a, "dmy"), (y, a, b, "mdy")]
-    for y, mo, d, kind in order:
-        try:
-            n = date(y, mo, d).toordinal()
-        except ValueError:
-            continue
-        if not FIRST_DAY <= n <= LAST_DAY:
-            continue
-        got = date.fromordinal(FIRST_DAY + permute(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-        if kind == "ymd":
-            return got.isoformat()
-        sep = re.search(r"[./-]", text)[0]
-        pad = 2 if re.match(r"0\d|\d\d[./-]\d\d", text) else 1
-        first, second = (got.day, got.month) if kind == "dmy" else (got.month, got.day)
-        return f"{first:0{pad}d}{sep}{second:0{pad}d}{sep}{got.year}"
-    return None
+        got = _other_day(int(m[1]), int(m[2]), int(m[3]), key)
+        return got and got.isoformat()
+    m = re.search("[A-Za-z]+", text)
+    if m:
+        month = next((k for k, name in enumerate(MONTHS, 1) if m[0] in (name, name[:3])), 0)
+        numbers = re.findall("[0-9]+", text)
+        got = _other_day(int(numbers[1]), month, int(numbers[0]), key) if month else None
+        if got is None:
+            return None
+        name = MONTHS[got.month - 1]
+        form = re.sub("[0-9]+", "{}", text.replace(m[0], name[:3] if len(m[0]) == 3 and m[0] != "May" else name))
+        return form.format(f"{got.day:02d}" if numbers[0][0] == "0" else got.day, got.year)
+    a, b, y = map(int, re.split(r"[./-]", text))
+    got, first = _other_day(y, b, a, key), "day"
+    if got is None:
+        got, first = _other_day(y, a, b, key), "month"
+    if got is None:
+        return None
+    sep = re.search(r"[./-]", text)[0]
+    pad = 2 if re.match(r"0\d|\d\d[./-]\d\d", text) else 1
+    x, z = (got.day, got.month) if first == "day" else (got.month, got.day)
+    return f"{x:0{pad}d}{sep}{z:0{pad}d}{sep}{got.year}"
 
 
 def ssn(text: str, key: bytes) -> str | None:
-    area, group, serial = map(int, text.split("-"))
+    area, group, serial = map(int, re.split("[ -]", text))
     if not (1 <= area <= 899 and area != 666 and group and serial):
         return None
     a, g, s = _mixed([area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999], key, "ssn")
     a += 1
-    return f"{a + (a >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
+    return _refill(text, f"{a + (a >= 666):03d}{g + 1:02d}{s + 1:04d}")
 
 
 def calling_code(digits: str) -> str:
@@ -134,7 +170,7 @@ def calling_code(digits: str) -> str:
 def phone(text: str, key: bytes) -> str | None:
     """Digits alone decide, so a number has one pseudonym in any spacing, with or without +1."""
     d = re.sub(r"\D", "", text)
-    code = calling_code(d) if text[0] == "+" else "1" if len(d) == 11 and re.match(r"1[ .(-]", text) else ""
+    code = calling_code(d) if text[0] == "+" else "1" if len(d) == 11 and re.match(r"1[ .(-]", text) else "0" if text[0] == "0" else ""
     own = d[len(code):]
     if not 8 <= len(d) <= 15:
         return None
@@ -165,11 +201,11 @@ def iban(text: str, key: bytes) -> str | None:
 def email(text: str, key: bytes) -> str | None:
     name, _, domain = text.rpartition("@")
     low = name.lower()
-    bases = [10 if c.isdigit() else 26 for c in low if c.isalnum()]
-    got = iter(_mixed([int(c) if c.isdigit() else ord(c) - 97 for c in low if c.isalnum()], bases, key, "email" + domain.lower()))
+    free = [c for c in low if c.isascii() and c.isalnum()]  # letters beyond ASCII stay
+    got = iter(_mixed([int(c) if c.isdigit() else ord(c) - 97 for c in free], [10 if c.isdigit() else 26 for c in free], key, "email" + domain.lower()))
     out = []
-    for c in name:
-        if not c.isalnum():
+    for c, small in zip(name, low if len(low) == len(name) else name):
+        if not (small.isascii() and small.isalnum()):
             out.append(c)
         else:
             v = next(got)
@@ -177,18 +213,21 @@ def email(text: str, key: bytes) -> str | None:
     return "".join(out) + "@" + domain
 
 
-_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+_EMAIL = re.compile(r"(?<![\w.%+-])[^\W_][\w.%+-]{0,63}@(?:(?:[^\W_]|-){1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)|(?<=:):){2,7}(?:[0-9A-Fa-f]{1,4})?(?![\w:]|\.[0-9])")
+_NAMED = re.compile(r"(?<![\w./-])[0-9]{1,2}\.? (?:%s),? [0-9]{4}(?![\w/-])|(?<![\w])(?:%s) [0-9]{1,2},? [0-9]{4}(?![\w/-])" % (("|".join(MONTHS + [m[:3] for m in MONTHS]),) * 2))
 _IBAN = re.compile(r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _RUN = re.compile(r"[0-9+(][0-9 ()./+-]{5,}")
 _NUMBERS = (
     ("ip", re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), ip),
     ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])"), day),
-    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"), ssn),
+    ("ssn", re.compile(r"(?<![0-9-])(?<![0-9] )[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![0-9]|[- ][0-9])"), ssn),
 )
 _PHONE = re.compile(r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{1,8}(?:[ .-][0-9]{1,8}){0,6}(?![0-9])"
                     r"|(?<![0-9+])\+[0-9]{1,15}(?:[ .-][0-9]{1,14}){0,7}(?![0-9])"
                     r"|(?<![0-9+])(?:1[ .-]?)?\([0-9]{1,4}\)[ .-]?[0-9]{2,8}(?:[ .-][0-9]{2,4}){0,3}(?![0-9])"
-                    r"|(?<![0-9+-])(?:1[ .-])?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9]|-[0-9])")
+                    r"|(?<![0-9+-])(?:1[ .-])?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9]|-[0-9])"
+                    r"|(?<![0-9+-])(?<![0-9] )0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9]|[ -][0-9])")
 _NORTH_AMERICAN = re.compile(r"\+1|1[ .(-]|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
 _GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _TIME = re.compile(r"T[0-9]{2}")
@@ -251,6 +290,11 @@ def find(text: str, key: bytes, cached=None) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in _EMAIL.finditer(text):
             take(*m.span(), "email", email)
+    if "::" in text or text.count(":") > 6:
+        for m in _IP6.finditer(text):
+            take(*m.span(), "ip", ip)
+    for m in _NAMED.finditer(text):
+        take(*m.span(), "date", day)
     m = _IBAN.search(text)
     while m:
         on = m.start() + 1
@@ -291,7 +335,7 @@ def replace(text: str | None, key: bytes, cached=None) -> tuple[str | None, list
     return "".join(out) + text[at:] if out else text, spans
 
 
-def column(text: Column, spark, key: bytes = DEFAULT_KEY) -> Column:
+def column(text: Column, spark, key: bytes) -> Column:
     """Struct (text, spans) for each text."""
     C.ship(spark)
 
@@ -303,7 +347,7 @@ def column(text: Column, spark, key: bytes = DEFAULT_KEY) -> Column:
     return F.arrow_udf(run, "text string, spans array<string>")(text)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> tuple[DataFrame, str]:
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with pseudonyms in ``text``, and the name of the added column of spans."""
     both, spans = C.fresh(docs, "pii", "pii_spans")
     # texts without a digit or an @ hold no value and skip Python
@@ -313,6 +357,12 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text")
     return marked.select(*out, F.coalesce(F.col(both)["spans"], F.array().cast("array<string>")).alias(spans)), spans
 
 
+def key_of(spark) -> bytes:
+    """The key that the session's setting holds, else the one that this application has drawn."""
+    given = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING, None)
+    return given.encode() if given else _DRAWN_KEY
+
+
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    out, spans = pseudonymise(C.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, spans = pseudonymise(C.read(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return out.select("doc_id", "text", F.size(spans).cast("long").alias("n_values"), F.array_join(spans, ",").alias("spans"))

@@ -294,7 +294,7 @@ def test_pseudonyms_keep_form_and_links(spark, edge):
     assert pii.iban(new, key) is not None and new.startswith("DE") and new.count(" ") == 5
     assert pii.ssn(pii.ssn("123-45-6789", key), key) and pii.phone(pii.phone("+1 (743) 555-3824", key), key)
     docs = spark.read.parquet(f"{edge}/documents.parquet")
-    out, spans = pii.pseudonymise(docs)
+    out, spans = pii.pseudonymise(docs, key)
     rows = {r["doc_id"]: r for r in out.collect() if r["doc_id"] is not None}
     assert out.columns == [*docs.columns, spans] and spans == "pii_spans"
     assert [x.split(":")[0] for x in rows[22][spans]] == ["phone", "card", "date"]
