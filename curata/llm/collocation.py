@@ -9,11 +9,11 @@ A phrase that reaches the threshold has its share of it, threshold / shards, in
 kept from the first scan with that share on, and for one full cycle; smaller counts of phrases not kept yet can't
 matter and go at once, and a phrase that ends its cycle below the threshold goes too.
 
-Activity is not a list of phrases: every scan gets three bit tables of bounded size, of the phrases that have reached
+Activity is not a list of phrases: every scan gets three tables of marks, of bounded size, of the phrases that have reached
 the threshold ever and within the last cycle, and of those kept whose cycle is not complete. A window of
 words is counted when both its subphrases are in the first table and one is in the second, or when it is in the
 third itself. All tasks of a scan see the same tables, so a count covers its whole shard or is not there; phrases
-that share a bit only make a scan count more than it must.
+that share a place only make a scan count more than it must.
 
 Texts are read as Arrow batches in pieces; windows are known by two independent 64-bit numbers, which a last scan
 turns into language and text (two texts for one pair of numbers would stop the job).
@@ -39,10 +39,12 @@ from . import common as C
 from . import textnum as T
 
 SHARDS, LONGEST, LEAST, TOP, SHARE = 3, 5, 100, 2000, 100
-#: Bytes of text whose windows are added up at a time.
-PIECE = 1 << 21
-#: Bits of a table for each phrase in it, and at least and at most; beyond that tables only filter less.
-BITS, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 27
+#: Bytes of text that are read at a time, windows whose counts are gathered before they leave a task, and
+#: phrases that a task remembers to have spelt.
+PIECE, GATHERED, SPELT = 1 << 20, 1 << 20, 1 << 20
+#: Places of the tables for each phrase in them, and at least and at most; beyond that tables only filter less.
+BITS, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 26
+EVER, LATE, OPEN = 1, 2, 4
 HARD, SOFT = b".,;:!?\n\x0b\x0c\r", b" \t"
 _HARD = np.zeros(256, bool)
 _HARD[list(HARD)] = True
@@ -56,17 +58,14 @@ _NEXT = re.compile(rb"[%s]+[^%s%s]+" % (SOFT, re.escape(HARD), SOFT))
 
 @dataclass
 class Tables:
-    """Bit tables of the phrases that have reached the threshold ever and late, and of those not counted in full (open).
+    """One byte for each place, with a bit for the phrases that have reached the threshold ever and late, and for those
+    not counted in full (open). ``lens`` are the lengths that a scan counts."""
 
-    ``lens`` are the lengths that a scan counts."""
-
-    size: int
-    bits: dict[str, np.ndarray]
+    marks: np.ndarray
     lens: set[int]
 
-    def has(self, name: str, h: np.ndarray) -> np.ndarray:
-        slot = (h & np.uint64(self.size - 1)).astype(np.int64)
-        return (self.bits[name][slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.marks[(h & np.uint64(len(self.marks) - 1)).astype(np.int64)]
 
 
 def _parts(data: np.ndarray, off: np.ndarray, longest: int):
@@ -89,56 +88,68 @@ def _parts(data: np.ndarray, off: np.ndarray, longest: int):
             at = stop
 
 
-def _sum(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One position of each different (h, g) and how often it is there."""
-    order = np.argsort(h, kind="stable")
+def _sum(h: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One position of each different (h, g), and how often it is there (or the sum of its ``n``)."""
+    order = np.argsort(h)
     hs, gs = h[order], g[order]
     if ((hs[1:] == hs[:-1]) & (gs[1:] != gs[:-1])).any():
         order = np.lexsort((g, h))
         hs, gs = h[order], g[order]
     first = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])]) if len(hs) else np.zeros(0, np.int64)
-    return order[first], np.diff(np.r_[first, len(hs)])
+    return order[first], np.diff(np.r_[first, len(hs)]) if n is None else np.add.reduceat(n[order], first)
 
 
 def _seed(lang: str, lane: int) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, salt=bytes([lane] * 16)).digest(), "little")
 
 
+_BYTE = T.mix(np.arange(1, 257, dtype=np.uint64))
+
+
 class _Words:
-    """The words of a piece of texts: first numbers of all windows, second numbers and texts of some."""
+    """The words of a piece of texts: first numbers of all windows, second numbers and texts of some.
+
+    First numbers, which choose the places in the tables, are polynomials of the bytes; second ones are drawn by byte and place."""
 
     def __init__(self, data, off, first, stop, seeds):
-        low = _LOWER[data]
+        self.low = low = _LOWER[data]
         self.starts, self.ends, word_off = T.spans(low, off, _BETWEEN)
         self.n = len(self.starts)
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(word_off)) + first
-        self.letters = T.letters(low, self.starts, self.ends)
-        self.seeds = seeds
-        self.pre = [T.prefix(self._numbers(0)), None]
-        self.line = np.cumsum(_HARD[low])[self.starts] + self.doc  # words of one piece share it
+        self.seeds, self.second = seeds, None
+        byte = T.prefix(_BYTE[low])
+        own = (byte[self.ends] - byte[self.starts]) * T.powers(len(byte))[1][self.starts]
+        self.pre = T.prefix(T.mix(own ^ seeds[0][self.doc]))
+        self.line = np.searchsorted(np.flatnonzero(_HARD[low]), self.starts) + self.doc  # words of one piece share it
         self.own = self.starts < stop
 
-    def _numbers(self, lane):
-        return T.mix(T.drawn(*self.letters, lane) ^ self.seeds[lane][self.doc])
-
     def firsts(self, k):
-        return T.windows(self.pre[0], np.arange(self.n - k + 1), k)
+        m = self.n - k + 1
+        return T.mix((self.pre[k:] - self.pre[:m]) * T.powers(len(self.pre))[1][:m])
 
     def whole(self, k):
         """Windows of k words inside one piece that this part of a text counts."""
         m = self.n - k + 1
         return self.own[:m] & (self.line[:m] == self.line[k - 1:])
 
+    def _letters(self):
+        """All words' bytes one after another, and where each word begins there."""
+        size = (self.ends - self.starts).astype(np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        return self.low[~_BETWEEN[self.low]], begin, size
+
     def seconds(self, i, k):
-        if self.pre[1] is None:
-            self.pre[1] = T.prefix(self._numbers(1), 1)
-        return T.windows(self.pre[1], i, k, 1)
+        if self.second is None:
+            byte, begin, size = self._letters()
+            at = np.arange(len(byte), dtype=np.int32) - np.repeat(begin, size)
+            self.second = T.prefix(T.mix(T.drawn(byte, at, begin, 1) ^ self.seeds[1][self.doc]), 1)
+        return T.windows(self.second, i, k, 1)
 
     def texts(self, i, k):
-        byte, _, begin = self.letters
-        size, at = self.ends - self.starts, np.arange(self.n)
+        byte, begin, size = self._letters()
+        at = np.arange(self.n, dtype=np.int32)
         packed = np.full(len(byte) + self.n, 32, np.uint8)
-        packed[np.arange(len(byte)) + np.repeat(at, size)] = byte
+        packed[np.arange(len(byte), dtype=np.int32) + np.repeat(at, size)] = byte
         packed, place, last = packed.tobytes(), begin + at, i + k - 1
         return pa.array([packed[a:b] for a, b in zip(place[i].tolist(), (place[last] + size[last]).tolist())], pa.binary()).cast(pa.string())
 
@@ -163,70 +174,90 @@ def counter(tables, words: bool, longest: int):
 
     ``tables`` is a broadcast of :class:`Tables` or None before any phrase is kept."""
 
+    def flush(k, parts):
+        h, g, begin = (np.concatenate(x) for x in zip(*parts))
+        one, times = _sum(h, g)
+        return pa.RecordBatch.from_arrays([A.int64(h[one]), A.int64(g[one]), pa.array(np.full(len(one), k, np.int8)), pa.array(times.astype(np.int64)), pa.array(begin[one])],
+                                          ["h", "g", "len", "n", "begin"])
+
     def run(batches):
         table = tables.value if tables is not None else None
         lens = (table.lens if table is not None else set()) | ({1} if words else set())
+        held, size = {k: [] for k in lens}, dict.fromkeys(lens, 0)
         for w, _ in _pieces(batches, longest):
-            ever = late = None
+            above = None
             for k in range(1, min(max(lens), w.n) + 1):
                 if k not in lens and k + 1 not in lens:
-                    ever = late = None
+                    above = None
                     continue
                 h = w.firsts(k)
+                marks = table.of(h) if table is not None else np.zeros(len(h), np.uint8)
                 if k in lens:
-                    begin = np.full(len(h), words) if k == 1 else ever[:-1] & ever[1:] & (late[:-1] | late[1:])
-                    active = begin | table.has("open", h) if table is not None else begin
-                    i = np.flatnonzero(active & w.whole(k))
+                    begin = np.full(len(h), words) if k == 1 else (above[:-1] & above[1:] & EVER > 0) & ((above[:-1] | above[1:]) & LATE > 0)
+                    i = np.flatnonzero((begin | (marks & OPEN > 0)) & w.whole(k))
                     if len(i):
-                        g = w.seconds(i, k)
-                        one, times = _sum(h[i], g)
-                        yield pa.RecordBatch.from_arrays([A.int64(h[i[one]]), A.int64(g[one]), pa.array(np.full(len(one), k, np.int8)), pa.array(times.astype(np.int64)), pa.array(begin[i[one]])], ["h", "g", "len", "n", "begin"])
-                if k + 1 in lens:
-                    ever, late = table.has("ever", h), table.has("late", h)
+                        held[k].append((h[i], w.seconds(i, k), begin[i]))
+                        size[k] += len(i)
+                        if size[k] >= GATHERED:
+                            yield flush(k, held[k])
+                            held[k], size[k] = [], 0
+                above = marks
+        for k in held:
+            if held[k]:
+                yield flush(k, held[k])
 
     return run
 
 
 def speller(tables, longest: int):
-    """mapInArrow function over (lang, text) to (lang, h, g, phrase, n): the texts of the phrases in the table ``ever``, and
-    without numbers the count of all words."""
+    """mapInArrow function over (lang, text) to (lang, h, g, phrase, n): the texts of the phrases in the table ``ever``, most
+    of them once in a task, and without numbers the count of all words."""
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        table = tables.value
-        schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
+        table, spelt = tables.value, np.zeros(0, np.uint64)
         for w, langs in _pieces(batches, longest):
             doc, times = np.unique(w.doc[w.own], return_counts=True)
             none = pa.nulls(len(doc))
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(doc)).cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), pa.array(times.astype(np.int64))], schema=schema)
+            fresh = []
             for k in range(1, min(longest, w.n) + 1):
                 h = w.firsts(k)
-                i = np.flatnonzero(table.has("ever", h) & w.whole(k))
-                if len(i):
-                    g = w.seconds(i, k)
-                    one, times = _sum(h[i], g)
+                i = np.flatnonzero((table.of(h) & EVER > 0) & w.whole(k))
+                if not len(i):
+                    continue
+                g = w.seconds(i, k)
+                one, _ = _sum(h[i], g)
+                both = T.mix(h[i[one]]) ^ g[one]
+                if len(spelt):
+                    new = spelt[np.minimum(np.searchsorted(spelt, both), len(spelt) - 1)] != both
+                    one, both = one[new], both[new]
+                if len(one):
+                    fresh.append(both)
                     at = i[one]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.doc[at])).cast(pa.string()), A.int64(h[at]), A.int64(g[one]), w.texts(at, k), pa.array(times.astype(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.doc[at])).cast(pa.string()), A.int64(h[at]), A.int64(g[one]), w.texts(at, k), pa.nulls(len(at)).cast(pa.int64())], schema=schema)
+            if fresh and len(spelt) < SPELT:
+                spelt = np.sort(np.concatenate([spelt, *fresh]))
 
     return run
 
 
 def _tables(state: DataFrame, step: int, shards: int, longest: int) -> Tables:
-    """The bit tables for scan ``step`` (the tables' rows are bounded by their size)."""
+    """The tables for scan ``step`` (as rows they are bounded by their places)."""
     reached = F.col("reach").isNotNull()
-    marks = {"ever": reached, "late": reached & (F.col("reach") >= step - shards), "open": F.col("since") > step - shards}
-    longer = F.when(marks["late"], F.col("len") + 1)
-    got = state.agg(F.count("*").alias("n"), F.collect_set(longer).alias("late"), F.collect_set(F.when(marks["open"], F.col("len"))).alias("open")).first()
+    late, open_ = reached & (F.col("reach") >= step - shards), F.col("since") > step - shards
+    got = state.agg(F.count("*").alias("n"), F.collect_set(F.when(late, F.col("len") + 1)).alias("late"), F.collect_set(F.when(open_, F.col("len"))).alias("open")).first()
     size = MIN_BITS
     while size < min(MAX_BITS, BITS * got["n"]):
         size *= 2
-    slot = F.col("h").bitwiseAND(F.lit(size - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = state.select(F.shiftright(slot, 6).alias("word"), *[F.when(m, bit).otherwise(0).alias(c) for c, m in marks.items()])
-    rows = rows.groupBy("word").agg(*[F.bit_or(c).alias(c) for c in marks]).toArrow()
-    bits = {c: np.zeros(size >> 6, np.uint64) for c in marks}
-    for c in marks:
-        bits[c][rows["word"].to_numpy()] = rows[c].to_numpy().view(np.uint64)
-    return Tables(size, bits, {k for k in (*got["late"], *got["open"]) if k <= longest})
+    mark = sum((F.when(m, bit).otherwise(0) for m, bit in ((late, LATE), (open_, OPEN))), F.when(reached, EVER).otherwise(0))
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    # eight places in one row: a table of the most places comes as an eighth of them
+    octet = F.call_function("shiftleft", mark.cast("long"), (F.pmod(place, F.lit(8)) * 8).cast("int"))
+    rows = state.select(F.shiftright(place, 3).alias("at"), octet.alias("octet")).groupBy("at").agg(F.bit_or("octet").alias("octet")).toArrow()
+    marks = np.zeros(size >> 3, np.int64)
+    marks[rows["at"].to_numpy()] = rows["octet"].to_numpy()
+    return Tables(marks.astype("<i8").view(np.uint8), {k for k in (*got["late"], *got["open"]) if k <= longest})
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,

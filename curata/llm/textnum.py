@@ -133,8 +133,10 @@ def drawn(byte: np.ndarray, at: np.ndarray, first: np.ndarray, lane: int) -> np.
     sums have no structure that a text could follow; numbers of two lanes are independent."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    cell = at * 256 + byte
-    if at.max() >= 256:
+    if at.max() < 256:
+        cell = (at.astype(np.uint16) << 8) | byte
+    else:
+        cell = at.astype(np.int64) * 256 + byte
         return mix(np.add.reduceat(_drawn(cell, lane), first))
     if lane not in _DRAWN:
         _DRAWN[lane] = _drawn(np.arange(1 << 16), lane)
