@@ -43,7 +43,7 @@ SHARDS, LONGEST, LEAST, TOP, SHARE = 3, 5, 100, 2000, 100
 #: phrases that a task remembers to have spelt.
 PIECE, GATHERED, SPELT = 1 << 20, 1 << 20, 1 << 20
 #: Places of the tables for each phrase in them, and at least and at most; beyond that tables only filter less.
-BITS, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 26
+BITS, MIN_BITS, MAX_BITS = 64, 1 << 16, 1 << 26
 EVER, LATE, OPEN = 1, 2, 4
 HARD, SOFT = b".,;:!?\n\x0b\x0c\r", b" \t"
 _HARD = np.zeros(256, bool)
@@ -59,13 +59,17 @@ _NEXT = re.compile(rb"[%s]+[^%s%s]+" % (SOFT, re.escape(HARD), SOFT))
 @dataclass
 class Tables:
     """One byte for each place, with a bit for the phrases that have reached the threshold ever and late, and for those
-    not counted in full (open). ``lens`` are the lengths that a scan counts."""
+    not counted in full (open); a phrase has two places. ``lens`` are the lengths that a scan counts."""
 
     marks: np.ndarray
     lens: set[int]
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        return self.marks[(h & np.uint64(len(self.marks) - 1)).astype(np.int64)]
+        mask = np.uint64(len(self.marks) - 1)
+        out = self.marks[(h & mask).astype(np.int64)]
+        some = np.flatnonzero(out)
+        out[some] &= self.marks[(h[some] >> np.uint64(32) & mask).astype(np.int64)]
+        return out
 
 
 def _parts(data: np.ndarray, off: np.ndarray, longest: int):
@@ -139,6 +143,11 @@ class _Words:
         return self.low[~_BETWEEN[self.low]], begin, size
 
     def seconds(self, i, k):
+        if self.second is None and len(i) * k * 4 < self.n:  # few windows: the numbers of their words only
+            words, at = np.unique(i[:, None] + np.arange(k), return_inverse=True)
+            letters = T.letters(self.low, self.starts[words], self.ends[words])
+            own = T.mix(T.drawn(*letters, 1) ^ self.seeds[1][self.doc[words]])[at.reshape(len(i), k)]
+            return T.mix((own * T.powers(k, 1)[0][:k]).sum(axis=1, dtype=np.uint64))
         if self.second is None:
             byte, begin, size = self._letters()
             at = np.arange(len(byte), dtype=np.int32) - np.repeat(begin, size)
@@ -251,10 +260,11 @@ def _tables(state: DataFrame, step: int, shards: int, longest: int) -> Tables:
     while size < min(MAX_BITS, BITS * got["n"]):
         size *= 2
     mark = sum((F.when(m, bit).otherwise(0) for m, bit in ((late, LATE), (open_, OPEN))), F.when(reached, EVER).otherwise(0))
-    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    places = F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(size - 1)))
+    place = F.col("place")
     # eight places in one row: a table of the most places comes as an eighth of them
-    octet = F.call_function("shiftleft", mark.cast("long"), (F.pmod(place, F.lit(8)) * 8).cast("int"))
-    rows = state.select(F.shiftright(place, 3).alias("at"), octet.alias("octet")).groupBy("at").agg(F.bit_or("octet").alias("octet")).toArrow()
+    octet = F.call_function("shiftleft", F.col("mark").cast("long"), (F.pmod(place, F.lit(8)) * 8).cast("int"))
+    rows = state.select(mark.alias("mark"), F.explode(places).alias("place")).select(F.shiftright(place, 3).alias("at"), octet.alias("octet")).groupBy("at").agg(F.bit_or("octet").alias("octet")).toArrow()
     marks = np.zeros(size >> 3, np.int64)
     marks[rows["at"].to_numpy()] = rows["octet"].to_numpy()
     return Tables(marks.astype("<i8").view(np.uint8), {k for k in (*got["late"], *got["open"]) if k <= longest})
