@@ -28,8 +28,12 @@ _ROWS = ["tbody", "tfoot", "thead"]
 ENDED_BY = {"li": ["li"], "p": _BLOCKS, "td": ["td", "th", "tr", *_ROWS], "th": ["td", "th", "tr", *_ROWS], "tr": ["tr", *_ROWS],
             "dt": ["dt", "dd"], "dd": ["dt", "dd"], "option": ["option", "optgroup"]}
 
-RAW = r"(?is)<!--.*?(?:-->|$)|<(script|style)(?:\s[^>]*)?>.*?(?:</\1\s*>|$)"
-TOKEN = r"(?s)</?[A-Za-z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)|[^<]+|<"
+# The rest of a tag: a quote after ``=`` hides what it encloses, also ``>``; one that never ends takes the rest.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|$)|'[^']*+(?:'|$))?+)*+"""
+_RAW = rf"<!--.*?(?:-->|$)|<(script|style)(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>]){_REST}>|$)"
+#: Comments, script and style elements, tags and declarations.
+MARKUP = rf"(?is){_RAW}|</?[a-z]{_REST}(?:>|$)|<[!?/][^>]*(?:>|$)"
+TOKEN = rf"{MARKUP}|[^<]+|<"
 _CLASS = r"""(?is)^<[^\s>]+(?:.*?[\s"'/])?class\s*=\s*(?:"(?:[^"]*\s)?(?:WORDS)(?:\s[^"]*)?"|'(?:[^']*\s)?(?:WORDS)(?:\s[^']*)?'|(?:WORDS)(?=[\s>/]))"""
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?|[^&]+|&"
 #: Names that also stand without a semicolon.
@@ -53,17 +57,17 @@ def decode_entities(c: Column) -> Column:
     def one(t: Column) -> Column:
         body = F.regexp_replace(t, "^&|;$", "")
         named = F.when(t.endswith(";") | body.isin(_BARE), F.element_at(F.get(maps, (F.crc32(body.cast("binary")) % _MAPS).cast("int")), body))
-        number = F.when(body.rlike("^#[0-9]"), F.expr("1")).otherwise(F.lit(0))
-        code = F.when(number == 1, F.substring(body, 2, 8).try_cast("bigint")).otherwise(F.conv(F.substring(body, 3, 8), 16, 10).try_cast("bigint"))
+        number = F.when(body.rlike("^#[0-9]"), F.lit(True)).otherwise(F.lit(False))
+        code = F.when(number, F.substring(body, 2, 8).try_cast("bigint")).otherwise(F.conv(F.substring(body, 3, 8), 16, 10).try_cast("bigint"))
         return F.when(~t.startswith("&") | (t == "&"), t).when(body.startswith("#"), _char(code)).otherwise(F.coalesce(named, t))
 
     parts = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), one)
     return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
 
 
-def without_raw(c: Column) -> Column:
-    """Without comments and without script and style elements."""
-    return F.regexp_replace(c, RAW, "")
+def without_markup(c: Column) -> Column:
+    """The text outside tags, comments, and script and style elements, entities as they stand."""
+    return F.regexp_replace(c, MARKUP, "")
 
 
 def visible_text(c: Column) -> Column:
@@ -71,12 +75,13 @@ def visible_text(c: Column) -> Column:
     words = "|".join(EXCLUDED_CLASSES)
 
     def token(t: Column) -> Column:
-        tag, close = t.rlike("^</?[A-Za-z]"), t.startswith("</")
+        tag, close = t.rlike(r"^(?!(?i:<(?:script|style)[\s/>]))</?[A-Za-z]"), t.startswith("</")
         name = F.lower(F.regexp_extract(t, "^</?([A-Za-z][^\\s/>]*)", 1))
         whole = t.endswith(">")
+        raw = t.rlike(r"^(?:<!--|(?i:<(?:script|style)[\s/>]))")
         kind = F.when(~t.startswith("<") | (t == "<"), "text").when(~tag | ~whole | name.isin(VOID_TAGS), "void").when(close, "close").otherwise("open")
         bad = F.when(tag & ~close, name.isin(EXCLUDED_TAGS) | (F.contains(t, F.lit("=")) & t.rlike(_CLASS.replace("WORDS", words)))).otherwise(F.lit(False))
-        shown = F.when(~t.startswith("<") | (t == "<"), decode_entities(t)).when(~whole | ~tag | name.isin(INLINE_TAGS), "").otherwise(" ")
+        shown = F.when(~t.startswith("<") | (t == "<"), decode_entities(t)).when(raw | ~whole | ~tag | name.isin(INLINE_TAGS), "").otherwise(" ")
         return F.struct(kind.alias("kind"), name.alias("name"), bad.alias("bad"), shown.alias("shown"))
 
     ends = [f"{k}>{x}" for k, v in ENDED_BY.items() for x in v]
@@ -101,6 +106,6 @@ def visible_text(c: Column) -> Column:
         inner = F.aggregate(b, F.struct(acc["stack"].alias("stack"), none.alias("out")), step)
         return F.get(F.transform(F.array(inner), lambda r: F.struct(r["stack"].alias("stack"), F.concat(acc["out"], F.array(F.array_join(r["out"], ""))).alias("out"))), F.lit(0))
 
-    tokens = F.transform(F.regexp_extract_all(without_raw(c), F.lit(TOKEN), F.lit(0)), token)
+    tokens = F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), token)
     cut = F.get(F.transform(F.array(tokens), lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(_BLOCK)), lambda s: F.slice(a, s, _BLOCK))), F.lit(0))
     return F.aggregate(cut, F.struct(none.alias("stack"), none.alias("out")), block, lambda acc: F.array_join(acc["out"], ""))

@@ -61,10 +61,10 @@ def escape_text(c: Column) -> Column:
 def strip_tags(c: Column) -> Column:
     """Tag removal for short descriptions (text kept, markup, scripts and styles dropped, output entity-escaped).
 
-    Tags are removed, entities decoded and the text re-escaped (``&``, ``<``, ``>``, no-break
+    Tags are removed (quoted attribute values may hold ``>``; a tag that never ends goes), entities decoded and the text re-escaped (``&``, ``<``, ``>``, no-break
     space), then white space is collapsed and trimmed. Blank input gives ''.
     """
-    text = escape_text(html.decode_entities(F.regexp_replace(html.without_raw(c), "<[^>]*>", "")))
+    text = escape_text(html.decode_entities(html.without_markup(c)))
     collapsed = jtrim(F.regexp_replace(text, f"[{WS}]+", " "))
     return F.when(is_blank(c), F.lit("")).otherwise(collapsed)
 

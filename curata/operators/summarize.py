@@ -79,6 +79,12 @@ def answer_texts(responses: DataFrame) -> DataFrame:
     )
 
 
+def unusable(responses: DataFrame) -> DataFrame:
+    """``(id)``: articles whose attempt 1 has a nonblank text that is no valid summary, so that attempt 2 is asked for."""
+    t = answer_texts(responses)
+    return t.where(text.not_blank(F.col("text1")) & ~summary.is_valid_summary(summary.clean_summary(F.col("text1")))).select("id")
+
+
 def resolve_summaries(df: DataFrame, responses: DataFrame, max_words: int = vocab.SUMMARY_MAX_WORDS) -> DataFrame:
     """Add ``summary`` and ``summary_source`` ('attempt1' | 'attempt2' | 'fallback')."""
     df = with_id(df)

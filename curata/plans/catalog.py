@@ -344,3 +344,4 @@ from curata.plans import q_text  # noqa: E402,F401
 from curata.plans import q_store  # noqa: E402,F401
 from curata.plans import q_sources  # noqa: E402,F401
 from curata.plans import q_stream  # noqa: E402,F401
+from curata.plans import q_runs  # noqa: E402,F401

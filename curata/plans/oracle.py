@@ -289,9 +289,13 @@ def html_text(x: str, max_words: int = 800) -> str:
     return f"(CASE WHEN {is_blank(x)} THEN '' ELSE {first_words(s, max_words)} END)"
 
 
+_TAG = r"""(?s)<(?:/?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*|[!?/][^>]*)>"""
+
+
 def strip_tags(x: str) -> str:
     s = _gone(_gone(_gone(x, "(?s)<!--.*?(?:-->|$)"), "(?is)<script[^>]*>.*?(?:</script>|$)"), "(?is)<style[^>]*>.*?(?:</style>|$)")
-    t = escape_text(decode_entities(_gone(s, "<[^>]*>")))
+    # a tag as names, values in either quotes and the rest, one after another; then what a cut-off one leaves
+    t = escape_text(decode_entities(_gone(_gone(s, _TAG), "(?s)</?[A-Za-z][^>]*$")))
     c = jtrim(f"regexp_replace({t}, '[{WS}]+', ' ', 'g')")
     return f"(CASE WHEN {is_blank(x)} THEN '' ELSE {c} END)"
 

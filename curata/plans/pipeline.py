@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from curata.functions import summary, vocab
 from curata.operators import dedup, rank, store, summarize
-from curata.session import cut_lineage
+from curata.session import cut_counted
 
 
 def run_batch(articles: DataFrame, memory: DataFrame, responses: DataFrame | None, as_of: Column,
               current_news: DataFrame | None = None, top: int = vocab.TOP_N, per_domain: int = vocab.MAX_PER_DOMAIN,
-              threshold: float = vocab.SIMILARITY_THRESHOLD) -> dict:
-    # read by the ranking and by the counts: materialised once, not deduplicated again
-    unique = cut_lineage(dedup.deduplicate(articles, memory, as_of, threshold))
+              threshold: float = vocab.SIMILARITY_THRESHOLD, fetched: int | None = None, respond=None) -> dict:
+    """Intermediate and output tables of a run; ``respond`` makes responses for the selected articles, ``fetched`` is
+    the number of articles where it is known. Stage counts are observed in the passes that write the stages."""
+    spark = articles.sparkSession
+    # read by the ranking and by the tables: materialised once, not deduplicated again
+    unique, n_unique = cut_counted(dedup.deduplicate(articles, memory, as_of, threshold))
     # at most ``top`` rows, feeding news, counts and memory: materialised once (checkpoint folder)
-    selected = cut_lineage(rank.rank(unique, as_of, top, per_domain))
+    selected, n_selected = cut_counted(rank.rank(unique, as_of, top, per_domain))
+    if respond is not None:
+        responses = respond(selected)
     if responses is not None:
         summarized = summarize.resolve_summaries(selected, responses)
     else:
@@ -28,10 +33,12 @@ def run_batch(articles: DataFrame, memory: DataFrame, responses: DataFrame | Non
             "summary", summary.fallback_summary(F.col("title"), F.col("description"))
         )
     news = summarize.to_news(summarized, as_of)
+    if fetched is None:
+        first = articles.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fetched").alias("stage"), "n")
+    else:
+        first = spark.createDataFrame([("fetched", fetched)], "stage string, n long")
     counts = (
-        articles.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fetched").alias("stage"), "n")
-        .unionByName(unique.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unique").alias("stage"), "n"))
-        .unionByName(selected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("selected").alias("stage"), "n"))
+        first.unionByName(spark.createDataFrame([("unique", n_unique), ("selected", n_selected)], "stage string, n long"))
         .unionByName(news.agg(F.countDistinct("id").alias("n")).select(F.lit("saved").alias("stage"), "n"))
     )
     out = {"unique": unique, "selected": selected, "news": news, "counts": counts,

@@ -80,7 +80,8 @@ rs AS (
   SELECT t AS title, u AS url, 'rss' AS source, {O.url_domain('feed_url', True)} AS source_domain,
          CASE WHEN description IS NULL THEN '' ELSE {O.strip_truncate('description')} END AS description,
          CASE seq % 4 WHEN 0 THEN 'https://media.example.com/c' || seq || '.jpg' WHEN 1 THEN 'https://media.example.com/t' || seq || '.jpg'
-              WHEN 2 THEN 'https://media.example.com/c' || seq || '.jpg' ELSE '' END AS image_url,
+              WHEN 2 THEN 'https://media.example.com/t' || seq || '.jpg'
+              ELSE CASE WHEN seq % 8 = 3 THEN 'https://media.example.com/y' || seq || '.jpg' ELSE '' END END AS image_url,
          p AS published_at, 0 AS upvotes, 0 AS comments
   FROM rs_src WHERE NOT {O.is_blank('t')} AND NOT {O.is_blank('u')} AND p >= {O.AS_OF} - INTERVAL 12 HOUR
 )"""

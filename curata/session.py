@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, app: str = "curata", shuffle_partitions: int | None = None) -> SparkSession:
@@ -67,6 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage`, and the number of rows, observed in the pass that writes them."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def new_path(spark: SparkSession) -> str:
     """A path in the shared checkpoint folder that nothing uses yet."""
     return f"{checkpoint_dir(spark).rstrip('/')}/curata-{uuid.uuid4().hex}"

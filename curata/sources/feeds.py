@@ -33,24 +33,55 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 # FIXED VALUES: hours east of UTC of the zone names that feed dates may carry.
 ZONES = {"UT": 0, "GMT": 0, "UTC": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
-_MEDIA = "`media:content` array<struct<_url:string>>, `media:thumbnail` array<struct<_url:string>>"
-RSS_ITEM_SCHEMA = f"title string, link string, pubDate string, updated string, description string, {_MEDIA}"
-ATOM_ENTRY_SCHEMA = f"title string, link array<struct<_href:string,_rel:string>>, published string, updated string, summary string, {_MEDIA}"
+RSS_ITEM_SCHEMA = "title string, link string, pubDate string, updated string, description string, _corrupt_record string"
+ATOM_ENTRY_SCHEMA = "title string, link array<struct<_href:string,_rel:string>>, published string, updated string, summary string, _corrupt_record string"
+_NAME, _VALUE = r"[A-Za-z_][\w.-]*", r"\s*=\s*(?:\"[^\"]*\"|'[^']*')"
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON payloads, one document per line: ``(payload, file)``. Any number of files; the
-    file path is kept so a label (e.g. the listing endpoint) can be derived from the layout."""
-    return spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
+def read_landed(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
+    """Landed payloads, one document per line (or per file): ``(payload, file, at)``. Any number of files; the
+    file path is kept so a label (e.g. the listing endpoint) can be derived from the layout. ``at`` is the
+    payload's place, ordered by file and line: the start of its block of the file, and its turn in it."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.lit(0).alias("pos"))
+    return spark.read.option("wholetext", whole).text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"), place.alias("at"))
 
 
-def read_feed_files(spark: SparkSession, path: str, feed_url: Column | str) -> DataFrame:
-    """Landed feed documents read with the XML source: RSS ``<item>`` rows and Atom ``<entry>`` rows
-    (as items), with the declared schemas (no inference). ``feed_url`` is a value or a column over
-    ``_metadata``."""
-    url = F.lit(feed_url) if isinstance(feed_url, str) else feed_url
-    rows = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("feed_url", url)
-    return rows("item", RSS_ITEM_SCHEMA).unionByName(atom_to_items(rows("entry", ATOM_ENTRY_SCHEMA)))
+def _placed(at: Column, pos: Column) -> Column:
+    """The place of element ``pos`` of the payload at ``at``."""
+    return F.struct(at["file"].alias("file"), at["block"].alias("block"), at["line"].alias("line"), pos.cast("int").alias("pos"))
+
+
+def feed_items(docs: DataFrame) -> DataFrame:
+    """Feed documents (``payload``, one in each row) to their RSS items and Atom entries, in document order: the other
+    columns, ``item_xml`` and ``atom``. Documents are a few MB at most; an end tag inside CDATA ends an item."""
+    found = F.regexp_extract_all("payload", F.lit(r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"), F.lit(0))
+    rows = docs.select(*[c for c in docs.columns if c != "payload"], F.posexplode(found).alias("_pos", "item_xml"))
+    if "at" in rows.columns:
+        rows = rows.withColumn("at", _placed(F.col("at"), F.col("_pos")))
+    return rows.drop("_pos").withColumn("atom", F.col("item_xml").startswith("<entry"))
+
+
+def read_feed_files(spark: SparkSession, path: str | list[str], feed_url: Column | str) -> DataFrame:
+    """Landed feed documents as item columns (RSS items and Atom entries). ``feed_url`` is a value or a column over ``file``."""
+    docs = read_landed(spark, path, whole=True).withColumn("feed_url", F.lit(feed_url) if isinstance(feed_url, str) else feed_url)
+    return read_items(feed_items(docs))
+
+
+def foreign_images(item_xml: Column) -> Column:
+    """The ``url`` attributes of an item's own ``content`` and ``thumbnail`` elements of any foreign namespace, in document order."""
+    name, attributes = rf"{_NAME}:{_NAME}", rf"(?:\s+[\w:.-]+{_VALUE})*"
+    own = F.regexp_replace(item_xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    own = F.regexp_replace(own, rf"(?s)<(({name}){attributes})\s*>.*?</\2\s*>", "<$1/>")  # what foreign elements hold is not the item's
+    tags = F.regexp_extract_all(own, F.lit(rf"<{_NAME}:(?:content|thumbnail){attributes}\s*/>"), F.lit(0))
+
+    def url(tag: Column) -> Column:
+        raw = F.regexp_extract(tag, r"\surl\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+        raw = F.substring(raw, F.lit(2), F.greatest(F.length(raw) - 2, F.lit(0)))
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            raw = F.replace(raw, F.lit(entity), F.lit(char))
+        return raw
+
+    return F.transform(tags, url)
 
 
 def atom_to_items(entries: DataFrame) -> DataFrame:
@@ -58,9 +89,8 @@ def atom_to_items(entries: DataFrame) -> DataFrame:
     (else ``updated``) as dates, the summary as description."""
     page = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
     url = F.coalesce(F.get(page, F.lit(0))["_href"], F.get(F.col("link"), F.lit(0))["_href"])
-    keep = [c for c in entries.columns if c not in ("title", "link", "published", "updated", "summary", "media:content", "media:thumbnail")]
-    return entries.select(*keep, "title", url.alias("link"), F.col("published").alias("pubDate"), "updated", F.col("summary").alias("description"),
-                          "`media:content`", "`media:thumbnail`")
+    keep = [c for c in entries.columns if c not in ("title", "link", "published", "updated", "summary")]
+    return entries.select(*keep, "title", url.alias("link"), F.col("published").alias("pubDate"), "updated", F.col("summary").alias("description"))
 
 
 def label_from_path(file_col: Column, key: str = "endpoint") -> Column:
@@ -134,7 +164,8 @@ def _text(v: Column, path: str) -> Column:
 
 
 def _rows(df: DataFrame, **cols: Column) -> DataFrame:
-    return df.select(*[cols[c].alias(c) for c in ARTICLE_COLUMNS])
+    """The article columns, with the place ``at`` of each where the payloads have one."""
+    return df.select(*[cols[c].alias(c) for c in ARTICLE_COLUMNS], *[c for c in df.columns if c == "at"])
 
 
 # ---------------------------------------------------------------- Hacker News style items
@@ -199,7 +230,8 @@ def parse_hn_items(raw: DataFrame, min_score: int = vocab.HN_MIN_SCORE) -> DataF
 def hn_top_ids(lists: DataFrame, limit: int = vocab.HN_TOP_STORIES) -> DataFrame:
     """``(list_id, pos, id)``: the first ``limit`` ids of every id-list payload, by position."""
     ids = F.from_json(F.col("payload"), "array<bigint>")
-    return lists.select("list_id", F.posexplode(ids).alias("pos", "id")).where(F.col("pos") < limit)
+    rows = lists.select("list_id", *[c for c in lists.columns if c == "at"], F.posexplode(ids).alias("pos", "id")).where(F.col("pos") < limit)
+    return rows.withColumn("at", _placed(F.col("at"), F.col("pos"))) if "at" in lists.columns else rows
 
 
 def hn_top_stories(lists: DataFrame, items: DataFrame, limit: int = vocab.HN_TOP_STORIES,
@@ -211,9 +243,18 @@ def hn_top_stories(lists: DataFrame, items: DataFrame, limit: int = vocab.HN_TOP
 # ---------------------------------------------------------------- headline envelopes
 
 
+def _elements(raw: DataFrame, path: str, name: str) -> DataFrame:
+    """The elements of a payload's list as variants in column ``name``, each with its place; other columns are kept."""
+    found = F.try_variant_get(F.try_parse_json("payload"), path, "array<variant>")
+    rows = raw.select("*", F.posexplode(found).alias("_pos", name)).drop("payload")
+    if "at" in raw.columns:
+        rows = rows.withColumn("at", _placed(F.col("at"), F.col("_pos")))
+    return rows.drop("_pos")
+
+
 def _gnews_rows(raw: DataFrame, as_of: Column) -> DataFrame:
     """All articles of all envelopes with the first failing check as ``reason``."""
-    a = raw.select("*", F.explode(F.try_variant_get(F.try_parse_json("payload"), "$.articles", "array<variant>")).alias("a")).drop("payload")
+    a = _elements(raw, "$.articles", "a")
     v = F.col("a")
     a = a.select(
         *[c for c in a.columns if c != "a"], text.jtrim(_text(v, "$.title")).alias("title"), text.jtrim(_text(v, "$.url")).alias("url"),
@@ -242,7 +283,7 @@ def parse_gnews(raw: DataFrame, as_of: Column) -> DataFrame:
 
 def _reddit_rows(raw: DataFrame, min_upvotes: int, min_comments: int) -> DataFrame:
     """All posts of all listings with the first failing check as ``reason``."""
-    p = raw.select("*", F.explode(F.try_variant_get(F.try_parse_json("payload"), "$.data.children", "array<variant>")).alias("c")).drop("payload")
+    p = _elements(raw, "$.data.children", "c")
     v = F.col("c")
     p = p.select(
         *[c for c in p.columns if c != "c"],
@@ -279,10 +320,17 @@ def parse_reddit(raw: DataFrame, min_upvotes: int = vocab.REDDIT_MIN_UPVOTES, mi
 
 
 def read_items(raw: DataFrame, atom: bool = False) -> DataFrame:
-    """XML documents in column ``item_xml``, one item (or Atom entry) each, as item columns; other columns are kept."""
-    x = raw.withColumn("x", F.from_xml(F.col("item_xml"), ATOM_ENTRY_SCHEMA if atom else RSS_ITEM_SCHEMA))
-    x = x.select(*[c for c in raw.columns if c != "item_xml"], "x.*")
-    return atom_to_items(x) if atom else x
+    """XML documents in column ``item_xml``, one item (or Atom entry) each, as item columns with the ``images`` of foreign
+    elements and ``_corrupt_record`` (null unless malformed); other columns are kept. A column ``atom`` tells entries from items."""
+    keep = [c for c in raw.columns if c not in ("item_xml", "atom")]
+
+    def rows(some: DataFrame, schema: str) -> DataFrame:
+        x = F.from_xml(F.col("item_xml"), schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+        return some.select(*keep, foreign_images(F.col("item_xml")).alias("images"), x.alias("x")).select(*keep, "images", "x.*")
+
+    if "atom" not in raw.columns:
+        return atom_to_items(rows(raw, ATOM_ENTRY_SCHEMA)) if atom else rows(raw, RSS_ITEM_SCHEMA)
+    return rows(raw.where(~F.col("atom")), RSS_ITEM_SCHEMA).unionByName(atom_to_items(rows(raw.where("atom"), ATOM_ENTRY_SCHEMA)))
 
 
 def parse_rss(raw: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS, atom: bool = False) -> DataFrame:
@@ -290,24 +338,24 @@ def parse_rss(raw: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_
     (else updated, else ``as_of``) no earlier than ``as_of - max_age_hours``.
 
     The domain is the feed's host (the feed url itself when it has none); the description is
-    tag-stripped and cut to 500 units + '...'; the image is the first media content / thumbnail
-    url that is nonblank (content first)."""
+    tag-stripped and cut to 500 units + '...'; the image is the first nonblank url of a foreign content or
+    thumbnail element, in document order."""
     return parse_rss_rows(read_items(raw.select("feed_url", "item_xml"), atom), as_of, max_age_hours)
 
 
 def _rss_rows(it: DataFrame, as_of: Column, max_age_hours: int) -> DataFrame:
     """All items with the first failing check as ``reason``."""
-    first = lambda c: F.get(F.filter(F.col(c), lambda m: text.not_blank(m["_url"])), F.lit(0))["_url"]
     pub = F.coalesce(parse_date(F.col("pubDate")), parse_date(F.col("updated")), as_of)
     it = it.select(
-        *[c for c in it.columns if c not in ("title", "link", "pubDate", "updated", "description", "media:content", "media:thumbnail")],
+        *[c for c in it.columns if c not in ("title", "link", "pubDate", "updated", "description", "images", "_corrupt_record")],
         text.jtrim(F.coalesce("title", F.lit(""))).alias("title"), text.jtrim(F.coalesce("link", F.lit(""))).alias("url"), pub.alias("published_at"),
         F.when(F.col("description").isNull(), F.lit("")).otherwise(text.strip_truncate(F.col("description"), vocab.RSS_DESCRIPTION_MAX)).alias("description"),
-        F.coalesce(first("`media:content`"), first("`media:thumbnail`"), F.lit("")).alias("image_url"),
+        F.coalesce(F.get(F.filter("images", lambda u: text.not_blank(u)), F.lit(0)), F.lit("")).alias("image_url"),
+        F.col("_corrupt_record").isNotNull().alias("malformed"),
     )
     cutoff = F.timestamp_add("HOUR", F.lit(-max_age_hours), as_of)
-    return it.withColumn("reason", F.when(text.is_blank(F.col("title")), "blank_title").when(text.is_blank(F.col("url")), "blank_url")
-                         .when(F.col("published_at") < cutoff, "too_old"))
+    return it.withColumn("reason", F.when(F.col("malformed"), "malformed").when(text.is_blank(F.col("title")), "blank_title").when(text.is_blank(F.col("url")), "blank_url")
+                         .when(F.col("published_at") < cutoff, "too_old")).drop("malformed")
 
 
 def parse_rss_rows(it: DataFrame, as_of: Column, max_age_hours: int = vocab.RSS_MAX_AGE_HOURS) -> DataFrame:
@@ -343,12 +391,16 @@ def payload_rejects(raw: DataFrame, kind: str) -> DataFrame:
     """Whole payloads that yield nothing, with a reason; other raw columns are kept.
 
     ``kind``: 'gnews' (malformed | no_articles), 'reddit' (malformed | no_children) or
-    'rss' (malformed item XML, column ``item_xml``)."""
+    'rss' (malformed item XML, column ``item_xml``), 'list' (malformed id list) or 'feed' (a document without items)."""
     keep = [c for c in raw.columns if c not in ("payload", "item_xml")]
     if kind == "rss":
         x = F.from_xml(F.col("item_xml"), RSS_ITEM_SCHEMA)
         bad = F.col("item_xml").isNull() | x.isNull() | (x["title"].isNull() & x["link"].isNull())
         reason = F.when(bad, F.lit("malformed"))
+    elif kind == "list":
+        reason = F.when(F.from_json(F.col("payload"), "array<bigint>").isNull(), F.lit("malformed"))
+    elif kind == "feed":
+        reason = F.when(~F.coalesce(F.col("payload").rlike(r"(?s)<(item|entry)[\s>].*</\1\s*>"), F.lit(False)), F.lit("no_items"))
     else:
         v = F.try_parse_json(F.col("payload"))
         path, name = ("$.articles", "no_articles") if kind == "gnews" else ("$.data.children", "no_children")
@@ -357,6 +409,8 @@ def payload_rejects(raw: DataFrame, kind: str) -> DataFrame:
 
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
-    """Bag union of parsed sources; an absent source contributes nothing."""
-    present = [d.select(*ARTICLE_COLUMNS) for d in dfs if d is not None]
+    """Bag union of parsed sources, with their places where all have them; an absent source contributes nothing."""
+    present = [d for d in dfs if d is not None]
+    at = ["at"] if all("at" in d.columns for d in present) else []
+    present = [d.select(*ARTICLE_COLUMNS, *at) for d in present]
     return reduce(lambda a, b: a.unionByName(b), present)

@@ -8,17 +8,21 @@ Layout (any number of files per folder):
     <landing>/reddit/endpoint=<label>/   JSON lines, one listing per line (label URL-encoded)
     <landing>/rss/feed=<feed url>/       feed documents (XML, <item> rows; feed url URL-encoded)
 
-``read_sources`` parses everything into one article table with an ``seq`` order key.
+``read_sources`` parses everything into one article table with an ``seq`` order key. Payloads are written once to the
+shared folder, so that a file which can't be read fails alone, and each has a place that stays the same.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curata.session import cut_lineage
 from curata.sources import feeds, landing
 
 SOURCE_RANK = {"hackernews": 0, "gnews": 1, "reddit": 2, "rss": 3}
@@ -35,33 +39,71 @@ def present(read):
         raise
 
 
-def _raw(spark: SparkSession, root: str) -> dict:
-    """Landed payloads by source; None for an absent one."""
-    def reddit():
-        return feeds.read_landed(spark, f"{root}/reddit/*").withColumn("endpoint", feeds.label_from_path(F.col("file")))
+_UNREADABLE = re.compile(r"while reading file (.+?)\.\s+SQLSTATE")
 
-    def rss():
-        url = feeds.label_from_path(F.col("_metadata.file_path"), "feed")
-        return feeds.read_feed_files(spark, f"{root}/rss/*", url)
 
-    return {"lists": present(lambda: feeds.read_landed(spark, f"{root}/hn/lists/*")), "items": present(lambda: feeds.read_landed(spark, f"{root}/hn/items")),
-            "gnews": present(lambda: feeds.read_landed(spark, f"{root}/gnews")), "reddit": present(reddit), "rss": present(rss)}
+def _isolated(spark: SparkSession, source: str, path: str, read) -> tuple[DataFrame | None, list[tuple]]:
+    """``read(paths)`` written as a table, without the files that can't be read, and a reject for each of these.
+
+    A file fails alone: when one stops the job, it is left out and the others are read again (one more pass for each such
+    file). Any other failure ends its source, not the run. None where nothing is left or the path does not exist."""
+    paths, rejects = path, []
+    while True:
+        try:
+            return cut_lineage(read(paths)), rejects
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None, rejects
+            return None, [*rejects, (source, path, f"failed: {str(e).splitlines()[0]}")]
+        except Exception as e:  # noqa: BLE001 - whatever is wrong with one source must not end the run
+            found = _UNREADABLE.search(str(e))
+            if found is None:
+                return None, [*rejects, (source, path, f"failed: {str(e).splitlines()[0]}")]
+            if paths is path:
+                paths = [unquote(f) for f in spark.read.text(path).inputFiles()]  # the list that the reader holds anyway
+            bad = next((f for f in paths if _same_file(f, found[1])), None)
+            if bad is None:
+                return None, [*rejects, (source, path, f"failed: {found[0]}")]
+            rejects.append((source, bad, "unreadable"))
+            paths = [f for f in paths if f != bad]
+            if not paths:
+                return None, rejects
+
+
+def _same_file(a: str, b: str) -> bool:
+    plain = lambda x: re.sub("^[a-z0-9]+:/+", "/", unquote(x))
+    return plain(a) == plain(b)
+
+
+def read_raw(spark: SparkSession, root: str) -> tuple[dict, list[tuple]]:
+    """Landed payloads by source, written once (None for an absent source), and rejects of what can't be read."""
+    rejects: list[tuple] = []
+
+    def one(source: str, path: str, read):
+        df, bad = _isolated(spark, source, path, read)
+        rejects.extend(bad)
+        return df
+
+    lines = lambda p: feeds.read_landed(spark, p)
+    listing = lambda p: lines(p).withColumn("endpoint", feeds.label_from_path(F.col("file")))
+    feed = lambda p: feeds.read_landed(spark, p, whole=True).withColumn("feed_url", feeds.label_from_path(F.col("file"), "feed"))
+    raw = {"lists": one("hackernews", f"{root}/hn/lists/*", lines), "items": one("hackernews", f"{root}/hn/items", lines),
+           "gnews": one("gnews", f"{root}/gnews", lines), "reddit": one("reddit", f"{root}/reddit/*", listing), "rss": one("rss", f"{root}/rss/*", feed)}
+    return raw, rejects
 
 
 def order_key(arts: DataFrame) -> DataFrame:
-    """Add ``seq``: the source's rank, then a 128-bit digest of the whole row.
+    """``seq``, a number in the order of source, file, payload and place in the payload; equal rows stay apart.
 
-    Fetch order in the original service is not defined, so any total order is valid; this one does not
-    depend on files or partitions. Rows that agree in every column are one row."""
-    cols = feeds.ARTICLE_COLUMNS
-    rank = F.element_at(F.create_map(*[x for k, v in SOURCE_RANK.items() for x in (F.lit(k), F.lit(str(v)))]), F.col("source"))
-    whole = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    return arts.withColumn("seq", F.concat(rank, F.lit("-"), F.md5(whole))).dropDuplicates(["seq"])
+    The sort is distributed (by ranges); the numbers grow with it and have gaps."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv]), F.col("source"))
+    placed = arts.withColumn("_rank", rank).orderBy("_rank", "at", "url")
+    return placed.withColumn("seq", F.monotonically_increasing_id()).drop("_rank", "at")
 
 
-def read_sources(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
+def articles_of(spark: SparkSession, raw: dict, as_of: Column) -> DataFrame:
     """Parsed articles of every present source with an order key ``seq``; without any source an empty table."""
-    raw, parts = _raw(spark, root), []
+    parts = []
     if raw["items"] is not None and raw["lists"] is not None:
         lists = raw["lists"].withColumnRenamed("file", "list_id")
         parts.append(feeds.hn_top_stories(lists, raw["items"]).drop("list_id", "pos", "id"))
@@ -70,21 +112,23 @@ def read_sources(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
     if raw["reddit"] is not None:
         parts.append(feeds.parse_reddit(raw["reddit"]))
     if raw["rss"] is not None:
-        parts.append(feeds.parse_rss_rows(raw["rss"], as_of))
+        parts.append(feeds.parse_rss_rows(feeds.read_items(feeds.feed_items(raw["rss"])), as_of))
     if not parts:
         kinds = {"published_at": "timestamp_ntz", "upvotes": "int", "comments": "int"}
         schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in feeds.ARTICLE_COLUMNS)
-        parts.append(spark.createDataFrame([], schema))
+        return spark.createDataFrame([], f"{schema}, seq bigint")
     return order_key(feeds.union_sources(*parts))
 
 
-def read_rejects(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
-    """Columns source, file, reason: what the present sources landed but no article came of, payloads and single records."""
-    raw, parts = _raw(spark, root), []
+def rejects_of(spark: SparkSession, raw: dict, as_of: Column, unread: list[tuple] = ()) -> DataFrame:
+    """Columns source, file, reason: what the sources landed but no article came of: files, payloads and single records."""
+    parts = [spark.createDataFrame(list(unread), "source string, file string, reason string")]
 
-    def add(source: str, rows: DataFrame, file: str = "file"):
-        parts.append(rows.select(F.lit(source).alias("source"), F.col(file).alias("file"), "reason"))
+    def add(source: str, rows: DataFrame):
+        parts.append(rows.select(F.lit(source).alias("source"), "file", "reason"))
 
+    if raw["lists"] is not None:
+        add("hackernews", feeds.payload_rejects(raw["lists"], "list"))
     if raw["items"] is not None:
         add("hackernews", feeds.hn_rejects(raw["items"]))
     if raw["gnews"] is not None:
@@ -94,12 +138,22 @@ def read_rejects(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
         add("reddit", feeds.payload_rejects(raw["reddit"], "reddit"))
         add("reddit", feeds.reddit_rejects(raw["reddit"]))
     if raw["rss"] is not None:
-        add("rss", feeds.rss_rejects(raw["rss"], as_of), "feed_url")
-    if not parts:
-        return spark.createDataFrame([], "source string, file string, reason string")
+        add("rss", feeds.payload_rejects(raw["rss"], "feed"))
+        add("rss", feeds.rss_rejects(feeds.read_items(feeds.feed_items(raw["rss"])), as_of))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def read_sources(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
+    """Parsed articles of a landing folder (see :func:`articles_of`)."""
+    return articles_of(spark, read_raw(spark, root)[0], as_of)
+
+
+def read_rejects(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
+    """Rejects of a landing folder (see :func:`rejects_of`)."""
+    raw, unread = read_raw(spark, root)
+    return rejects_of(spark, raw, as_of, unread)
+
+
 def land_fixture(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Write the fixture payloads (``sources/landing.py``) into the landing layout (tests)."""
     landing.hn_item_payloads(spark, sf_dir).select("payload").write.text(f"{root}/hn/items")

@@ -118,7 +118,7 @@ def _xml_escape(c: Column) -> Column:
 
 def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(feed_url, item_xml)``: one feed item per page. Dates as RFC-822 ``pubDate`` (UTC or
-    +0100), ISO ``updated`` or absent; media content / thumbnail / both / none."""
+    +0100), ISO ``updated`` or absent; media content / thumbnail / both (thumbnail first) / another namespace / none."""
     a = FX.articles_pages(spark, sf_dir)
     seq = F.col("seq")
     p = F.col("published_at")
@@ -135,10 +135,13 @@ def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit('<media:content url="https://media.example.com/c'), seq.cast("string"), F.lit('.jpg"/>'))
     thumb = F.concat(F.lit('<media:thumbnail url="https://media.example.com/t'), seq.cast("string"), F.lit('.jpg"/>'))
     media = (
-        F.when(seq % 4 == 0, F.concat(F.lit('<media:content url=" "/>'), content, F.replace(content, F.lit("/c"), F.lit("/later")))).when(seq % 4 == 1, thumb).when(seq % 4 == 2, F.concat(thumb, content)).otherwise(F.lit(""))
+        F.when(seq % 4 == 0, F.concat(F.lit('<media:content url=" "/>'), content, F.replace(content, F.lit("/c"), F.lit("/later")))).when(seq % 4 == 1, thumb).when(seq % 4 == 2, F.concat(thumb, content))
+        # another namespace, after a group whose content is not the item's own
+        .when(seq % 8 == 3, F.concat(F.lit("<media:group>"), content, F.lit("</media:group>"), F.replace(F.replace(thumb, F.lit("media:"), F.lit("yt:")), F.lit("/t"), F.lit("/y"))))
+        .otherwise(F.lit(""))
     )
     xml = F.concat(
-        F.lit('<item xmlns:media="http://search.yahoo.com/mrss/"><title>'), _xml_escape(F.col("title")), F.lit("</title><link>"),
+        F.lit('<item xmlns:media="http://search.yahoo.com/mrss/" xmlns:yt="http://www.youtube.com/xml/schemas/2015"><title>'), _xml_escape(F.col("title")), F.lit("</title><link>"),
         _xml_escape(F.col("url")), F.lit("</link>"), date_el, F.lit("<description>"), _xml_escape(F.col("description")),
         F.lit("</description>"), media, F.lit("</item>"),
     )

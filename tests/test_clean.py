@@ -47,6 +47,12 @@ VARIANTS = [
     ("a<script>if (x<y) '</p>'</script>b<!-- <nav> -->c<style>p{}</style>", "abc"),
     ("x &rsquo;&mdash;&#8217;&#x2019;&hellip; &amp;lt; &unknown; &copy 1 &#xD800; &amp", "x ’—’’… &lt; &unknown; © 1 � &"),
     ("a < b <p", "a < b"),
+    ('<p>a <a title="x > y">b</a></p>', "a b"),
+    ('<div data-x="1>2" class="ad">gone</div>keep', "keep"),
+    ("<a title='<script>' rel=x>t</a>u<b title=\"<!--\">v</b>", "tuv"),
+    ('one<p title="never ends>two', "one"),
+    ("<script src='a>b'>x</script>y<STYLE media=\"p>q\">z</style >w", "yw"),
+    ('a"b > c" d=\'e\'', 'a"b > c" d=\'e\''),
     ("<p>" + "<b>w</b> " * 3000 + "</p>", " ".join(["w"] * 800)),
 ]
 
@@ -90,3 +96,13 @@ def test_every_named_entity(spark):
     assert {r.s: r.d for r in got} == {r: unescape(r) for r in rows}
     page = spark.createDataFrame([(1, "<p>it&apos;s &lbrack;a&rbrack;</p>")], "page_id long, html string")
     assert _texts(clean.clean_pages(page)) == {1: "it's [a]"}
+
+
+def test_descriptions_know_quoted_attributes(spark):
+    from pyspark.sql import functions as F
+
+    from curata.functions import text
+
+    cases = {'a <i title="x > y">b</i>': "a b", "1 <b data='<c>'>2</b> < 3": "1 2 &lt; 3", '<img alt="a>b"/>c<a href="x': "c", "<script>a</script >b<!-- > -->c": "bc"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string").select("h", text.strip_tags(F.col("h")).alias("t"))
+    assert {r.h: r.t for r in df.collect()} == cases

@@ -1,6 +1,7 @@
 """Parse-job edge rows: thresholds, coercion, missing fields, dates, media."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def test_rss_age_and_media(spark):
     rows = {r["title"]: r for r in feeds.parse_rss(raw, AS()).collect()}
     assert sorted(rows) == ["edge", "m", "upd"]  # 12 h exactly is kept, older is dropped
     assert rows["edge"]["published_at"] == dt.datetime(2024, 1, 30, 12)
-    assert rows["m"]["image_url"] == "C" and rows["m"]["published_at"] == dt.datetime(2024, 1, 31)
+    assert rows["m"]["image_url"] == "T" and rows["m"]["published_at"] == dt.datetime(2024, 1, 31)
     assert rows["upd"]["description"] == "x y" and rows["upd"]["source_domain"] == "feeds.x.com"
 
 
@@ -119,12 +120,30 @@ def test_first_media_and_atom_links(spark):
     assert (got.title, got.url, got.description, got.published_at) == ("t", "https://page", "s x", dt.datetime(2024, 1, 30, 23))
 
 
-def test_rows_that_differ_anywhere_keep_their_own_key(spark):
+def test_order_is_that_of_source_file_and_place(spark):
     from curata.sources import landed
 
     base = ("t", "https://a.com", "reddit", "a.com", "r/x", "", dt.datetime(2024, 1, 1), 1, 1)
-    rows = [base, base, (*base[:4], "r/y", *base[5:])]
-    schema = "title string, url string, source string, source_domain string, description string, image_url string, published_at timestamp_ntz, upvotes int, comments int"
-    keyed = landed.order_key(spark.createDataFrame(rows, schema)).collect()
-    assert len(keyed) == len({r.seq for r in keyed}) == 2
+    rows = [(*base, ("b", 0, 0, 0)), (*base, ("a", 0, 9, 1)), (*base, ("a", 0, 9, 1)), (*base, ("a", 0, 9, 0)), (*base, ("a", 0, 2, 5)), (*base, ("a", 128, 0, 0)),
+            ("first", "u", "hackernews", *base[3:], ("z", 0, 0, 0))]
+    schema = ("title string, url string, source string, source_domain string, description string, image_url string, published_at timestamp_ntz, upvotes int, comments int, "
+              "at struct<file:string,block:long,line:long,pos:int>")
+    df = spark.createDataFrame(rows, schema)
+    keyed = landed.order_key(df.withColumn("description", F.to_json("at"))).orderBy("seq").collect()
+    assert len({r.seq for r in keyed}) == len(rows) and keyed[0].title == "first"
+    places = [(x["file"], x["block"], x["line"], x["pos"]) for x in (json.loads(r.description) for r in keyed[1:])]
+    assert places == sorted(places)
+
+
+def test_foreign_images_in_document_order(spark):
+    head = '<item xmlns:m="a" xmlns:yt="b"><title>t</title><link>u</link>'
+    cases = {
+        '<m:thumbnail url="T"/><m:content url="C"/>': "T", '<yt:thumbnail url=\'Y\' width="3"/>': "Y", '<m:content url="  "/><yt:content url="Z"></yt:content>': "Z",
+        '<m:group><m:content url="in"/></m:group><m:thumbnail url="own"/>': "own", '<m:content url="a&amp;b" note="1 > 0"><m:title>x</m:title></m:content>': "a&b",
+        '<content url="plain"/>': "", '<m:contents url="no"/><m:thumbnail href="no"/>': "", "<!-- <m:content url='c'/> --><description><![CDATA[<m:content url='d'/>]]></description>": "",
+    }
+    raw = spark.createDataFrame([("https://f.com", f"{head}<guid>{k}</guid>{x}</item>") for k, x in enumerate(cases)], "feed_url string, item_xml string")
+    got = feeds.read_items(raw.withColumn("k", F.monotonically_increasing_id())).orderBy("k").select(F.coalesce(F.get(F.filter("images", lambda u: F.trim(u) != ""), F.lit(0)), F.lit(""))).collect()
+    assert [r[0] for r in got] == list(cases.values())
+
 

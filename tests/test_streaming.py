@@ -3,6 +3,7 @@
 import datetime as dt
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from curata.plans.q_stream import daily_run
@@ -43,6 +44,96 @@ def test_files_do_not_decide_the_result(spark):
     assert _tables(spark, base) == got[0]
 
 
+def test_late_rows_of_an_earlier_run_reach_all_later_tables(spark):
+    arts = FX.articles_pages(spark, SF)
+    keyed = arts.withColumn("run", daily_run(F.col("published_at")))
+    runs = sorted(r["run"] for r in keyed.select("run").distinct().collect())
+    assert len(runs) > 2
+    whole, parts = _base(spark), _base(spark)
+    stream.land_runs(arts, f"{whole}/landing", daily_run(F.col("published_at")))
+    stream.stream_pipeline(spark, f"{whole}/landing", f"{whole}/tables", f"{whole}/ckpt", arts.schema)
+    late = (F.col("run") == runs[0]) & (F.col("seq") % 2 == 0)
+    for rows in (keyed.where(~late), keyed.where(late)):  # half of the first run's rows land when all others are done
+        rows.write.mode("append").partitionBy("run").parquet(f"{parts}/landing")
+        stream.stream_pipeline(spark, f"{parts}/landing", f"{parts}/tables", f"{parts}/ckpt", arts.schema)
+    assert _tables(spark, f"{parts}/tables") == _tables(spark, f"{whole}/tables")
+    commits = stream.manifest(spark, f"{parts}/tables").count()
+    assert stream.refresh(spark, f"{parts}/landing", f"{parts}/tables", arts.schema, runs[0]) == []  # landed twice: nothing to do
+    assert stream.manifest(spark, f"{parts}/tables").count() == commits
+
+
+def test_later_runs_stay_when_an_earlier_one_leaves_what_it_left_before(spark):
+    base = _base(spark)
+    runs = [2024011010, 2024011011]
+    for k, run_id in enumerate(runs):
+        _articles(spark, 40, run_id, 40 * k).withColumn("run", F.lit(run_id)).write.mode("append").partitionBy("run").parquet(f"{base}/landing")
+    schema = _articles(spark, 1, runs[0]).schema
+    assert stream.refresh(spark, f"{base}/landing", f"{base}/tables", schema, 0) == runs
+    # a copy of a row that was fetched already changes the input of the first run, not what it leaves
+    _articles(spark, 1, runs[0]).withColumn("seq", F.lit(9999).cast("long")).withColumn("run", F.lit(runs[0])).write.mode("append").partitionBy("run").parquet(f"{base}/landing")
+    assert stream.refresh(spark, f"{base}/landing", f"{base}/tables", schema, runs[0]) == runs[:1]
+
+
+def test_an_error_between_any_two_writes_shows_whole_runs_only(spark, monkeypatch):
+    first, second = 2024011010, 2024011011
+    base = _base(spark)
+    stream.process_run(_articles(spark, 40, first), first, base, stream.run_clock(first))
+    before = {k: v for k, v in _tables(spark, base).items() if k != "runs"}
+    write, commit = stream._write, stream._commit
+
+    for n in range(6):
+        left = [n]
+
+        def fails(left=left):
+            left[0] -= 1
+            if left[0] == -1:
+                raise OSError(f"disk full at write {n}")
+
+        monkeypatch.setattr(stream, "_write", lambda *a, **k: (fails(), write(*a, **k))[1])
+        monkeypatch.setattr(stream, "_commit", lambda *a, **k: (fails(), commit(*a, **k))[1])
+        with pytest.raises(OSError, match="disk full"):
+            stream.process_run(_articles(spark, 40, second, 20), second, base, stream.run_clock(second))
+        monkeypatch.undo()
+        assert {k: v for k, v in _tables(spark, base).items() if k != "runs"} == before
+        assert stream.current_state(spark, base).first()["last_run_status"] == f"failed: disk full at write {n}"
+    stream.process_run(_articles(spark, 40, second, 20), second, base, stream.run_clock(second))
+    alone = _base(spark)
+    for run_id, offset in ((first, 0), (second, 20)):
+        stream.process_run(_articles(spark, 40, run_id, offset), run_id, alone, stream.run_clock(run_id))
+    assert _tables(spark, base) == _tables(spark, alone)
+
+
+def test_marks_that_cannot_be_written_or_read_end_nothing(spark, monkeypatch, tmp_path):
+    base, run_id = str(tmp_path / "file"), 2024011010
+    clock = stream.run_clock(run_id)
+    with open(base, "w"):  # a file where the tables' folder should be
+        pass
+    with pytest.warns(UserWarning, match="counts as due"):
+        ran = []
+        assert stream.check_and_run(spark, f"{base}/tables", run_id, clock, lambda: ran.append(1)) and ran == [1]
+    base = _base(spark)
+    stream.process_run(_articles(spark, 40, run_id), run_id, base, clock)
+    monkeypatch.setattr(stream.store, "trim", lambda df: 1 / 0)
+    with pytest.warns(UserWarning, match="could not be trimmed"):
+        assert not stream.check_and_run(spark, base, run_id, clock, lambda: None)
+    monkeypatch.undo()
+    state = stream._state
+    monkeypatch.setattr(stream, "_state", lambda spark, as_of, status, n: 1 / 0 if status == "running" else state(spark, as_of, status, n))
+    with pytest.warns(UserWarning, match="marked as running"):
+        stream.process_run(_articles(spark, 40, run_id), run_id, base, clock)
+    assert stream.current_state(spark, base).first()["last_run_status"] == "success"
+
+
+def test_a_run_that_never_ended_is_running(spark):
+    base, first, second = _base(spark), 2024011010, 2024011011
+    stream.process_run(_articles(spark, 40, first), first, base, stream.run_clock(first))
+    stream._mark_running(spark, base, second, "dead", stream.run_clock(second))
+    assert stream.current_state(spark, base).first()["last_run_status"] == "running"
+    assert stream.current_store(spark, base).count() == 30
+    stream.process_run(_articles(spark, 40, second, 40), second, base, stream.run_clock(second))
+    assert stream.current_state(spark, base).first()["last_run_status"] == "success"
+
+
 def _articles(spark, n, run, offset=0):
     a = spark.range(offset, offset + n).select(F.col("id").alias("seq"))
     words = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.substring(F.md5(F.concat(F.col("seq").cast("string"), F.lit("-"), k.cast("string"))), 1, 8))
@@ -99,8 +190,6 @@ def test_rerun_of_an_older_run_sees_earlier_memory_only(spark):
 
 
 def test_error_outcome(spark):
-    import pytest
-
     base, run_id = _base(spark), 2024011010
     bad = _articles(spark, 5, run_id).withColumn("title", F.raise_error(F.lit("broken feed")).cast("string"))
     with pytest.raises(Exception, match="broken feed"):
