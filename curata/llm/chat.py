@@ -65,15 +65,26 @@ def _paths(value: Column, path: Column, depth: int) -> Column:
 
     items = F.from_json(F.when(F.json_array_length(value).isNotNull(), value), "array<string>")
     listed = F.array_distinct(F.flatten(F.transform(items, lambda x: fields(x, F.concat(path, F.lit("[]"))))))
-    return F.coalesce(F.when(F.size(items) > 0, listed), F.when(items.isNotNull(), F.array(F.concat(path, F.lit("[]")))), fields(value, path))
+    return F.coalesce(listed, fields(value, path))  # an empty list has no paths
+
+
+#: A string that is a value: after a colon, or in a list (where no colon follows it).
+_STRING = r'(?s)([:\[,]\s*)"(?:[^"\\]++|\\.)*+"(?!\s*:)'
 
 
 def fingerprint(record: Column) -> Column:
-    """Hash of the sorted nested field paths of a JSON record, lists as ``name[]`` with the fields of all their elements."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    each = F.transform(top, lambda k: F.flatten(F.transform(F.array(_field(record, k)), lambda v: _paths(v, k, 2))))
-    paths = F.array_sort(F.array_distinct(F.flatten(each)))
-    return F.substring(F.sha2(F.array_join(paths, "\n").cast("binary"), 256), 1, 16)
+    """Hash of the sorted nested field paths of a JSON record, lists as ``name[]`` with the fields of all their elements.
+
+    String values are taken out first, so no text can look like a list or an object."""
+
+    def paths(bare: Column) -> Column:
+        top = F.coalesce(F.json_object_keys(bare), F.array().cast("array<string>"))
+        each = F.transform(top, lambda k: F.flatten(F.transform(F.array(_field(bare, k)), lambda v: _paths(v, k, 2))))
+        return F.array_sort(F.array_distinct(F.flatten(each)))
+
+    bare = F.regexp_replace(record, _STRING, "$1 0")
+    found = F.get(F.transform(F.array(bare), paths), F.lit(0))
+    return F.substring(F.sha2(F.array_join(found, "\n").cast("binary"), 256), 1, 16)
 
 
 def _listed(record: Column, path: str, role: str, text: str, *part: str, mixed: bool = False, roles: dict | None = None) -> Column:
