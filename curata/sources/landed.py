@@ -70,9 +70,10 @@ def _isolated(spark: SparkSession, source: str, path: str, read) -> tuple[DataFr
                 return None, rejects
 
 
-def _same_file(a: str, b: str) -> bool:
-    plain = lambda x: re.sub("^[a-z0-9]+:/+", "/", unquote(x))
-    return plain(a) == plain(b)
+def _same_file(path: str, named: str) -> bool:
+    """Whether an error names ``path``, as it is or as a URI."""
+    plain = lambda x: re.sub("^[a-z0-9]+:/+", "/", x)
+    return plain(path) in (plain(named), unquote(plain(named)))
 
 
 def read_raw(spark: SparkSession, root: str) -> tuple[dict, list[tuple]]:
