@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from curata.plans.q_runs import block_run
 from curata.plans.q_stream import daily_run
 from curata.session import checkpoint_dir
 from curata.sources import fixtures as FX
@@ -46,11 +47,11 @@ def test_files_do_not_decide_the_result(spark):
 
 def test_late_rows_of_an_earlier_run_reach_all_later_tables(spark):
     arts = FX.articles_pages(spark, SF)
-    keyed = arts.withColumn("run", daily_run(F.col("published_at")))
+    keyed = arts.withColumn("run", block_run(F.col("published_at")))
     runs = sorted(r["run"] for r in keyed.select("run").distinct().collect())
     assert len(runs) > 2
     whole, parts = _base(spark), _base(spark)
-    stream.land_runs(arts, f"{whole}/landing", daily_run(F.col("published_at")))
+    stream.land_runs(arts, f"{whole}/landing", block_run(F.col("published_at")))
     stream.stream_pipeline(spark, f"{whole}/landing", f"{whole}/tables", f"{whole}/ckpt", arts.schema)
     late = (F.col("run") == runs[0]) & (F.col("seq") % 2 == 0)
     for rows in (keyed.where(~late), keyed.where(late)):  # half of the first run's rows land when all others are done
@@ -104,10 +105,10 @@ def test_an_error_between_any_two_writes_shows_whole_runs_only(spark, monkeypatc
 
 
 def test_marks_that_cannot_be_written_or_read_end_nothing(spark, monkeypatch, tmp_path):
-    base, run_id = str(tmp_path / "file"), 2024011010
+    base, run_id = str(tmp_path), 2024011010
     clock = stream.run_clock(run_id)
-    with open(base, "w"):  # a file where the tables' folder should be
-        pass
+    (tmp_path / "tables" / "manifest" / "commit=1").mkdir(parents=True)
+    (tmp_path / "tables" / "manifest" / "commit=1" / "part-0.parquet").write_bytes(b"no table")
     with pytest.warns(UserWarning, match="counts as due"):
         ran = []
         assert stream.check_and_run(spark, f"{base}/tables", run_id, clock, lambda: ran.append(1)) and ran == [1]
