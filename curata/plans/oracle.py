@@ -184,7 +184,7 @@ memory_fixture AS (
   SELECT {normalize_url_memory('url')} AS normalized_url,
          {normalize_title('title')} AS normalized_title,
          {AS_OF} - to_hours(CAST(seq % 72 AS BIGINT)) AS ts
-  FROM articles_pages WHERE seq % 7 = 0 OR seq % 11 = 0
+  FROM articles_pages
 ),
 memory_recent AS (
   SELECT coalesce(normalized_url, '') AS normalized_url, coalesce(normalized_title, '') AS normalized_title, ts
