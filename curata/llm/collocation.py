@@ -15,8 +15,8 @@ words is counted when both its subphrases are in the first table and one is in t
 third itself. All tasks of a scan see the same tables, so a count covers its whole shard or is not there; phrases
 that share a place only make a scan count more than it must.
 
-Texts are read as Arrow batches in pieces; windows are known by two independent 64-bit numbers, which a last scan
-turns into language and text (two texts for one pair of numbers would stop the job).
+Texts are read as Arrow batches in pieces; windows are known by two independent 64-bit numbers and a row that has
+them, from which their text is read in the end (two texts for one pair of numbers there would stop the job).
 
 Defined results: a null or empty text has no phrases; a null language is ``und``; equal rows count each; a text
 of any length is read in pieces that overlap by the words of a window; an empty table gives an empty result;
@@ -40,7 +40,7 @@ from . import textnum as T
 
 SHARDS, LONGEST, LEAST, TOP, SHARE = 3, 5, 100, 2000, 100
 #: Bytes of text that are read at a time, windows whose counts are gathered before they leave a task, and
-#: phrases that a task remembers to have spelt.
+#: phrases up to which the rows to spell them from are broadcast (their numbers and lengths only).
 PIECE, GATHERED, SPELT = 1 << 20, 1 << 20, 1 << 20
 #: Places of the tables for each phrase in them, and at least and at most; beyond that tables only filter less.
 BITS, MIN_BITS, MAX_BITS = 64, 1 << 16, 1 << 26
@@ -164,36 +164,49 @@ class _Words:
 
 
 def _pieces(batches, longest: int):
-    """The words of all pieces of (lang, text) batches, with the batch's languages."""
+    """The words of all pieces of (lang, text, at) batches, with the batch's row numbers."""
     for batch in batches:
         data, off = T.texts(batch.column(1))
-        langs = batch.column(0)
-        coded = langs.dictionary_encode()
+        coded = batch.column(0).dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         seeds = [np.array([_seed(x, k) for x in names], np.uint64)[code] for k in (0, 1)]
+        ids = A.numbers(batch.column(2))
         for piece in _parts(data, off, longest):
             words = _Words(*piece, seeds)
             if words.n:
-                yield words, langs
+                yield words, ids
+
+
+_COUNTS = ["h", "g", "len", "n", "begin", "doc"]
 
 
 def counter(tables, words: bool, longest: int):
-    """mapInArrow function over (lang, text) to (h, g, len, n, begin): windows that are counted in this scan, and whether
-    a count may begin here (those that are only in the table of open cycles go on, they begin nothing).
+    """mapInArrow function over (lang, text, at) to (h, g, len, n, begin, doc): windows that are counted in this scan, whether
+    a count may begin here (those that are only in the table of open cycles go on, they begin nothing), and a row that has
+    the window. While ``words`` are counted, rows of length 0 have the number of all words under the language's numbers.
 
     ``tables`` is a broadcast of :class:`Tables` or None before any phrase is kept."""
 
     def flush(k, parts):
-        h, g, begin = (np.concatenate(x) for x in zip(*parts))
+        h, g, begin, doc = (np.concatenate(x) for x in zip(*parts))
         one, times = _sum(h, g)
-        return pa.RecordBatch.from_arrays([A.int64(h[one]), A.int64(g[one]), pa.array(np.full(len(one), k, np.int8)), pa.array(times.astype(np.int64)), pa.array(begin[one])],
-                                          ["h", "g", "len", "n", "begin"])
+        return pa.RecordBatch.from_arrays([A.int64(h[one]), A.int64(g[one]), pa.array(np.full(len(one), k, np.int8)), pa.array(times.astype(np.int64)), pa.array(begin[one]),
+                                           pa.array(doc[one])], _COUNTS)
+
+    def totals(w, ids):
+        doc, times = np.unique(w.doc[w.own], return_counts=True)
+        h, g = w.seeds[0][doc], w.seeds[1][doc]
+        one, n = _sum(h, g, times)
+        return pa.RecordBatch.from_arrays([A.int64(h[one]), A.int64(g[one]), pa.array(np.zeros(len(one), np.int8)), pa.array(n.astype(np.int64)), pa.array(np.ones(len(one), bool)),
+                                           pa.array(ids[doc[one]])], _COUNTS)
 
     def run(batches):
         table = tables.value if tables is not None else None
         lens = (table.lens if table is not None else set()) | ({1} if words else set())
         held, size = {k: [] for k in lens}, dict.fromkeys(lens, 0)
-        for w, _ in _pieces(batches, longest):
+        for w, ids in _pieces(batches, longest):
+            if words and w.own.any():
+                yield totals(w, ids)
             above = None
             for k in range(1, min(max(lens), w.n) + 1):
                 if k not in lens and k + 1 not in lens:
@@ -205,7 +218,7 @@ def counter(tables, words: bool, longest: int):
                     begin = np.full(len(h), words) if k == 1 else (above[:-1] & above[1:] & EVER > 0) & ((above[:-1] | above[1:]) & LATE > 0)
                     i = np.flatnonzero((begin | (marks & OPEN > 0)) & w.whole(k))
                     if len(i):
-                        held[k].append((h[i], w.seconds(i, k), begin[i]))
+                        held[k].append((h[i], w.seconds(i, k), begin[i], ids[w.doc[i]]))
                         size[k] += len(i)
                         if size[k] >= GATHERED:
                             yield flush(k, held[k])
@@ -218,41 +231,40 @@ def counter(tables, words: bool, longest: int):
     return run
 
 
-def speller(tables, longest: int):
-    """mapInArrow function over (lang, text) to (lang, h, g, phrase, n): the texts of the phrases in the table ``ever``, most
-    of them once in a task, and without numbers the count of all words."""
-    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("phrase", pa.string()), ("n", pa.int64())])
+def speller(longest: int):
+    """mapInArrow function over (lang, text, at, h, len), the last two lists of the phrases to spell from this row, to
+    (lang, h, g, phrase): one row for each phrase and second number that the text has under it."""
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("g", pa.int64()), ("phrase", pa.string())])
 
     def run(batches):
-        table, spelt = tables.value, np.zeros(0, np.uint64)
-        for w, langs in _pieces(batches, longest):
-            doc, times = np.unique(w.doc[w.own], return_counts=True)
-            none = pa.nulls(len(doc))
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(doc)).cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), pa.array(times.astype(np.int64))], schema=schema)
-            fresh = []
-            for k in range(1, min(longest, w.n) + 1):
-                h = w.firsts(k)
-                i = np.flatnonzero((table.of(h) & EVER > 0) & w.whole(k))
-                if not len(i):
-                    continue
-                g = w.seconds(i, k)
-                one, _ = _sum(h[i], g)
-                both = T.mix(h[i[one]]) ^ g[one]
-                if len(spelt):
-                    new = spelt[np.minimum(np.searchsorted(spelt, both), len(spelt) - 1)] != both
-                    one, both = one[new], both[new]
-                if len(one):
-                    fresh.append(both)
-                    at = i[one]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.doc[at])).cast(pa.string()), A.int64(h[at]), A.int64(g[one]), w.texts(at, k), pa.nulls(len(at)).cast(pa.int64())], schema=schema)
-            if fresh and len(spelt) < SPELT:
-                spelt = np.sort(np.concatenate([spelt, *fresh]))
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                want, lens = np.array(row.column(3)[0].as_py(), np.int64).view(np.uint64), np.array(row.column(4)[0].as_py())
+                for w, _ in _pieces([row], longest):
+                    for k in np.unique(lens[lens <= w.n]).tolist():
+                        h = w.firsts(k)
+                        i = np.flatnonzero(np.isin(h, want[lens == k]) & w.whole(k))
+                        if len(i):
+                            g = w.seconds(i, k)
+                            one, _ = _sum(h[i], g)
+                            at = i[one]
+                            yield pa.RecordBatch.from_arrays([pa.array([row.column(0)[0].as_py()] * len(at)), A.int64(h[at]), A.int64(g[one]), w.texts(at, k)], schema=schema)
 
     return run
 
 
+def _languages(batches):
+    """(lang) with the numbers of its total."""
+    for b in batches:
+        names = b.column(0).to_pylist()
+        numbers = [A.int64(np.array([_seed(x, k) for x in names], np.uint64)) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *numbers], ["lang", "h", "g"])
+
+
 def _tables(state: DataFrame, step: int, shards: int, longest: int) -> Tables:
     """The tables for scan ``step`` (as rows they are bounded by their places)."""
+    state = state.filter("len > 0")
     reached = F.col("reach").isNotNull()
     late, open_ = reached & (F.col("reach") >= step - shards), F.col("since") > step - shards
     got = state.agg(F.count("*").alias("n"), F.collect_set(F.when(late, F.col("len") + 1)).alias("late"), F.collect_set(F.when(open_, F.col("len"))).alias("open")).first()
@@ -277,27 +289,27 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     spark = docs.sparkSession
     C.ship(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
-    corpus = C.new_path(spark)  # any deal of the rows will do, also another one when a task runs again
-    rows.select("lang", "text", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(corpus)
-    texts = spark.read.schema("lang string, text string, shard int").parquet(corpus)
+    corpus = C.new_path(spark)  # any numbers and any deal of the rows will do, also others when a task runs again
+    rows.select("lang", "text", "at", F.pmod(F.xxhash64("at"), F.lit(shards)).cast("int").alias("shard")).write.partitionBy("shard").parquet(corpus)
+    texts = spark.read.schema("lang string, text string, at long, shard int").parquet(corpus)
     by_shard, share = [f"c{k}" for k in range(shards)], -(-least // shards)
     whole = sum((F.col(c) for c in by_shard[1:]), F.col(by_shard[0]))
     state, path, step, tables = None, None, 0, None
     while step < shards or tables.lens:
         now = by_shard[step % shards]
         sent = spark.sparkContext.broadcast(tables) if tables is not None else None
-        scan = texts.filter(F.col("shard") == step % shards).select("lang", "text")
-        found = scan.mapInArrow(counter(sent, step < shards, longest), "h long, g long, len byte, n long, begin boolean")
+        scan = texts.filter(F.col("shard") == step % shards).select("lang", "text", "at")
+        found = scan.mapInArrow(counter(sent, step < shards, longest), "h long, g long, len byte, n long, begin boolean, doc long")
         no = lambda kind: F.lit(None).cast(kind)
-        found = found.select("h", "g", "len", "n", "begin", *[no("long").alias(c) for c in by_shard], no("int").alias("since"), no("int").alias("reach"))
+        found = found.select("h", "g", "len", "n", "begin", "doc", *[no("long").alias(c) for c in by_shard], no("int").alias("since"), no("int").alias("reach"))
         if state is not None:
-            found = found.unionAll(state.select("h", "g", "len", no("long").alias("n"), no("boolean").alias("begin"), *by_shard, "since", "reach"))
+            found = found.unionAll(state.select("h", "g", "len", no("long").alias("n"), no("boolean").alias("begin"), "doc", *by_shard, "since", "reach"))
         count = lambda c: F.coalesce(F.greatest(F.max(c), F.sum("n")) if c == now else F.max(c), F.lit(0))
-        sums = found.groupBy("h", "g").agg(F.min("len").alias("len"), F.sum("n").alias("n"), F.max("begin").alias("begin"), *[count(c).alias(c) for c in by_shard], F.min("since").alias("since"), F.min("reach").alias("reach"))
-        sums = sums.filter(F.col("since").isNotNull() | (F.col("begin") & (F.col("n") >= share))).withColumn("since", F.coalesce("since", F.lit(step)))
+        sums = found.groupBy("h", "g").agg(F.min("len").alias("len"), F.sum("n").alias("n"), F.max("begin").alias("begin"), F.min("doc").alias("doc"), *[count(c).alias(c) for c in by_shard], F.min("since").alias("since"), F.min("reach").alias("reach"))
+        sums = sums.filter(F.col("since").isNotNull() | (F.col("begin") & ((F.col("n") >= share) | (F.col("len") == 0)))).withColumn("since", F.coalesce("since", F.lit(step)))
         sums = sums.withColumn("reach", F.when(whole >= least, F.coalesce("reach", F.lit(step))))
         new = C.new_path(spark)
-        sums.filter(F.col("reach").isNotNull() | (F.col("since") > step + 1 - shards)).drop("n", "begin").write.parquet(new)
+        sums.filter((F.col("len") == 0) | F.col("reach").isNotNull() | (F.col("since") > step + 1 - shards)).drop("n", "begin").write.parquet(new)
         state = spark.read.parquet(new)
         if sent is not None:
             sent.destroy()
@@ -305,14 +317,20 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
             C.drop_path(spark, path)
         path, step = new, step + 1
         tables = _tables(state, step, shards, longest)
-    sent = spark.sparkContext.broadcast(tables)
-    spelt = C.materialise(texts.select("lang", "text").mapInArrow(speller(sent, longest), "lang string, h long, g long, phrase string, n long").groupBy("lang", "h", "g").agg(
-        F.min("phrase").alias("phrase"), F.max("phrase").alias("other"), F.sum("n").alias("n")))
-    sent.destroy()
-    C.drop_path(spark, corpus)
+    known = state.filter("len > 0 AND reach IS NOT NULL")
+    # the text of a phrase is read from one row that has it
+    rows = C.materialise(known.groupBy(F.col("doc").alias("at")).agg(F.collect_list("h").alias("hs"), F.collect_list("len").alias("lens")))
+    small = rows.agg(F.sum(F.size("hs"))).first()[0] or 0
+    spelt = texts.join(F.broadcast(rows) if small <= SPELT else rows, "at").select("lang", "text", "at", "hs", F.col("lens").cast("array<int>"))
+    spelt = spelt.mapInArrow(speller(longest), "lang string, h long, g long, phrase string")
+    spelt = C.materialise(spelt.groupBy("h", "g").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"), F.max("phrase").alias("other")))
+    langs = texts.select("lang").distinct().mapInArrow(_languages, "lang string, h long, g long")
+    totals = C.materialise(state.filter("len = 0").join(langs, ["h", "g"]).select("lang", whole.alias("n")))
     phrase = F.when(F.col("phrase") == F.col("other"), F.col("phrase")).otherwise(F.raise_error(F.lit("two phrases with equal numbers")).cast("string"))
-    freq = state.join(spelt.filter("phrase IS NOT NULL"), ["h", "g"]).select("lang", phrase.alias("phrase"), F.col("len").cast("int").alias("len"), whole.alias("f"))
-    return C.materialise(freq), spelt.filter("phrase IS NULL").select("lang", "n")
+    freq = known.join(spelt, ["h", "g"]).select("lang", phrase.alias("phrase"), F.col("len").cast("int").alias("len"), whole.alias("f"))
+    freq = C.materialise(freq)
+    C.drop_path(spark, corpus)
+    return freq, totals
 
 
 def collocations(freq: DataFrame, totals: DataFrame, top: int = TOP, share: int = SHARE) -> DataFrame:
