@@ -260,6 +260,9 @@ def held_out(doc_id: Column) -> Column:
 def _train(batches):
     """All rows (doc_id, toxic, language, buckets) of the sample, in order of doc_id, to one row each: whether the model was fitted on
     it, its logit's step, and in the first row the model."""
+    batches = list(batches)
+    if not batches:  # no labelled row: a model that knows nothing
+        batches = [pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("language", pa.int32()), ("buckets", pa.list_(pa.int32()))]))]
     got = pa.Table.from_batches(batches)
     ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy() == 1
     docs = [np.asarray(x, np.int32) for chunk in got["buckets"].chunks for x in (v.values.to_numpy() for v in chunk)]

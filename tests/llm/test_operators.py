@@ -52,13 +52,14 @@ def edge(spark, tmp_path_factory):
     labels = [(i, 1, int(i in (4, 5))) for i in range(1, 23)] + [(4, 1, 0), (None, 1, 1), (99, 1, 1), (8, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     spark.createDataFrame(CONV, "conv_id long, turn long, role string, text string").write.parquet(f"{top}/conversations.parquet")
+    spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string").write.parquet(f"{top}/pages.parquet")
     return top
 
 
 @pytest.fixture(scope="module")
 def empty(spark, edge, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
         spark.read.parquet(f"{edge}/{t}.parquet").limit(0).write.parquet(f"{top}/{t}.parquet")
     return top
 
@@ -216,8 +217,8 @@ def test_split_suffix_buckets_agree(spark, edge, monkeypatch):
     def repeated(rows, buckets):
         import numpy as np
 
-        cuts = real(rows, buckets)
-        return np.sort(np.repeat(cuts[::4], 4))
+        cuts, suffixes = real(rows, buckets)
+        return np.sort(np.repeat(cuts[::4], 4)), suffixes
 
     monkeypatch.setattr(suffix, "splitters", repeated)
     monkeypatch.setattr(suffix, "GROUP", 1)
