@@ -201,6 +201,8 @@ def process_run(articles: DataFrame, run_id: int, tables: str, as_of: Column, se
     returns whether it ran. An error commits the outcome ``failed: <reason>`` alone and is raised again: the tables
     of the run stay those of its last whole attempt."""
     spark, attempt = articles.sparkSession, uuid.uuid4().hex
+    # a manifest without rows, where there is none yet
+    spark.createDataFrame([], MANIFEST_SCHEMA.rpartition(",")[0]).write.mode("ignore").parquet(f"{tables}/manifest/commit=0")
     if not unless_done:
         _mark_running(spark, tables, run_id, attempt, as_of)
     try:
