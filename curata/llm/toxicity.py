@@ -80,9 +80,11 @@ def languages(ids: np.ndarray, word_off: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Tables hold embedding times filter, one per width and word of the width: a filter is a sum of lookups."""
+    """``tables`` hold embedding times filter, one per width and word of the width: a filter is a sum of lookups. They are made
+    where texts are scored, so that a model travels without them."""
 
-    tables: list[list[np.ndarray]]
+    emb: np.ndarray
+    filters: list[np.ndarray]
     bias: list[np.ndarray]
     out: np.ndarray
     offset: float
@@ -90,6 +92,15 @@ class Model:
     number: np.ndarray  # row of each bucket in the tables, 0 for unknown words
     constant: float | None = None
 
+    @property
+    def tables(self) -> list[list[np.ndarray]]:
+        if "made" not in self.__dict__:
+            self.__dict__["made"] = [[(self.emb @ f[j]).astype(np.float32) for j in range(len(f))] for f in self.filters]
+        return self.__dict__["made"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "made"}
+
     def logits(self, buckets: np.ndarray, off: np.ndarray) -> np.ndarray:
         tok, starts, ends = _padded(self.number[buckets], off)
         n = len(tok) - max(WIDTHS) + 1
@@ -232,13 +243,12 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray) -> tuple[
     """A model without thresholds, fitted on all folds but the first, and which rows it was fitted on."""
     toxic = toxic.astype(bool)
     if len(docs) < 2 or toxic.all() or not toxic.any():
-        return Model([], [], np.zeros(0), 0.0, np.zeros(0), np.zeros(0), constant=0.0), np.ones(len(docs), bool)
+        return Model(np.zeros((0, DIM), np.float32), [], [], np.zeros(0), 0.0, np.zeros(0), np.zeros(0), constant=0.0), np.ones(len(docs), bool)
     apart = fold == 0
     if not (toxic[apart].any() and toxic[~apart].any() and (~toxic[apart]).any() and (~toxic[~apart]).any()):
         apart = np.zeros(len(docs), bool)
     emb, filters, bias, out, offset, number = fit([d for d, a in zip(docs, apart) if not a], toxic[~apart])
-    tables = [[(emb @ f[j]).astype(np.float32) for j in range(len(f))] for f in filters]
-    model = Model(tables, [b.astype(np.float32) for b in bias], out.astype(np.float32), float(offset), np.zeros(len(FUNCTION_WORDS) + 1), number)
+    model = Model(emb, filters, [b.astype(np.float32) for b in bias], out.astype(np.float32), float(offset), np.zeros(len(FUNCTION_WORDS) + 1), number)
     return model, ~apart
 
 
