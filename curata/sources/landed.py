@@ -6,7 +6,7 @@ Layout (any number of files per folder):
     <landing>/hn/lists/        JSON lines, one id array per line, in a folder for each list
     <landing>/gnews/           JSON lines, one headline envelope per line
     <landing>/reddit/endpoint=<label>/   JSON lines, one listing per line (label URL-encoded)
-    <landing>/rss/feed=<feed url>/       feed documents (XML, <item> rows; feed url URL-encoded)
+    <landing>/rss/feed=<feed url>/       feed documents (XML, <item> rows; feed url URL-encoded), one in each file
 
 ``read_sources`` parses everything into one article table with an ``seq`` order key. Payloads are written once to the
 shared folder, so that a file which can't be read fails alone, and each has a place that stays the same.
@@ -167,4 +167,5 @@ def land_fixture(spark: SparkSession, sf_dir: str, root: str) -> None:
     docs = rss.groupBy("feed_url", (F.col("seq") / 50).cast("long").alias("chunk")).agg(
         F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(F.col("item_xml")), ""), F.lit("</channel></rss>")).alias("value")
     )
-    docs.select(F.col("feed_url").alias("feed"), "value").write.partitionBy("feed").text(f"{root}/rss")
+    # a file is read whole by one task: a file for each document, however many documents a task writes
+    docs.select(F.col("feed_url").alias("feed"), "value").write.option("maxRecordsPerFile", 1).partitionBy("feed").text(f"{root}/rss")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from curata.session import checkpoint_dir
 from curata.sources import feeds, landing
 from curata.sources import fixtures as FX
+from curata.sources.landed import land_fixture
 
-SF = "/root/testdata/sf0.001"
+SF, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def _base(spark):
@@ -48,3 +49,15 @@ def test_feed_documents(spark, tmp_path):
     path.write_text(doc, encoding="utf-8")
     parsed = feeds.parse_rss_rows(feeds.read_feed_files(spark, str(path), feed), FX.as_of())
     assert _rows(parsed) == _rows(feeds.parse_rss(items, FX.as_of()))
+
+
+def test_feed_documents_land_in_files_of_their_own(spark):
+    # a feed file is read whole by one task, so it must not grow with the number of documents
+    base = _base(spark)
+    land_fixture(spark, MID, base)
+    docs = feeds.read_landed(spark, f"{base}/rss/*", whole=True)
+    each = docs.select((F.size(F.split("payload", "</channel></rss>")) - 1).alias("n")).collect()
+    assert [r["n"] for r in each] == [1] * 5  # 250 pages, 50 to a document
+    items = landing.rss_items(spark, MID)
+    landed = feeds.read_items(feeds.feed_items(docs.withColumn("feed_url", feeds.label_from_path(F.col("file"), "feed"))))
+    assert _rows(feeds.parse_rss_rows(landed, FX.as_of())) == _rows(feeds.parse_rss(items, FX.as_of()))
